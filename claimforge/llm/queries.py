@@ -7,11 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from claimforge.llm import sql
 from claimforge.llm.io import table
 from claimforge.llm.mixing import mix_sources
+from claimforge.llm.quality import fit_quality, judge
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_mix_sources": op10_mix_sources}
+QUERIES = {"op9_quality_rules": op9_quality_rules, "op10_mix_sources": op10_mix_sources}
 ORACLES = {"op10_mix_sources": sql.MIX}
