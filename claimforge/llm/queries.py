@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimforge.llm import sql
+from claimforge.llm import chat, fm_index, sql
 from claimforge.llm.io import table
 from claimforge.llm.mixing import mix_sources
 from claimforge.llm.quality import fit_quality, judge
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts hold the template's own markers."""
+    awkward = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(awkward)
+    return chat.digests(chat.format_turns(turns))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fm_index.digests(fm_index.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -19,5 +31,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_quality_rules": op9_quality_rules, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules, "op10_mix_sources": op10_mix_sources}
 ORACLES = {"op10_mix_sources": sql.MIX}
