@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimforge.llm import chat, fm_index, sql
 from claimforge.llm.io import table
+from claimforge.llm.jaccard_join import near_duplicates
 from claimforge.llm.language import fit_language, identify
 from claimforge.llm.mixing import mix_sources
 from claimforge.llm.quality import fit_quality, judge
@@ -17,6 +18,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit_language(docs))
@@ -43,5 +48,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op6_language_id": op6_language_id, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op2_toxicity": op2_toxicity, "op4_jaccard_join": op4_jaccard_join, "op6_language_id": op6_language_id, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules, "op10_mix_sources": op10_mix_sources}
 ORACLES = {"op10_mix_sources": sql.MIX}
