@@ -9,6 +9,7 @@ from claimforge.llm.io import table
 from claimforge.llm.jaccard_join import near_duplicates
 from claimforge.llm.language import fit_language, identify
 from claimforge.llm.mixing import mix_sources
+from claimforge.llm.passages import repeated_passages
 from claimforge.llm.quality import fit_quality, judge
 from claimforge.llm.toxicity import fit_toxicity, score
 
@@ -22,6 +23,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit_language(docs))
@@ -48,5 +53,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_jaccard_join": op4_jaccard_join, "op6_language_id": op6_language_id, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op2_toxicity": op2_toxicity, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op6_language_id": op6_language_id, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules, "op10_mix_sources": op10_mix_sources}
 ORACLES = {"op10_mix_sources": sql.MIX}
