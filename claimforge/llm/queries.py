@@ -11,6 +11,7 @@ from claimforge.llm.language import fit_language, identify
 from claimforge.llm.mixing import mix_sources
 from claimforge.llm.passages import repeated_passages
 from claimforge.llm.quality import fit_quality, judge
+from claimforge.llm.tokens import token_counts
 from claimforge.llm.toxicity import fit_toxicity, score
 
 
@@ -19,6 +20,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,5 +58,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op6_language_id": op6_language_id, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op6_language_id": op6_language_id, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules, "op10_mix_sources": op10_mix_sources}
 ORACLES = {"op10_mix_sources": sql.MIX}
