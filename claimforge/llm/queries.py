@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimforge.llm import chat, fm_index, sql
+from claimforge.llm.html import main_text
 from claimforge.llm.io import table
 from claimforge.llm.jaccard_join import near_duplicates
 from claimforge.llm.language import fit_language, identify
@@ -15,6 +16,10 @@ from claimforge.llm.tokens import token_counts
 from claimforge.llm.toxicity import fit_toxicity, score
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -58,5 +63,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op6_language_id": op6_language_id, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op6_language_id": op6_language_id, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules, "op10_mix_sources": op10_mix_sources}
 ORACLES = {"op10_mix_sources": sql.MIX}
