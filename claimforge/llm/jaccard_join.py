@@ -208,49 +208,62 @@ def scan_lists(post: DataFrame) -> DataFrame:
     return post.repartition("key").sortWithinPartitions("key", "rare", "doc").mapInArrow(run, "key long, doc long, n int, pivot long, pivot_n int")
 
 
+def mixed_lists(lists: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members, but for pivots, of lists that hold several components: (key, doc, n, comp, sig_a, bits)."""
+    rows = lists.filter("doc <> pivot").join(comp, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp"))
+    keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    side = classes.select(F.col("doc_id").alias("doc"), "sig_a", "bits")
+    return rows.join(keys, "key").join(side, "doc")
+
+
 def across(lists: DataFrame) -> DataFrame:
-    """(a, b): pairs of a list in different components, by size, without its pivot. lists(key, doc, n, pivot, comp)."""
+    """(a, b, sig_of_a, sig_of_b): pairs of a list in different components that sizes and parity maps let pass.
 
-    def pairs(doc, n, comp):
-        order = np.argsort(n, kind="stable")
-        doc, n, comp = doc[order], n[order], comp[order]
+    Sizes and maps are compared where the list lies, a member against a block of later ones at a time, so that only
+    pairs which need the exact test leave the task.
+    """
+    names = ("key", "doc", "n", "comp", "sig_a")
+
+    def passing(cols, maps):
+        order = np.argsort(cols[2], kind="stable")
+        _, doc, n, comp, sig = (c[order] for c in cols)
+        maps = maps[order]
         hi = np.searchsorted(n, 100 * n.astype(np.int64) // PERCENT, side="right")
-        out_a, out_b, size = [], [], 0
+        out = []
         for i in range(len(doc) - 1):
             j = np.arange(i + 1, hi[i])
             j = j[comp[j] != comp[i]]
-            if len(j):
-                out_a.append(np.full(len(j), doc[i]))
-                out_b.append(doc[j])
-                size += len(j)
-            if size > 100_000:
-                yield np.concatenate(out_a), np.concatenate(out_b)
-                out_a, out_b, size = [], [], 0
-        if size:
-            yield np.concatenate(out_a), np.concatenate(out_b)
-
-    def batch(a, b):
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
+            for s in range(0, len(j), 4096):
+                k = j[s : s + 4096]
+                total = n[k].astype(np.int64) + int(n[i])
+                differ = np.bitwise_count(maps[k] ^ maps[i]).sum(axis=1, dtype=np.int64)
+                k = k[(total - differ) // 2 * (100 + PERCENT) >= PERCENT * total]
+                if len(k):
+                    swap = doc[k] < doc[i]
+                    out.append((np.where(swap, doc[k], doc[i]), np.where(swap, doc[i], doc[k]), np.where(swap, sig[k], sig[i]), np.where(swap, sig[i], sig[k])))
+        return out
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "sig_of_a", "sig_of_b"])
 
     def run(it):
-        held = None
+        held, maps = None, None
         for b in it:
-            cols = [b.column(c).to_numpy() for c in ("key", "doc", "n", "comp")]
+            if not b.num_rows:
+                continue
+            cols = [b.column(c).to_numpy() for c in names]
+            own = np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint64).reshape(b.num_rows, -1)
             if held is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
-            key = cols[0]
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                cols, own = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)], np.concatenate([maps, own])
+            edge = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
             for s, e in zip(edge[:-1], edge[1:], strict=True):
-                if e - s > 1 and (cols[3][s:e] != cols[3][s]).any():
-                    for a, c in pairs(*(x[s:e] for x in cols[1:])):
-                        yield batch(a, c)
-            held = [x[edge[-1] :] for x in cols]
-        if held is not None and len(held[0]) > 1 and (held[3] != held[3][0]).any():
-            for a, c in pairs(*held[1:]):
-                yield batch(a, c)
+                if out := passing([x[s:e] for x in cols], own[s:e]):
+                    yield batch(out)
+            held, maps = [x[edge[-1] :] for x in cols], own[edge[-1] :]
+        if held is not None and (out := passing(held, maps)):
+            yield batch(out)
 
-    return lists.filter("doc <> pivot").select("key", "doc", "n", "comp").repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "a long, b long")
+    return lists.select(*names, "bits").repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "a long, b long, sig_of_a long, sig_of_b long")
 
 
 def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -330,8 +343,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = lists.filter(f"doc <> pivot AND 100 * least(n, pivot_n) >= {PERCENT} * greatest(n, pivot_n)").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
     first = materialise(verify(may_link(star, classes), docs), "jaccard-links")
     comp = components(first)
-    labelled = lists.join(comp, lists.doc == comp.node, "left").select("key", "doc", "n", "pivot", F.coalesce("component", "doc").alias("comp"))
-    rest = materialise(may_link(across(labelled).distinct(), classes), "jaccard-rest")
+    rest = materialise(across(mixed_lists(lists, comp, classes)).distinct(), "jaccard-rest")
     if not rest.isEmpty():
         second = materialise(verify(rest, docs), "jaccard-links")
         if not second.isEmpty():
