@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from claimforge.plans import relational, streams, textual  # noqa: F401  they register themselves
+from claimforge.plans.base import ORACLES, QUERIES
+
+FLAGSHIP = "w2_hybrid_rank"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
