@@ -53,7 +53,7 @@ def markdown_articles(spark: SparkSession, path: str) -> DataFrame:
 def files(spark: SparkSession, path: str) -> DataFrame:
     """Any files as (path, length, content); text and HTML become visible text."""
     x = spark.read.format("binaryFile").load(path)
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     return x.select("path", "length", F.when(F.lower("path").rlike(r"\.html?$"), visible_text(text)).when(F.lower("path").rlike(r"\.(txt|md)$"), text).alias("text"))
 
 

@@ -1,0 +1,88 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from claimforge.functions import secrets, text as T
+from claimforge.operators import claims as C, graph as X, search as S
+from claimforge.sources import text_sources
+
+
+def test_empty_and_missing_id_filters(spark):
+    rows = spark.createDataFrame([(1, True, 0.5, dt.datetime(2020, 1, 1), "confirmed", 1), (2, False, 0.9, dt.datetime(2020, 1, 2), "archived", 1)], "id long, pinned boolean, confidence double, updated_at timestamp_ntz, status string, scope int")
+    assert C.list_claims(rows, ids=[]).count() == 0
+    assert [r.id for r in C.list_claims(rows).collect()] == [1]
+    assert [r.id for r in C.list_claims(rows, include_archived=True).collect()] == [1, 2]
+
+
+def test_ambiguous_identity_is_an_error(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a")], "id long, key string")
+    with pytest.raises(Exception, match="ambiguous"):
+        C.resolve(rows, F.col("key") == "a").collect()
+
+
+def test_currency_is_half_open(spark):
+    t = dt.datetime(2020, 1, 1)
+    rows = spark.createDataFrame([(1, t, None), (2, None, t), (3, None, None)], "id int, valid_from timestamp_ntz, valid_until timestamp_ntz")
+    assert [r.id for r in C.current(rows, F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")).orderBy("id").collect()] == [1, 3]
+
+
+def test_tampered_chain_is_found(spark):
+    rows = spark.createDataFrame([(i, 1, f"p{i}") for i in range(5)], "id long, c int, p string")
+    chain = C.chain_hashes(rows, ["id", "p"], ["c"])
+    assert C.broken_links(chain, ["c"]).count() == 0
+    bad = chain.withColumn("content_hash", F.when(F.col("id") == 2, F.lit("x")).otherwise(F.col("content_hash")))
+    assert sorted(r.id for r in C.broken_links(bad, ["c"]).collect()) == [2, 3]
+
+
+def test_components_of_a_long_path(spark):
+    rows = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "src long, dst long")
+    got = {r.node: r.component for r in X.components(rows).collect()}
+    assert {got[i] for i in range(41)} == {0} and got[101] == 100
+
+
+def test_rrf_values(spark):
+    rows = spark.createDataFrame([("a", 1, 1), ("b", 1, 2), ("a", 2, 2)], "stream string, id int, rank int")
+    got = {r.id: r.rrf for r in S.rrf(rows).collect()}
+    assert got[1] == pytest.approx(1 / 61 + 1 / 62) and got[2] == pytest.approx(1 / 62)
+
+
+def test_knapsack_skips_and_prefix_stops(spark):
+    rows = spark.createDataFrame([("q", 1, 60), ("q", 2, 60), ("q", 3, 30)], "k string, id long, t long")
+    assert sorted(r.id for r in S.knapsack(rows, ["k"], "id", "t", 100).collect()) == [1, 3]
+    assert [r.id for r in S.budget_prefix(rows, ["k"], ["id"], "t", 100).collect()] == [1]
+
+
+def test_tokenizers_differ(spark):
+    r = spark.range(1).select(T.rank_tokens(F.lit("The ab foo_1 foo_1")).alias("a"), T.dedupe_tokens(F.lit("The ab foo_1")).alias("b"), T.recall_tokens(F.lit("Él café http://x.y z")).alias("c")).first()
+    assert (r.a, r.b, r.c) == (["foo_1"], ["the", "ab", "foo_1"], ["café"])
+
+
+def test_secret_redaction_and_suppression():
+    out, found = secrets.redact("token = abc123XYZ and password: example")
+    assert found == ["token_assignment"] and "[REDACTED:token_assignment]" in out and "example" in out
+    import base64
+
+    hidden = base64.b64encode(b"api_key = Zx91kPq77aa").decode()
+    assert any("token_assignment" in secrets.redact(v)[1] for v in secrets.variants(f"see {hidden}"))
+
+
+def test_hash_embedding_is_unit_and_stable():
+    v = secrets.hash_embedding("a b c")
+    assert sum(x * x for x in v) == pytest.approx(1.0) and v == secrets.hash_embedding("a b c")
+    assert secrets.hash_embedding("") == [0.0] * 64
+
+
+def test_turn_shapes(spark):
+    rows = spark.createDataFrame([('{"user_text":"a","assistant_text":"b"}',), ('{"events":[{"role":"user","text":"a"},{"role":"assistant","text":"b"}]}',), ('{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]}',)], "line string")
+    assert [(r.user_text, r.assistant_text) for r in text_sources.normalised_turns(rows).collect()] == [("a", "b")] * 3
+
+
+def test_files_and_articles(spark, tmp_path):
+    (tmp_path / "note.md").write_text("---\ntitle: T\ndate: 2020-01-01\nclaims: [3, 4]\n---\nBody")
+    r = text_sources.markdown_articles(spark, str(tmp_path / "*.md")).first()
+    assert (r.slug, r.title, r.claim_ids, r.body) == ("note", "T", [3, 4], "Body")
+    (tmp_path / "p.html").write_text("<p>a &amp; b</p><script>x</script>")
+    assert text_sources.files(spark, str(tmp_path / "p.html")).first().text == "a & b"
+    (tmp_path / "chat.json").write_text('[{"id":"1","chat_id":"c","text":"hi","timestamp":"2020-01-01T00:00:00Z"},{"id":"1","chat_id":"c","text":"hi"}]')
+    assert text_sources.chat_export(spark, str(tmp_path / "chat.json")).count() == 1
