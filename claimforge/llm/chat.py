@@ -1,8 +1,9 @@
 """Chat formatting by columnar byte assembly, with a reversible template and a loss mask.
 
-A turn is written as ``### role\\n`` text ``</turn>\\n``. Inside roles and texts every backslash, ``#``, ``<`` and, in
-roles, line feed gets a backslash before it, so that neither marker can occur there unescaped; taking one backslash
-away before any byte restores the text. Lengths, offsets and scatter targets of all segments of a batch are numpy
+A turn is written as ``### role\\n`` text ``</turn>\\n``. Inside roles and texts every backslash, ``#`` and ``<`` gets a
+backslash after it, so that neither marker can occur there, not even as part of something longer; in roles a line feed
+is a backslash and ``n``. Reading back takes the backslash after each of those bytes away.
+Lengths, offsets and scatter targets of all segments of a batch are numpy
 arrays; headers, contents and footers are copied into one preallocated buffer. The loss mask is the byte span of
 each assistant text within its formatted turn.
 
@@ -17,6 +18,7 @@ result. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +32,25 @@ FORMATTED = "conv_id long, turn long, role string, formatted binary, mask_from i
 
 _ESCAPED = np.zeros(256, dtype=bool)
 _ESCAPED[list(b"\\#<")] = True
-_ESCAPED_ROLE = _ESCAPED.copy()
-_ESCAPED_ROLE[0x0A] = True
 
 
-def _escape(raw: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes with a backslash before each marked byte, and the new offsets."""
-    marked = table[raw]
+def _escape(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes with a backslash after each marked byte, and the new offsets."""
+    marked = _ESCAPED[raw]
     shift = np.zeros(len(raw) + 1, dtype=np.int64)
     np.cumsum(marked, out=shift[1:])
     out = np.full(len(raw) + int(shift[-1]), 0x5C, dtype=np.uint8)
-    out[np.arange(len(raw)) + shift[1:]] = raw
+    out[np.arange(len(raw)) + shift[:-1]] = raw
     return out, at + shift[at]
 
 
+def _escaped_roles(roles: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same for roles, made once for each distinct one."""
+    coded = roles.fill_null("").dictionary_encode()
+    done = [re.sub(r"[\\#<]", lambda m: m.group(0) + "\\", r).replace("\n", "\\n").encode() for r in coded.dictionary.to_pylist()]
+    return string_buffers(pa.array(done, pa.binary()).take(coded.indices)) if done else string_buffers(roles)
+
+
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start[i], start[i] + 1, ... for each i, in a row."""
     total = np.cumsum(length)
@@ -53,8 +60,8 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(buffer, offsets, mask from, mask to): a formatted turn per row; the spans are those of the texts within their turns."""
-    role, role_at = _escape(*string_buffers(roles), _ESCAPED_ROLE)
-    text, text_at = _escape(*string_buffers(texts), _ESCAPED)
+    role, role_at = _escaped_roles(roles)
+    text, text_at = _escape(*string_buffers(texts))
     n, role_len, text_len = len(role_at) - 1, np.diff(role_at), np.diff(text_at)
     head, tail = np.frombuffer(HEAD, np.uint8), np.frombuffer(TAIL, np.uint8)
     size = len(head) + role_len + len(SEP) + text_len + len(tail)
@@ -94,17 +101,20 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 def unescape(data: bytes) -> bytes:
-    """Takes one backslash away before any byte."""
+    """Takes the backslash after each backslash, ``#`` and ``<`` away."""
     if b"\\" not in data:
         return data
     raw = np.frombuffer(data, np.uint8)
     slash = raw == 0x5C
-    # In a run of backslashes those at even places are escapes.
     idx = np.arange(len(raw))
-    run_from = np.maximum.accumulate(np.where(~slash, idx + 1, 0))
-    place = idx - np.concatenate([[0], run_from[:-1]])
-    drop = slash & (place % 2 == 0)
-    return raw[~drop].tobytes()
+    start = np.maximum.accumulate(np.where(~slash, idx + 1, 0))  # where the run of backslashes at a place began
+    start = np.concatenate([[0], start[:-1]])
+    owed = (start > 0) & np.isin(raw[np.maximum(start - 1, 0)], (0x23, 0x3C))  # its first one belongs to a # or <
+    return raw[~(slash & ((idx - start + ~owed) % 2 == 0))].tobytes()
+
+
+def _role(data: bytes) -> bytes:
+    return re.sub(rb"([\\#<])\\|\\n", lambda m: m.group(1) or b"\n", data)
 
 
 def parse_turn(data: bytes) -> tuple[bytes, bytes]:
@@ -112,16 +122,7 @@ def parse_turn(data: bytes) -> tuple[bytes, bytes]:
     if not data.startswith(HEAD) or not data.endswith(TAIL):
         raise ValueError("not a formatted turn")
     at = data.index(SEP, len(HEAD))
-    while _slashes(data, at) % 2:
-        at = data.index(SEP, at + 1)
-    return unescape(data[len(HEAD) : at]), unescape(data[at + 1 : -len(TAIL)])
-
-
-def _slashes(data: bytes, at: int) -> int:
-    n = 0
-    while at - n > 0 and data[at - n - 1] == 0x5C:
-        n += 1
-    return n
+    return _role(data[len(HEAD) : at]), unescape(data[at + 1 : -len(TAIL)])
 
 
 class _Digest:
