@@ -8,7 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bounds of the Arrow batches between Spark and its Python workers: rows, and bytes where texts are long.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps the memory of a Python worker, and of the JVM's Arrow buffers, independent of how long texts are."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        text = spark.conf.get(key, None) or "0"
+        if not text.isdigit() or int(text) <= 0 or int(text) > most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,11 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write to a new folder below the shared one and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def reset(spark: SparkSession, df: DataFrame) -> None:
-    """Forget a broadcast or cached frame if it is one."""
-    df.unpersist()

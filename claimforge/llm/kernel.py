@@ -6,10 +6,16 @@ working memory of a task does not depend on the batch that Spark happens to send
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
 CHUNK = 2 << 20
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
 U64 = np.uint64
 _MULT = U64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 _INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -73,6 +79,19 @@ def chunks(column: pa.Array, most: int = CHUNK):
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
         yield lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
+    tidy()
+
+
+_seen = {"batches": 0}
+
+
+def tidy(every: int = 8) -> None:
+    """Now and then gives freed memory back to the system: a worker that is used again otherwise keeps its peak."""
+    _seen["batches"] += 1
+    if _seen["batches"] % every == 0:
+        pa.default_memory_pool().release_unused()
+        if _TRIM is not None:
+            _TRIM(0)
 
 
 class Words:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimforge.llm import fm_index, jaccard_join, mixing, passages, toxicity
-from claimforge.llm.io import materialise, table
+from claimforge.llm.io import bound_batches, materialise, table
 
 #: No single SQL statement expresses stages 1, 3 and 4; the whole is tested against brute force.
 ORACLE_SQL = None
@@ -28,6 +28,7 @@ def plain(stage):
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         own = ("doc_id", "text", "lang", "source", "n_chars")
+        bound_batches(spark)
         names = docs.columns
         hidden = [n if n in own else f"__extra_{i}" for i, n in enumerate(names)]
         out = stage(spark, docs.toDF(*hidden), sf_dir)
