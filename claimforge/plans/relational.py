@@ -495,9 +495,9 @@ def v13(spark, d):
     return G.steward_decisions(A.claims(spark, d))
 
 
-@query("v16_scheduled_archive", f"SELECT id FROM claims WHERE status = 'stale' AND access_count = 0 AND updated_at < {NOW} - INTERVAL 14 DAY ORDER BY updated_at, id LIMIT 500", CLAIMS)
+@query("v16_scheduled_archive", f"SELECT id FROM claims WHERE status = 'stale' AND access_count <= 2 AND updated_at < {NOW} - INTERVAL 14 DAY ORDER BY updated_at, id LIMIT 500", CLAIMS)
 def v16(spark, d):
-    return A.claims(spark, d).filter((F.col("status") == "stale") & (F.col("access_count") == 0) & (F.col("updated_at") < AT() - F.make_dt_interval(F.lit(14)))).orderBy("updated_at", "id").limit(500).select("id")
+    return A.claims(spark, d).filter((F.col("status") == "stale") & (F.col("access_count") <= 2) & (F.col("updated_at") < AT() - F.make_dt_interval(F.lit(14)))).orderBy("updated_at", "id").limit(500).select("id")
 
 
 @query("r3_recall_counters", "SELECT event_type, count(*) AS n, round(avg((value < 10)::INT), 6) AS zero_rate, round(avg(value), 4) AS mean, max(value) AS most FROM ledger GROUP BY event_type", LEDGER)
