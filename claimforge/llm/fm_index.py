@@ -108,18 +108,24 @@ class FMIndex:
     def __init__(self, text: np.ndarray, sample: int = SAMPLE):
         n = len(text)
         self.n, self.sample = n, sample
-        rank, step, top = text.astype(np.int64), 1, int(text.max())
-        order = np.argsort(rank, kind="stable")
-        while n > 1:
-            key = rank * (int(rank.max()) + 1) + np.roll(rank, -step)
-            order = np.argsort(key, kind="stable")
-            new = np.zeros(n, dtype=np.int64)
-            np.cumsum(key[order][1:] != key[order][:-1], out=new[1:])
-            rank = np.empty(n, dtype=np.int64)
-            rank[order] = new
+        top, step = int(text.max()), 1
+        # Prefix doubling; only rows whose rotations still tie are sorted again. A rank is the first row of its tie.
+        order = np.argsort(text)
+        sorted_ = text[order]
+        new = np.append(True, sorted_[1:] != sorted_[:-1])
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        slots = np.flatnonzero(~(new & np.append(new[1:], True)))
+        while len(slots):
+            row = order[slots]
+            key = rank[row] * n + rank[(row + step) % n]
+            by = np.argsort(key)
+            row, key = row[by], key[by]
+            order[slots] = row
+            new = np.append(True, key[1:] != key[:-1])
+            rank[row] = slots[np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))]
+            slots = slots[~(new & np.append(new[1:], True))]
             step *= 2
-            if new[-1] == n - 1:
-                break
         self.wave = WaveletMatrix(np.roll(text, 1)[order].astype(np.int64), max(1, top.bit_length()))
         self.first = np.zeros(top + 2, dtype=np.int64)
         np.cumsum(np.bincount(text, minlength=top + 1), out=self.first[1:])
