@@ -405,3 +405,151 @@ def r20(spark, d):
 def r22(spark, d):
     p = A.ledger(spark, d).filter("event_type = 'supersession'").select(F.col("id").alias("p"), "claim_id")
     return p.join(A.claims(spark, d).filter(F.col("status").isin("superseded", "archived")), F.col("claim_id") == F.col("id")).select(F.col("p").alias("id"), "status")
+
+
+def _features(spark, d):
+    x = C.with_citations(A.claims(spark, d), A.citations(spark, d))
+    return x.select("id", "confidence", "n_citations", "n_sources", "access_count", (G.hours(F.col("created_at"), A.now(A.NOW_CLAIMS)) / 24.0).alias("age_days"), F.col("status").isin("confirmed", "stale").cast("double").alias("label"))
+
+
+@query("f36_classifier_gate")
+def f36(spark, d):
+    from claimforge.operators import models
+
+    x = _features(spark, d)
+    return models.promotion_gate(x, "label", x.filter("id % 5 <> 0")).select("id", "probability", "promoted")
+
+
+@query("v28_quality_model")
+def v28(spark, d):
+    from claimforge.operators import models
+
+    x = _features(spark, d)
+    return models.quality_model(x, "label", x.filter("id % 5 <> 0")).select("id", "probability")
+
+
+@query("f11_query_expansion", f"WITH q AS (SELECT item_id AS prompt_id, unnest({RT.format('text')}) AS term FROM benchmark WHERE item_id < 10), t AS (SELECT unnest({RT.format('text')}) AS alias FROM notes), n AS (SELECT alias, count(*) AS popularity FROM t GROUP BY alias HAVING count(*) >= 3), h AS (SELECT prompt_id, term, alias FROM q JOIN n ON substr(term, 1, 4) = substr(alias, 1, 4) AND term <> alias WHERE length(term) >= 4 QUALIFY row_number() OVER (PARTITION BY prompt_id, term ORDER BY popularity DESC, length(alias), alias) <= 2) SELECT * FROM h", NOTES)
+def f11(spark, d):
+    q = A.prompts(spark, d).filter("prompt_id < 10").select("prompt_id", F.explode(T.rank_tokens(F.col("prompt"))).alias("term")).filter(F.length("term") >= 4)
+    n = A.notes(spark, d).select(F.explode(T.rank_tokens(F.col("text"))).alias("alias")).groupBy("alias").agg(one().alias("popularity")).filter("popularity >= 3")
+    x = q.join(n, (F.substring("term", 1, 4) == F.substring("alias", 1, 4)) & (F.col("term") != F.col("alias")))
+    return N.first_per(x, ["prompt_id", "term"], [F.desc("popularity"), F.length("alias"), "alias"], 2).select("prompt_id", "term", "alias")
+
+
+@query("f41_rule_parse", "SELECT id, CASE WHEN id % 4 <> 0 THEN 'use ' || predicate END AS action FROM claims WHERE id < 2000", CLAIMS)
+def f41(spark, d):
+    raw = F.when(F.col("id") % 4 == 0, "{broken").otherwise(F.to_json(F.struct(F.lit("when").alias("trigger"), F.concat(F.lit("use "), "predicate").alias("action"))))
+    return A.claims(spark, d).filter("id < 2000").select("id", L.rule_of(raw).getField("action").alias("action"))
+
+
+@query("g6_supported_reach", """WITH RECURSIVE c AS (SELECT o_orderkey AS id, (o_orderkey % 101) / 100.0::DOUBLE AS confidence FROM orders), e AS (SELECT a.id AS src, a.id + 1 AS dst, a.confidence AS w FROM c a WHERE a.id IN (SELECT l_orderkey FROM lineitem)), r AS (SELECT id AS node, 1.0::DOUBLE AS weight, 0 AS h FROM c WHERE id % 300 = 0 UNION ALL SELECT e.dst, r.weight * e.w, h + 1 FROM r JOIN e ON r.node = e.src WHERE h < 4 AND r.weight * e.w >= 0.01)
+ SELECT node, round(max(weight), 6) AS weight FROM r GROUP BY node""")
+def g6(spark, d):
+    c = A.claims(spark, d)
+    e = c.join(A.citations(spark, d), F.col("id") == F.col("claim_id"), "left_semi").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.col("confidence").alias("weight"))
+    return N.reach(e, c.filter("id % 300 = 0").select(F.col("id").alias("node")), 4, 0.01).select("node", F.round("weight", 6).alias("weight"))
+
+
+@query("g11_invalidated", "WITH n AS (SELECT source, sha256(string_agg(claim_id::VARCHAR, ',' ORDER BY claim_id, locator)) AS h FROM citations GROUP BY source), o AS (SELECT source, sha256(string_agg(claim_id::VARCHAR, ',' ORDER BY claim_id, locator)) AS h FROM citations WHERE NOT (source % 10 = 3 AND locator = 1) GROUP BY source) SELECT o.source FROM o JOIN n USING (source) WHERE o.h <> n.h", CITATIONS)
+def g11(spark, d):
+    def hashed(x, name):
+        ids = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("claim_id", "locator"))), lambda v: v.claim_id.cast("string")), ",")
+        return x.groupBy("source").agg(F.sha2(ids.cast("binary"), 256).alias(name))
+
+    t = A.citations(spark, d)
+    return hashed(t.filter("NOT (source % 10 = 3 AND locator = 1)"), "o").join(hashed(t, "n"), "source").filter("o <> n").select("source")
+
+
+@query("g13_link_suggestions", "WITH l AS (SELECT DISTINCT claim_id, source FROM citations WHERE claim_id < 300), p AS (SELECT a.claim_id AS a, b.claim_id AS b, count(*) AS shared FROM l a JOIN l b ON a.source = b.source AND a.claim_id <> b.claim_id GROUP BY ALL) SELECT a, b, shared FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) <= 3", CITATIONS)
+def g13(spark, d):
+    l = A.citations(spark, d).filter("claim_id < 300").select("claim_id", "source").distinct()
+    a, b = l.alias("a"), l.alias("b")
+    p = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a.claim_id") != F.col("b.claim_id"))).groupBy(F.col("a.claim_id").alias("a"), F.col("b.claim_id").alias("b")).agg(one().alias("shared"))
+    return N.first_per(p, ["a"], [F.desc("shared"), "b"], 3)
+
+
+@query("g9_eligible_observations", """WITH RECURSIVE s AS (SELECT l_orderkey AS claim_id, l_suppkey AS evidence, l_partkey % 200 AS signature FROM lineitem WHERE l_orderkey < 400), u AS (SELECT DISTINCT 1000000 + signature AS x, evidence AS y FROM s), b AS (SELECT x, y FROM u UNION SELECT y, x FROM u),
+ r AS (SELECT x AS node, x AS low FROM b UNION SELECT b.y, r.low FROM r JOIN b ON r.node = b.x), c AS (SELECT node, min(low) AS component FROM r GROUP BY node)
+ SELECT component, count(DISTINCT claim_id) AS claims, count(DISTINCT evidence) AS evidence, count(DISTINCT signature) AS signatures FROM s JOIN c ON evidence = node GROUP BY component HAVING count(DISTINCT claim_id) >= 3 AND count(DISTINCT evidence) >= 2 AND count(DISTINCT signature) >= 2""")
+def g9e(spark, d):
+    s = A.citations(spark, d).filter("claim_id < 400").select("claim_id", F.col("source").alias("evidence"), (F.col("part") % 200).alias("signature"))
+    comp = X.components(s.select((F.col("signature") + 1000000).alias("src"), F.col("evidence").alias("dst")).distinct())
+    return N.eligible_observations(s, comp)
+
+
+@query("v2_extractor", "SELECT id, CASE WHEN regexp_matches(text, '\\b(?:\\d{1,3}\\.){3}\\d{1,3}\\b') THEN 'ip_address' END AS predicate, length(regexp_replace(trim(lower(text)), '\\s+', ' ', 'g')) AS n FROM notes WHERE status = 'candidate'", NOTES)
+def v2(spark, d):
+    x = A.notes(spark, d).filter("status = 'candidate'")
+    return x.select("id", F.when(T.structure(F.col("text")).getField("predicate") == "ip_address", "ip_address").alias("predicate"), F.length(T.normalised(F.col("text"))).alias("n"))
+
+
+@query("v3_near_dup_archive", """WITH s AS (SELECT id, scope, status, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS s FROM notes), p AS (SELECT a.id, b.id AS of, len(list_intersect(a.s, b.s)) AS i, len(a.s) AS n, len(b.s) AS m, a.status FROM s a JOIN s b ON a.scope = b.scope AND a.id > b.id AND least(len(a.s), len(b.s)) >= 0.85 * greatest(len(a.s), len(b.s)) WHERE len(a.s) > 0 AND len(b.s) > 0),
+ k AS (SELECT * FROM p WHERE i / (n + m - i) >= 0.85 QUALIFY row_number() OVER (PARTITION BY id ORDER BY i / (n + m - i) DESC, of) = 1) SELECT id, of FROM k WHERE status = 'candidate'""", NOTES)
+def v3(spark, d):
+    n = A.notes(spark, d)
+    return S.jaccard_duplicates(n, 0.85, 50).join(n.filter("status = 'candidate'").select("id"), "id", "left_semi").select("id", "of")
+
+
+@query("v4_deterministic_validation", "SELECT id, regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}$') AS valid, CASE WHEN regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}$') THEN 0.05::DOUBLE ELSE -0.18::DOUBLE END AS delta FROM (SELECT id, CASE WHEN id % 4 = 0 THEN 'soon' ELSE strftime(created_at, '%Y-%m-%d') END AS v FROM claims)", CLAIMS)
+def v4(spark, d):
+    v = F.when(F.col("id") % 4 == 0, "soon").otherwise(F.date_format("created_at", "yyyy-MM-dd"))
+    return A.claims(spark, d).select("id", T.validated(F.lit("date"), v).alias("v")).select("id", "v.valid", "v.delta")
+
+
+@query("v14_proposals", "SELECT claim_id, count(*) AS proposals, max(id) AS last FROM ledger WHERE event_type = 'supersession' GROUP BY claim_id HAVING count(*) >= 2", LEDGER)
+def v14(spark, d):
+    return A.ledger(spark, d).filter("event_type = 'supersession'").groupBy("claim_id").agg(one().alias("proposals"), F.max("id").alias("last")).filter("proposals >= 2")
+
+
+@query("v19_erasure", "SELECT id, CASE WHEN subject % 20 = 0 THEN '[REDACTED]' ELSE object_value END AS object_value FROM claims", CLAIMS)
+def v19(spark, d):
+    return A.claims(spark, d).select("id", F.when(F.col("subject") % 20 == 0, "[REDACTED]").otherwise(F.col("object_value")).alias("object_value"))
+
+
+@query("v25_idle_sessions", "SELECT claim_id, count(*) AS turns, max(created_at) AS last FROM ledger GROUP BY claim_id HAVING count(*) >= 2 AND max(created_at) <= TIMESTAMP '2024-01-30'", LEDGER)
+def v25(spark, d):
+    return A.ledger(spark, d).groupBy("claim_id").agg(one().alias("turns"), F.max("created_at").alias("last")).filter((F.col("turns") >= 2) & (F.col("last") <= A.now("2024-01-30 00:00:00")))
+
+
+@query("r1_task_briefing", "WITH x AS (SELECT scope, id, 10 + id % 20 AS tokens, row_number() OVER (PARTITION BY scope ORDER BY confidence DESC, id) AS r FROM claims WHERE status = 'confirmed'), y AS (SELECT *, sum(tokens) OVER (PARTITION BY scope ORDER BY r) AS running FROM x) SELECT scope, id, running::BIGINT AS running FROM y WHERE running <= 300", CLAIMS)
+def r1(spark, d):
+    x = A.claims(spark, d).filter("status = 'confirmed'").withColumn("t", 10 + F.col("id") % 20)
+    return S.budget_prefix(x, ["scope"], [F.desc("confidence"), "id"], "t", 300).select("scope", "id", "running")
+
+
+@query("r4_rule_retrieval", "SELECT id, predicate FROM claims WHERE predicate LIKE '%HIGH%' AND status = 'confirmed' ORDER BY confidence DESC, id LIMIT 30", CLAIMS)
+def r4(spark, d):
+    return A.claims(spark, d).filter(F.col("predicate").contains("HIGH") & (F.col("status") == "confirmed")).orderBy(F.desc("confidence"), "id").limit(30).select("id", "predicate")
+
+
+@query("r13_insight_floor", "SELECT id, value FROM ledger WHERE value >= 90 AND to_status <> 'archived'", LEDGER)
+def r13(spark, d):
+    return A.ledger(spark, d).filter("value >= 90 AND to_status <> 'archived'").select("id", "value")
+
+
+@query("r15_supersession_targets", "SELECT c.id, t.id AS target FROM claims c JOIN claims t ON c.replaced_by = t.id AND c.subject <> t.subject", CLAIMS)
+def r15(spark, d):
+    c = A.claims(spark, d)
+    t = c.select(F.col("id").alias("target"), F.col("subject").alias("s"))
+    return c.join(t, (F.col("replaced_by") == F.col("target")) & (F.col("subject") != F.col("s"))).select("id", "target")
+
+
+@query("r16_claim_links", "SELECT source, count(*) AS links FROM (SELECT claim_id AS a, source FROM citations UNION SELECT part, source FROM citations) WHERE a < 500 GROUP BY source", CITATIONS)
+def r16(spark, d):
+    t = A.citations(spark, d)
+    return t.select(F.col("claim_id").alias("a"), "source").union(t.select(F.col("part").alias("a"), "source")).filter("a < 500").distinct().groupBy("source").agg(one().alias("links"))
+
+
+@query("r21_usage_rollup", "SELECT date_trunc('day', created_at) AS day, event_type, count(*) AS n, count(DISTINCT claim_id) AS users FROM ledger GROUP BY 1, 2", LEDGER)
+def r21(spark, d):
+    return A.ledger(spark, d).groupBy(F.date_trunc("day", "created_at").cast("timestamp_ntz").alias("day"), "event_type").agg(one().alias("n"), F.countDistinct("claim_id").alias("users"))
+
+
+@query("e10_outcome_report", "SELECT raw_type, to_status, count(DISTINCT claim_id) AS claims FROM ledger GROUP BY 1, 2", LEDGER)
+def e10(spark, d):
+    return A.ledger(spark, d).groupBy("raw_type", "to_status").agg(F.countDistinct("claim_id").alias("claims"))
+
+
+@query("e11_stage_totals", "SELECT event_type, round(sum(value), 2) AS total, count(*) AS n FROM ledger GROUP BY event_type", LEDGER)
+def e11(spark, d):
+    return A.ledger(spark, d).groupBy("event_type").agg(F.round(F.sum("value"), 2).alias("total"), one().alias("n"))

@@ -86,3 +86,30 @@ def test_files_and_articles(spark, tmp_path):
     assert text_sources.files(spark, str(tmp_path / "p.html")).first().text == "a & b"
     (tmp_path / "chat.json").write_text('[{"id":"1","chat_id":"c","text":"hi","timestamp":"2020-01-01T00:00:00Z"},{"id":"1","chat_id":"c","text":"hi"}]')
     assert text_sources.chat_export(spark, str(tmp_path / "chat.json")).count() == 1
+
+
+def test_snapshots_keep_history(spark, tmp_path):
+    from claimforge.sources import snapshots as V
+
+    root = str(tmp_path / "snap")
+    V.write_snapshot({"t": spark.range(3)}, root, 1)
+    V.write_snapshot({"t": spark.range(5)}, root, 2)
+    assert V.roll_back(spark, root, 1) == 3
+    assert V.read_snapshot(spark, root, 3, "t").count() == 3
+    assert [r.rows for r in V.versions(spark, root).collect()] == [3, 5, 3]
+
+
+def test_access_and_search_text():
+    from claimforge.operators import lifecycle as L
+
+    assert L.allowed("writer", "write") and not L.allowed("reader", "write") and not L.allowed("nobody", "read")
+    assert L.search_text("the cat") == "the cat"
+    assert L.search_text("alpha beta gamma delta epsilon alpha") == "alpha OR beta OR gamma OR delta OR epsilon"
+
+
+def test_json_line_sources(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"id":"1","text":"a","scope":"s","confidence":0.5}\n{broken\n')
+    rows = text_sources.claim_lines(spark, str(tmp_path / "c.jsonl")).collect()
+    assert [r.id for r in rows if r._corrupt_record is None] == ["1"] and sum(r._corrupt_record is not None for r in rows) == 1
+    (tmp_path / "g.json").write_text('{"nodes":[{"id":"n","label":"L"}]}')
+    assert text_sources.federated_graphs(spark, str(tmp_path / "g.json")).first().label == "L"
