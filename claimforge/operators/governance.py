@@ -190,10 +190,10 @@ def tally_confidence(n: Column) -> Column:
 def retention(turns: DataFrame, keep_sessions: int, max_chars: int) -> DataFrame:
     """Sessions beyond the newest ``keep_sessions``, then the oldest turns until the rest fits: running sums, not a loop.
 
-    The running sum is taken per session first, so that only one row a session is ordered globally.
+    Only the newest ``keep_sessions`` rows, one a session, are ordered in one place: a bounded top-k.
     """
     s = turns.groupBy("session_id").agg(F.sum(F.length("content")).alias("chars"), F.max("id").alias("last"))
-    s = s.withColumn("rank", F.row_number().over(W.orderBy(F.desc("last"))))
-    kept = s.filter(F.col("rank") <= keep_sessions).withColumn("newer", F.sum("chars").over(W.orderBy(F.desc("last")).rowsBetween(W.unboundedPreceding, 0)))
-    out = s.join(kept.select("session_id", "newer"), "session_id", "left")
+    top = s.orderBy(F.desc("last")).limit(keep_sessions)
+    kept = top.select("session_id", F.sum("chars").over(W.orderBy(F.desc("last")).rowsBetween(W.unboundedPreceding, 0)).alias("newer"))
+    out = s.join(kept, "session_id", "left")
     return out.select("session_id", "chars", F.when(F.col("newer").isNull(), "old_session").when(F.col("newer") > max_chars, "over_budget").otherwise("kept").alias("plan"))

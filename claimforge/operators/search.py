@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from claimforge.functions import text as T
@@ -42,7 +46,7 @@ def bm25(rows: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
 def lexical(query: str, body: Column) -> Column:
     """Weighted token recall, precision, phrase and prefix of one query."""
     q = query.strip().lower()
-    wanted = [t for t in dict.fromkeys(__import__("re").findall("[a-z0-9_]+", q)) if len(t) >= 3 and t not in T.RANK_STOP]
+    wanted = [t for t in dict.fromkeys(re.findall("[a-z0-9_]+", q)) if len(t) >= 3 and t not in T.RANK_STOP]
     have = T.rank_tokens(body)
     hit = F.size(F.array_intersect(have, F.array(*[F.lit(t) for t in wanted]))) if wanted else F.lit(0)
     score = LEXICAL[0] * hit / max(1, len(wanted)) + LEXICAL[1] * hit / F.greatest(F.lit(1), F.size(have)) + F.when(F.lower(body).contains(q), LEXICAL[2]).otherwise(0.0) + F.when(F.exists(have, lambda t: t.startswith(q)), LEXICAL[3]).otherwise(0.0)
@@ -65,9 +69,9 @@ def component_ranks(rows: DataFrame, components: list[str], by: list[str]) -> Da
 
 def hybrid_rank(rows: DataFrame, floor_ratio: float, limit: int) -> DataFrame:
     """relevance and boosts -> gate of boosts below a share of the best relevance, zero-relevance rows dropped unless pinned."""
-    best = F.max("relevance").over(W.partitionBy(F.lit(0)))
-    gated = (best > 0) & (F.col("relevance") < best * floor_ratio)
-    x = rows.withColumn("best", best).withColumn("gated", gated).filter((F.col("relevance") > 0) | F.col("pinned"))
+    best = rows.agg(F.max("relevance").alias("best"))  # one row, instead of a window that gathers all rows in one task
+    gated = (F.col("best") > 0) & (F.col("relevance") < F.col("best") * floor_ratio)
+    x = rows.join(F.broadcast(best)).withColumn("gated", gated).filter((F.col("relevance") > 0) | F.col("pinned"))
     x = x.withColumn("final", F.round(F.col("relevance") + F.when(F.col("gated"), 0.0).otherwise(F.col("boosts")), 6))
     return x.orderBy(F.desc("final"), F.desc("confidence"), F.desc("id")).limit(limit)
 
@@ -118,14 +122,37 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+TILE = 1024
+
+
+def _tile_products(lo: float, hi: float | None):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, left, right = key
+        u = np.array(pdf["v"].tolist(), dtype=float).reshape(len(pdf), -1)
+        u /= np.maximum(np.sqrt((u * u).sum(axis=1, keepdims=True)), 1e-300)
+        ids, tile = pdf["id"].to_numpy(), pdf["tile"].to_numpy()
+        x, y = np.flatnonzero(tile == left), np.flatnonzero(tile == right)
+        cos = u[x] @ u[y].T
+        ok = (cos >= lo) & (cos < hi if hi is not None else True)
+        i, j = np.nonzero(ok)
+        a, b, c = ids[x[i]], ids[y[j]], cos[i, j]
+        once = a < b if left == right else a != b
+        return pd.DataFrame({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "cos": c[once]})
+
+    return run
+
+
 def similar_pairs(vectors: DataFrame, lo: float, hi: float | None = None, block: str = "scope") -> DataFrame:
-    """Pairs (i < j) inside a block with cosine in [lo, hi). The block key makes it an equi-join; norms are computed once."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    unit = vectors.withColumn("n", F.sqrt(dot(F.col("v"), F.col("v")))).withColumn("u", F.transform("v", lambda x: x / F.col("n"))).select("id", F.col(block).alias("blk"), "u")
-    a, b = unit.alias("a"), unit.alias("b")
-    x = a.join(b, (F.col("a.blk") == F.col("b.blk")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), dot(F.col("a.u"), F.col("b.u")).alias("cos"))
-    x = x.filter(F.col("cos") >= lo)
-    return x.filter(F.col("cos") < hi) if hi is not None else x
+    """Pairs (a < b) inside a block with cosine in [lo, hi), exact: a matrix product for each pair of tiles of about TILE vectors.
+
+    A block of any size is many tiles, so no task holds more than two of them, and only qualified pairs leave a task.
+    """
+    sizes = vectors.groupBy(F.col(block).alias("blk")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    x = vectors.select("id", F.col(block).alias("blk"), "v").join(sizes, "blk").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    x = x.select("blk", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "id", "v", "tile")
+    kind = vectors.schema["id"].dataType.simpleString()
+    return x.groupBy("blk", "t1", "t2").applyInPandas(_tile_products(lo, hi), f"a {kind}, b {kind}, cos double")
 
 
 def jaccard_duplicates(rows: DataFrame, threshold: float, max_df: int) -> DataFrame:

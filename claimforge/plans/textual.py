@@ -117,8 +117,8 @@ def w3(spark, d):
 @query("w20_drop_reasons", "SELECT CASE WHEN relevance = 0 AND NOT pinned THEN 'zero_relevance' WHEN gated THEN 'gated' ELSE 'ranked' END AS reason, count(*) AS n FROM ranked GROUP BY 1", NOTES, HYBRID)
 def w20(spark, d):
     x = _hybrid(spark, d)
-    best = F.max("relevance").over(W.partitionBy(F.lit(0)))
-    x = x.withColumn("gated", F.col("relevance") < best * 0.3)
+    best = x.agg(F.max("relevance").alias("best"))  # one row
+    x = x.join(F.broadcast(best)).withColumn("gated", F.col("relevance") < F.col("best") * 0.3)
     return x.groupBy(F.when((F.col("relevance") == 0) & ~F.col("pinned"), "zero_relevance").when(F.col("gated"), "gated").otherwise("ranked").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -113,3 +113,15 @@ def test_json_line_sources(spark, tmp_path):
     assert [r.id for r in rows if r._corrupt_record is None] == ["1"] and sum(r._corrupt_record is not None for r in rows) == 1
     (tmp_path / "g.json").write_text('{"nodes":[{"id":"n","label":"L"}]}')
     assert text_sources.federated_graphs(spark, str(tmp_path / "g.json")).first().label == "L"
+
+
+def test_vector_tiles_find_every_pair(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 6))
+    rows = spark.createDataFrame([(i, i % 2, v[i].tolist()) for i in range(60)], "id long, scope int, v array<double>")
+    monkeypatch.setattr(S, "TILE", 7)
+    got = {(r.a, r.b) for r in S.similar_pairs(rows, 0.5).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if i % 2 == j % 2 and u[i] @ u[j] >= 0.5}
