@@ -42,6 +42,13 @@ def test_furniture_is_left_out(spark):
     assert [r.n_chars for r in rows] == [len(r.text) for r in rows]
 
 
+def test_comments_and_teasers_in_article_elements():
+    body = """<main><article><h1>T</h1><p>Body</p><div class="commentlist"><article class="comment"><p>me</p></article></div></article>
+    <article class="related teaser"><p>More</p></article><div class="commentary"><p>Note</p></div></main>"""
+    assert html.extract(body, frozenset(), None) == "T\nBody\nNote"
+    assert html.extract("<article hidden><p>x</p></article><article><p>y</p></article>", frozenset(), None) == "y"
+
+
 def test_fixed_blocks_of_a_host_are_template(spark):
     pages = [(f"https://h.example/{i}", f"<body><div><p>Read on our app</p><p>Story number {i} has words</p><p>And more of {i * i} here</p></div></body>") for i in range(6)]
     t = html.templates(page(spark, *pages)).collect()
