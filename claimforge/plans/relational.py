@@ -219,7 +219,7 @@ def a6(spark, d):
     return G.quality_scores(A.claims(spark, d), A.ledger(spark, d).filter("event_type = 'validator'"), AT())
 
 
-@query("a7_session_stats", "SELECT session_id, count(*) AS n, sum(length(content)) AS chars FROM turns GROUP BY session_id", TURNS)
+@query("a7_session_stats", "SELECT session_id, count(*) AS n, sum(length(content))::BIGINT AS chars FROM turns GROUP BY session_id", TURNS)
 def a7(spark, d):
     return A.turns(spark, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
 
