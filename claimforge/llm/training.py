@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +26,3 @@ def smallest(rows: DataFrame, n: int, key: Column) -> DataFrame:
 def sampled_texts(docs: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
     """The documents of a bounded id table (at most the rows given to ``smallest``, hence safe to broadcast)."""
     return docs.select("doc_id", *columns).join(F.broadcast(ids), "doc_id")
-
-
-def batches(spark_fn):
-    """Turns a function of one record batch into one for mapInArrow."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            if batch.num_rows:
-                yield from spark_fn(batch)
-
-    return run
