@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from claimforge.llm.components import components
-from claimforge.llm.io import materialise
+from claimforge.llm.io import discard, materialise
 from claimforge.llm.kernel import Words, chunks, distinct, mix, shingles
 
 PERCENT = 80
@@ -348,6 +348,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         second = materialise(verify(rest, docs), "jaccard-links")
         if not second.isEmpty():
             comp = components(first.unionByName(second))
+        discard(second)
+    discard(lists, first, rest)
     own = own.join(comp, own.rep == comp.node, "left").select("n", "sig_a", "sig_b", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n", "sig_a", "sig_b").join(own, ["n", "sig_a", "sig_b"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

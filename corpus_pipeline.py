@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimforge.llm import fm_index, jaccard_join, mixing, passages, toxicity
-from claimforge.llm.io import bound_batches, materialise, table
+from claimforge.llm.io import bound_batches, discard, materialise, table
 
 #: No single SQL statement expresses stages 1, 3 and 4; the whole is tested against brute force.
 ORACLE_SQL = None
@@ -105,5 +105,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}", "snappy")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}", "snappy")
+        discard(before)
     return docs
