@@ -291,3 +291,33 @@ def test_sainte_lague_equals_seat_by_seat(spark):
 def test_pa_is_used_for_whole_batches():
     n, hits, items = fm_index.search_chunk(np.zeros(0, np.uint8), np.array([0]), fm_index.phrases([], pa.array([], pa.large_string())))
     assert len(n) == 0 and not hits and not items
+
+
+def shared_windows(rows):
+    """Windows of 50 words by the documents that hold them, for windows of two documents or more."""
+    held = collections.defaultdict(set)
+    for k, t in rows:
+        w = split(t)
+        for i in range(len(w) - 49):
+            held[tuple(w[i : i + 50])].add(k)
+    return [(w, v) for w, v in held.items() if len(v) > 1]
+
+
+def passages_left(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return shared_windows([tuple(r) for r in passages.cut(docs, passages.repeated_passages(docs)).collect()])
+
+
+def fresh(rng, n):
+    return [f"w{x}" for x in rng.integers(0, 1 << 60, n)]
+
+
+def test_passages_behind_decoys_of_a_common_line_are_found(spark):
+    rng, rows = np.random.default_rng(3), []
+    for _ in range(12):
+        line = fresh(rng, 48)
+        passage = [*fresh(rng, 2), *line, *fresh(rng, 2)]
+        for middle in (line, line, line, passage, passage, passage):
+            rows.append((len(rows), " ".join([*fresh(rng, 60), *middle, *fresh(rng, 60)])))
+    assert shared_windows(rows)
+    assert not passages_left(spark, rows)
