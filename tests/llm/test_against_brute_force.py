@@ -321,3 +321,24 @@ def test_passages_behind_decoys_of_a_common_line_are_found(spark):
             rows.append((len(rows), " ".join([*fresh(rng, 60), *middle, *fresh(rng, 60)])))
     assert shared_windows(rows)
     assert not passages_left(spark, rows)
+
+
+def test_every_window_of_a_row_counts(spark):
+    rng, rows = np.random.default_rng(4), []
+    for _ in range(6):
+        line = fresh(rng, 44)
+        one, two = ([*fresh(rng, 4), *line, *fresh(rng, 4)] for _ in range(2))
+        for middle in (one, two, [*one, *fresh(rng, 80), *two]):
+            rows.append((len(rows), " ".join([*fresh(rng, 60), *middle, *fresh(rng, 60)])))
+    assert not passages_left(spark, rows)
+
+
+def test_a_row_of_many_windows_is_done_only_if_one_match_holds_all(spark):
+    at = [(7, 2, (100 << 32) | (45 << 16) | 300, tail, 1, 0) for tail in (0, 200)]
+    lists = spark.createDataFrame(at, "key long, doc long, span long, tail int, pivot long, pivot_span long")
+    match = spark.createDataFrame([(2, 50, 160, 1, 0, 1.0)], passages.MATCH)
+    assert {r.tail: r.need for r in passages.undone(lists, match).collect()} == {0: False, 200: True}
+    x = np.arange(400, dtype=np.uint64)
+    x[250] = x[100]
+    start, need = passages.stretches(x, np.array([(100 << 32) | (45 << 16) | 300]), np.array([200]), np.array([True]))
+    assert set(range(55, 101)) | set(range(205, 251)) == set(start.tolist()) and need.all()
