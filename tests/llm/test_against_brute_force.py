@@ -342,3 +342,31 @@ def test_a_row_of_many_windows_is_done_only_if_one_match_holds_all(spark):
     x[250] = x[100]
     start, need = passages.stretches(x, np.array([(100 << 32) | (45 << 16) | 300]), np.array([200]), np.array([True]))
     assert set(range(55, 101)) | set(range(205, 251)) == set(start.tolist()) and need.all()
+
+
+def test_similar_parts_of_a_stretch_are_found():
+    rng = np.random.default_rng(6)
+
+    def hashes(w):
+        return np.array([hash(tuple(w[i : i + 5])) & (2**63 - 1) for i in range(len(w) - 4)], dtype=np.uint64)
+
+    def everywhere(x):
+        return np.array([((len(x) // 2) << 32) | (len(x) << 16) | len(x)])
+
+    for changes in ([33, 66, *range(107, 150, 8)], [*range(7, 50, 8), 83, 116], [25, 50, 75, *range(100, 140, 7), 190]):
+        p = fresh(rng, 230)
+        w = list(p)
+        for i in changes:
+            w[i] = fresh(rng, 1)[0]
+        x, y = hashes(w), hashes(p)
+        need = np.zeros(len(x), dtype=bool)
+        for s in range(len(x)):
+            for e in range(s + 46, len(x) + 1):
+                a, b = set(x[s:e].tolist()), set(y[s:e].tolist())
+                if x[s] == y[s] and x[e - 1] == y[e - 1] and len(a & b) >= 0.8 * len(a | b):
+                    need[s:e] = True
+        got = np.zeros(len(x), dtype=bool)
+        for s, e, _, similarity in passages.shared_passages(x, y, everywhere(x), everywhere(y)):
+            assert similarity >= 0.8
+            got[s : e - 4] = True
+        assert need.any() and not (need & ~got).any()
