@@ -77,3 +77,12 @@ def test_pipeline_keeps_columns_and_clean_documents(spark, docs, labels, corpus,
     assert all(r.n_chars == len(r.text) for r in last if r.text is not None)
     out = P.run(spark, str(tmp_path))
     assert {"doc_id", "size", "taken", "target"} <= set(out.columns) and out.count() == len(last)
+
+
+def test_copies_are_one_page_and_long_notices_are_fixed(spark):
+    article, notice = "One sentence of a story. " * 20, "All rights of this notice are kept. " * 20
+    copies = [(f"https://c.example/{i}", f"<body><article><p>{article}</p><p>Short line</p></article></body>") for i in range(6)]
+    unlike = [(f"https://n.example/{i}", f"<body><article><p>Story {i} {article}</p><p>{notice}</p></article></body>") for i in range(6)]
+    text = {r.url: r.text for r in html.main_text(page(spark, *copies, *unlike)).collect()}
+    assert all(text[u] == article.strip() + "\nShort line" for u, _ in copies)
+    assert all(text[u] == f"Story {i} {article}".strip() for i, (u, _) in enumerate(unlike))
