@@ -30,4 +30,6 @@ def components(links: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     discard(edges)
-    return labels.withColumnRenamed("label", "component")
+    out = labels.withColumnRenamed("label", "component")
+    out.written_at = table.written_at
+    return out

@@ -1,25 +1,31 @@
 """Exact Jaccard self-join on 5-word shingle sets: a size-aware heavy-light join, then connected components.
 
-1. Equal sets become one class (its smallest doc_id); only classes are joined.
+1. Equal sets become one class with a number of its own; only classes are joined.
 2. Small sets (size <= boundary) enumerate their subsets of the size that a link of the two sizes must share: equal
    subsets are links. Large sets scan inverted lists: two sets within the threshold share one of the first
    n - ceil(0.8 n) + 1 shingles under any fixed order. The order puts shingles that many documents hold last, so a
    passage that thousands of documents share makes no list unless a text is nearly all passage. The boundary is the
-   one of least cost: subsets emitted against list postings, over the measured sizes.
+   one of least cost: subsets emitted against list postings, over the measured sizes (beyond ``SMALL_MOST`` one set
+   would enumerate thousands of subsets against a handful of postings, so no larger boundary can be cheapest).
 3. Within a list every set is paired with one pivot, the set with the fewest rare shingles (nearest to what the list
-   has in common), never all with all. Pairs are tested by size, by an upper bound of the overlap from 1024-bit parity
-   maps, then exactly on the texts. Sets that now share a component need no further test; the pairs of a list across
-   components, which only the pivot had joined, are tested in a second pass, in blocks.
+   has in common), never all with all. Pairs are tested by size, by an upper bound of the overlap from parity maps of
+   about a bit a shingle, then exactly on the texts. Sets that now share a component need no further test; the pairs of
+   a list across components, which only the pivot had joined, are tested in a second pass, in blocks of a list.
 
 Exact: every pair within the threshold shares a list, and is tested or already connected. The document frequencies are
 a bounded hint for the order (at most ``HINTS`` shingles), never a filter.
 
 Scale: shingles are hashed in numpy; one shuffle of list postings (a fifth of the shingles, 8 byte keys), small ones
-of candidates; texts are shuffled once, for candidates' verification. Lists are scanned as sorted streams.
+of candidates. Lists are scanned as sorted streams; those of the ``HOT`` commonest shingles are dealt over ``SALTS``
+tasks and get their pivot from a table of at most ``HOT`` rows. Only texts of candidates are shuffled for the exact
+test: a bitmap of ``ID_BITS`` bits over hashed ids, of the same size for every input, keeps most others back (the join
+behind it is exact). Partition counts grow with the bytes that are shuffled.
 
 Nulls: null, empty and blank texts have no shingles and are linked with nothing; fewer than five words make one shingle
-of the whole sequence; repeated rows are linked as copies; rows with a null doc_id belong to the class of their text
-but never name it; empty tables give empty results. Other columns are ignored.
+of the whole sequence; repeated rows are linked as copies, and rows that repeat an id with another text are linked by
+their own text; rows with a null doc_id belong to the class of their text but never name it; ties between pivots go to
+the smaller class number and change no link; very long texts make long maps (an eighth of a byte to a quarter a
+shingle) and nothing else; empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +39,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from claimforge.llm.components import components
-from claimforge.llm.io import discard, materialise
+from claimforge.llm.io import among, discard, materialise, partitions
 from claimforge.llm.kernel import Words, chunks, distinct, mix, shingles
 
 PERCENT = 80
-SMALL_MOST = 9  # sets up to this size keep all their shingles; the boundary is at most this
+SMALL_MOST = 24  # sets up to this size keep all their shingles; the boundary is at most this
 FLUSH = 3_000_000
 HEAVY, HINTS = 12, 1 << 20
+HOT, HOT_LEAST, SALTS = 1024, 500, 32
 LIST_COST = 3.0  # cost of a posting in a scanned list, in emitted subset keys
-BITS = 1024
+LEAST_BITS = 256
+PAIRS, MAP_BYTES = 1 << 18, 16 << 20  # compared at a time
+BLOCK = 2048  # members of a list that are compared with each other, or with as many others, in one group
 U64 = np.uint64
 
 
@@ -69,8 +78,38 @@ def signature(v: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """A hint: shingles that often recur within a few million of a task's, summed over tasks; sorted, at most HINTS."""
+def parity_maps(v: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A map for each set: the parity of its shingles in 2^k >= n places (at least LEAST_BITS), packed."""
+    size = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    start = np.cumsum(size) - size
+    place = np.repeat(start, n) + ((v >> U64(17)).astype(np.int64) & np.repeat(size - 1, n))
+    packed = np.packbits((np.bincount(place, minlength=int(size.sum())) & 1).astype(np.uint8))
+    offsets = np.append(0, np.cumsum(size // 8)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+
+
+def rows_of(maps: pa.Array, rows: np.ndarray, width: int, to: int) -> np.ndarray:
+    """The maps of ``rows``, all ``width`` bytes long, folded to ``to`` bytes: a map of half the places is the halves' xor."""
+    taken = maps.take(pa.array(rows))
+    start = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset]
+    x = np.frombuffer(taken.buffers()[2], np.uint8)[start : start + len(rows) * width].reshape(len(rows), width)
+    while width > to:
+        width //= 2
+        x = x[:, :width] ^ x[:, width:]
+    return np.ascontiguousarray(x).view(np.uint64)
+
+
+def widths(maps: pa.Array) -> np.ndarray:
+    return pc.binary_length(maps).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def may_reach(total: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Whether sets of ``total`` shingles together whose maps differ in so many places can be linked: overlap <= (total - differ) / 2."""
+    return (total - differ) // 2 * (100 + PERCENT) >= PERCENT * total
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A hint: shingles that often recur within a few million of a task's, summed over tasks; sorted, at most HINTS. And the HOT commonest."""
 
     def run(it):
         held, size = [], 0
@@ -92,12 +131,14 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
             yield flush()
 
     counts = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY)
-    top = counts.orderBy(F.desc("n"), "key").limit(HINTS).select("key").toArrow().column("key").to_numpy()
-    return np.sort(top.astype(np.int64).view(U64))
+    top = counts.orderBy(F.desc("n"), "key").limit(HINTS).toArrow()
+    key, n = top.column("key").to_numpy().astype(np.int64).view(U64), top.column("n").to_numpy()
+    hottest = np.lexsort((key, -n))[:HOT]
+    return np.sort(key), np.sort(key[hottest][n[hottest] >= HOT_LEAST])
 
 
 def profile(docs: DataFrame, hint: np.ndarray) -> DataFrame:
-    """Per row: doc_id, n, sig_a, sig_b, rare (rare shingles in the prefix), tokens (prefix, or all of a small set), bits."""
+    """Per row: doc_id, text_hash, n, sig_a, sig_b, rare (rare shingles in the prefix), tokens (prefix, or all of a small set), bits."""
     shared = docs.sparkSession.sparkContext.broadcast(hint)
 
     def run(it):
@@ -120,14 +161,11 @@ def profile(docs: DataFrame, hint: np.ndarray) -> DataFrame:
                 offsets = np.zeros(hi - lo + 1, dtype=np.int32)
                 np.cumsum(take, out=offsets[1:])
                 rare = np.bincount(doc[chosen][~heavy[chosen]], minlength=hi - lo)
-                bits = np.zeros((hi - lo, BITS), dtype=np.uint8)
-                np.add.at(bits.reshape(-1), doc * BITS + ((v >> U64(17)) & U64(BITS - 1)).astype(np.int64), 1)
-                packed = np.packbits(bits & 1, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(a), pa.array(c), pa.array(rare, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(v[chosen].view(np.int64))), pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), hi - lo, [None, pa.py_buffer(np.ascontiguousarray(packed))]).cast(pa.binary())],
-                    ["doc_id", "n", "sig_a", "sig_b", "rare", "tokens", "bits"])
+                    [b.column("doc_id").slice(lo, hi - lo), b.column("text_hash").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(a), pa.array(c), pa.array(rare, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(v[chosen].view(np.int64))), parity_maps(v, n)],
+                    ["doc_id", "text_hash", "n", "sig_a", "sig_b", "rare", "tokens", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, rare int, tokens array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n long, sig_a long, sig_b long, rare int, tokens array<long>, bits binary")
 
 
 def boundary(sizes: dict[int, int]) -> int:
@@ -149,10 +187,12 @@ def partners(n: int) -> list[int]:
     return [b for b in range(1, 2 * n + 2) if 100 * min(n, b) >= PERCENT * max(n, b) and need(n, b) <= min(n, b) and need(n, b) < max(n, b)]
 
 
-def postings(classes: DataFrame, x: int) -> DataFrame:
-    """(key, doc, n, rare): subset keys of small sets, prefix keys of those that may meet a large one."""
+def postings(classes: DataFrame, x: int, hot: np.ndarray) -> DataFrame:
+    """(key, salt, doc, n, rare): subset keys of small sets, prefix keys of those that may meet a large one. Hot keys have a salt, others 0."""
+    shared = classes.sparkSession.sparkContext.broadcast(hot)
 
     def run(it):
+        hot = shared.value
         for b in it:
             n = b.column("n").to_numpy()
             lists = b.column("tokens")
@@ -177,179 +217,223 @@ def postings(classes: DataFrame, x: int) -> DataFrame:
                 keys.append(np.array(extra_k, dtype=U64))
                 row.append(np.array(extra_r))
             key, row = np.concatenate(keys), np.concatenate(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("doc_id").take(pa.array(row)), pa.array(n[row], pa.int32()), b.column("rare").take(pa.array(row))], ["key", "doc", "n", "rare"])
+            doc = b.column("doc").to_numpy()[row]
+            salt = np.zeros(len(key), dtype=np.int16)
+            if len(hot):
+                common = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                salt[common] = 1 + (mix(doc[common].view(U64)) % U64(SALTS)).astype(np.int16)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt), pa.array(doc), pa.array(n[row], pa.int32()), b.column("rare").take(pa.array(row))], ["key", "salt", "doc", "n", "rare"])
 
-    return classes.select("doc_id", "n", "rare", "tokens").mapInArrow(run, "key long, doc long, n int, rare int")
+    return classes.select("doc", "n", "rare", "tokens").mapInArrow(run, "key long, salt short, doc long, n int, rare int")
 
 
-def scan_lists(post: DataFrame) -> DataFrame:
-    """Lists of two sets or more, with the pivot of each: (key, doc, n, pivot, pivot_n). A streaming scan of sorted partitions."""
+def scan_lists(post: DataFrame, parts: int) -> DataFrame:
+    """Lists of two sets or more, with the pivot of each: (key, salt, doc, n, rare, pivot, pivot_n). A streaming scan of sorted
+    partitions; the parts of a hot key keep their single rows, and each has a pivot of its own."""
+    schema = "key long, salt short, doc long, n int, rare int, pivot long, pivot_n int"
 
     def run(it):
-        last = None  # (key, doc, n, pivot, pivot_n, emitted) of the row that ended the batch before: it may begin a list
+        last = None  # (key, salt, doc, n, rare, pivot, pivot_n, emitted) of the row that ended the batch before: it may begin a list
         for b in it:
             if not b.num_rows:
                 continue
-            key, doc, n = (b.column(c).to_numpy() for c in ("key", "doc", "n"))
+            cols = [b.column(c).to_numpy() for c in ("key", "salt", "doc", "n", "rare")]
             if last is not None:
-                key, doc, n = (np.append(np.array([x], dtype=y.dtype), y) for x, y in zip(last[:3], (key, doc, n), strict=True))
+                cols = [np.append(np.array([x], dtype=y.dtype), y) for x, y in zip(last[:5], cols, strict=True)]
+            key, salt, doc, n, _ = cols
             new = np.ones(len(key), dtype=bool)
-            new[1:] = key[1:] != key[:-1]
+            new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
             lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
             pivot, pivot_n = doc[lead], n[lead]
-            keep = ~(new & np.append(new[1:], True))
+            keep = ~(new & np.append(new[1:], True)) | (salt > 0)
             if last is not None:
-                pivot, pivot_n = np.where(lead == 0, last[3], pivot), np.where(lead == 0, last[4], pivot_n)
-                keep[0] &= not last[5]
-            last = (key[-1], doc[-1], n[-1], pivot[-1], pivot_n[-1], not new[-1])
+                pivot, pivot_n = np.where(lead == 0, last[5], pivot), np.where(lead == 0, last[6], pivot_n)
+                keep[0] &= not last[7]
+            last = (*(c[-1] for c in cols), pivot[-1], pivot_n[-1], bool(not new[-1] or salt[-1] > 0))
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(doc[keep]), pa.array(n[keep]), pa.array(pivot[keep]), pa.array(pivot_n[keep].astype(np.int32))], ["key", "doc", "n", "pivot", "pivot_n"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[keep]) for c in cols], pa.array(pivot[keep]), pa.array(pivot_n[keep].astype(np.int32))], [c.split()[0] for c in schema.split(", ")])
+
+    return post.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "rare", "doc").mapInArrow(run, schema)
+
 
-    return post.repartition("key").sortWithinPartitions("key", "rare", "doc").mapInArrow(run, "key long, doc long, n int, pivot long, pivot_n int")
+def one_pivot(lists: DataFrame) -> DataFrame:
+    """The lists with one pivot for all parts of a hot key, from a table of at most HOT rows."""
+    first = lists.filter("salt > 0").groupBy("key").agg(F.min(F.struct("rare", "doc", "n")).alias("p")).select(F.col("key").alias("k"), "p")
+    joined = lists.join(F.broadcast(first), F.col("key") == F.col("k"), "left")
+    return joined.select("key", "doc", "n", F.coalesce("p.doc", "pivot").alias("pivot"), F.coalesce("p.n", "pivot_n").alias("pivot_n"))
 
 
 def mixed_lists(lists: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members, but for pivots, of lists that hold several components: (key, doc, n, comp, sig_a, bits)."""
+    """Members, but for pivots, of lists that hold several components, in blocks: (key, lo, hi, block, doc, n, comp, bits).
+
+    A list of more than BLOCK members is split; a member goes to each pair of its block with another, so that no group
+    holds more than two blocks however long the list is.
+    """
     rows = lists.filter("doc <> pivot").join(comp, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp"))
-    keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    side = classes.select(F.col("doc_id").alias("doc"), "sig_a", "bits")
-    return rows.join(keys, "key").join(side, "doc")
+    keys = rows.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size")).filter("least <> most")
+    keys = keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    rows = rows.join(keys, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "n", "comp")
+    return rows.join(classes.select("doc", "bits"), "doc")
 
 
-def across(lists: DataFrame) -> DataFrame:
-    """(a, b, sig_of_a, sig_of_b): pairs of a list in different components that sizes and parity maps let pass.
+def across(members: DataFrame, parts: int) -> DataFrame:
+    """(a, b): pairs of a list in different components that sizes and parity maps let pass.
 
-    Sizes and maps are compared where the list lies, a member against a block of later ones at a time, so that only
-    pairs which need the exact test leave the task.
+    Sizes and maps are compared where the block lies, PAIRS at a time, so that only pairs which need the exact test leave
+    the task.
     """
-    names = ("key", "doc", "n", "comp", "sig_a")
+    names = ("key", "lo", "hi", "block", "doc", "n", "comp")
+
+    def groups(cols):
+        """The number of each row's group: rows of one come together."""
+        new = np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)
+        return np.append(0, np.cumsum(new)) if len(cols[0]) else np.zeros(0, dtype=np.int64)
 
     def passing(cols, maps):
-        order = np.argsort(cols[2], kind="stable")
-        _, doc, n, comp, sig = (c[order] for c in cols)
-        maps = maps[order]
-        hi = np.searchsorted(n, 100 * n.astype(np.int64) // PERCENT, side="right")
-        out = []
-        for i in range(len(doc) - 1):
-            j = np.arange(i + 1, hi[i])
-            j = j[comp[j] != comp[i]]
-            for s in range(0, len(j), 4096):
-                k = j[s : s + 4096]
-                total = n[k].astype(np.int64) + int(n[i])
-                differ = np.bitwise_count(maps[k] ^ maps[i]).sum(axis=1, dtype=np.int64)
-                k = k[(total - differ) // 2 * (100 + PERCENT) >= PERCENT * total]
-                if len(k):
-                    swap = doc[k] < doc[i]
-                    out.append((np.where(swap, doc[k], doc[i]), np.where(swap, doc[i], doc[k]), np.where(swap, sig[k], sig[i]), np.where(swap, sig[i], sig[k])))
-        return out
-
-    def batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "sig_of_a", "sig_of_b"])
+        group = groups(cols)
+        order = np.lexsort((cols[5], group))
+        group, maps = group[order], maps.take(pa.array(order))
+        _, lo, hi, block, doc, n, comp = (c[order] for c in cols)
+        total, split, width = n.astype(np.int64), lo != hi, widths(maps)
+        place, table = np.zeros(len(n), dtype=np.int64), {}
+        for w in np.unique(width).tolist():
+            k = np.flatnonzero(width == w)
+            place[k], table[w] = np.arange(len(k)), rows_of(maps, k, w, w)
+            if 2 * w <= width.max():
+                table[w, "folded"] = rows_of(maps, np.flatnonzero(width == 2 * w), 2 * w, w)
+        far = int(total.max()) * 2 + 2
+        end = np.searchsorted(group * far + total, group * far + np.minimum(100 * total // PERCENT, far - 1), side="right")
+        count = end - np.arange(len(n)) - 1  # later ones of the group whose size allows a link
+        upto, i0 = np.cumsum(count), 0
+        while i0 < len(n):
+            i1 = max(i0 + 1, int(np.searchsorted(upto, upto[i0] - count[i0] + PAIRS, side="right")))
+            i = np.repeat(np.arange(i0, i1), count[i0:i1])
+            j = np.arange(len(i)) - np.repeat(upto[i0:i1] - count[i0:i1] - (upto[i0] - count[i0]), count[i0:i1]) + i + 1
+            ok = (comp[i] != comp[j]) & ~(split[i] & (block[i] == block[j]))
+            i, j = i[ok], j[ok]
+            for w in np.unique(width[i]).tolist():
+                for other, to in ((w, table[w]), (2 * w, table.get((w, "folded")))):
+                    k = np.flatnonzero((width[i] == w) & (width[j] == other))
+                    for s in range(0, len(k), max(1, MAP_BYTES // w)):
+                        p, q = i[k[s : s + max(1, MAP_BYTES // w)]], j[k[s : s + max(1, MAP_BYTES // w)]]
+                        differ = np.zeros(len(p), dtype=np.int64)
+                        for word in np.bitwise_count(table[w][place[p]] ^ to[place[q]]).T:
+                            differ += word
+                        found = may_reach(total[p] + total[q], differ)
+                        if found.any():
+                            p, q = doc[p[found]], doc[q[found]]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+            i0 = i1
 
     def run(it):
-        held, maps = None, None
+        cols, maps = None, None  # rows of the group that is being read
         for b in it:
             if not b.num_rows:
                 continue
-            cols = [b.column(c).to_numpy() for c in names]
-            own = np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint64).reshape(b.num_rows, -1)
-            if held is not None:
-                cols, own = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)], np.concatenate([maps, own])
-            edge = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
-                if out := passing([x[s:e] for x in cols], own[s:e]):
-                    yield batch(out)
-            held, maps = [x[edge[-1] :] for x in cols], own[edge[-1] :]
-        if held is not None and (out := passing(held, maps)):
-            yield batch(out)
+            own = [b.column(c).to_numpy() for c in names]
+            cols, maps = (own, b.column("bits")) if cols is None else ([np.concatenate(c) for c in zip(cols, own, strict=True)], pa.concat_arrays([maps, b.column("bits")]))
+            group = groups(cols)
+            whole = int(np.searchsorted(group, group[-1]))
+            if whole:
+                yield from passing([c[:whole] for c in cols], maps.slice(0, whole))
+                cols, maps = [c[whole:] for c in cols], maps.slice(whole)
+        if cols is not None:
+            yield from passing(cols, maps)
 
-    return lists.select(*names, "bits").repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "a long, b long, sig_of_a long, sig_of_b long")
+    return members.select(*names, "bits").repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
 def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose overlap may suffice by sizes and parity maps: overlap <= (sizes - differing bits) / 2."""
-    side = classes.select("doc_id", "n", "bits", "sig_a")
-    left = side.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("sig_a").alias("sig_of_a"))
-    right = side.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("sig_a").alias("sig_of_b"))
+    """Pairs(a, b) whose overlap may suffice by sizes and parity maps."""
+    side = classes.select("doc", "n", "bits")
+    left = side.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    right = side.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
 
     def run(it):
         for t in it:
             if not t.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(t.num_rows, -1) for c in ("bits_a", "bits_b"))
-            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            x, y = t.column("bits_a"), t.column("bits_b")
+            wx, wy = widths(x), widths(y)
+            differ = np.zeros(t.num_rows, dtype=np.int64)
+            for p, q in set(zip(wx.tolist(), wy.tolist(), strict=True)):
+                k = np.flatnonzero((wx == p) & (wy == q))
+                differ[k] = np.bitwise_count(rows_of(x, k, p, min(p, q)) ^ rows_of(y, k, q, min(p, q))).sum(axis=1, dtype=np.int64)
             total = t.column("n_a").to_numpy() + t.column("n_b").to_numpy()
-            keep = pa.array((total - differ) // 2 * (100 + PERCENT) >= PERCENT * total)
-            yield t.select(["a", "b", "sig_of_a", "sig_of_b"]).filter(keep)
+            yield t.select(["a", "b"]).filter(pa.array(may_reach(total, differ)))
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, sig_of_a long, sig_of_b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The linked ones of pairs(a, b, sig_of_a, sig_of_b), by the exact overlap of the texts' sets."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The linked ones of pairs(a, b), by the exact overlap of the sets of the classes' texts."""
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(classes.select("doc", "rep", "text_hash"), "doc"), "jaccard-wanted")
+    texts = among(docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_hash"), "text"), wanted, "rep")
+    texts = materialise(texts.dropDuplicates(["rep", "text_hash"]).join(wanted, ["rep", "text_hash"]).select("doc", "text"), "jaccard-texts")
 
-    def one(it, ids: str, sig: str):
-        """Rows with the set of ``ids``'s text, once for each run of equal ids; rows of another text with the same id go."""
+    def sets_of(column):
+        """(number of each row's set, sets): equal neighbours have one."""
+        new = np.ones(len(column), dtype=bool)
+        new[1:] = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+        sets = []
+        for _, _, raw, at in chunks(column.take(pa.array(np.flatnonzero(new)))):
+            v, bounds = shingle_sets(raw, at)
+            sets += [v[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        return np.cumsum(new) - 1, sets
+
+    def linked(it):
         for t in it:
             if not t.num_rows:
                 continue
-            who = t.column(ids).to_numpy()
-            texts_ = t.column("text")
-            new = np.ones(len(who), dtype=bool)
-            new[1:] = (who[1:] != who[:-1]) | pc.not_equal(texts_.slice(1), texts_.slice(0, len(who) - 1)).to_numpy(zero_copy_only=False)
-            group = np.cumsum(new) - 1
-            heads = texts_.take(pa.array(np.flatnonzero(new)))
-            sets, sigs = [], []
-            for _, _, raw, at in chunks(heads):
-                v, bounds = shingle_sets(raw, at)
-                a, _ = signature(v, bounds)
-                sigs.append(a)
-                sets += [v[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-            ok = np.concatenate(sigs)[group] == t.column(sig).to_numpy()
-            yield t, group, sets, np.flatnonzero(ok)
-
-    def with_sets(it):
-        for t, group, sets, rows in one(it, "b", "sig_of_b"):
-            for s in range(0, len(rows), 256):
-                k = rows[s : s + 256]
-                yield pa.RecordBatch.from_arrays([*[t.column(c).take(pa.array(k)) for c in ("a", "b", "sig_of_a")], pa.array([sets[group[i]].tobytes() for i in k], pa.binary())], ["a", "b", "sig_of_a", "set_b"])
-
-    def linked(it):
-        for t, group, sets, rows in one(it, "a", "sig_of_a"):
+            (ga, xs), (gb, ys) = sets_of(t.column("text_a")), sets_of(t.column("text_b"))
             ok = []
-            other = t.column("set_b")
-            for i in rows:
-                x, y = sets[group[i]], np.frombuffer(other[int(i)].as_buffer(), U64)
-                place = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                inter = int((x[place] == y).sum())
+            for i in range(t.num_rows):
+                x, y = xs[ga[i]], ys[gb[i]]
+                inter = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
                 if 100 * inter >= PERCENT * (len(x) + len(y) - inter):
                     ok.append(i)
             yield t.select(["a", "b"]).take(pa.array(ok, pa.int64()))
 
-    x = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").mapInArrow(with_sets, "a long, b long, sig_of_a long, set_b binary")
-    return x.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "b", "sig_of_a", "set_b", "text").mapInArrow(linked, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
-    rows = materialise(profile(docs, common_shingles(docs)), "jaccard-rows")
-    own = materialise(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    ids = own.select(F.col("rep").alias("doc_id"), "sig_a", "sig_b")
-    # Repeated rows of a class's first document repeat its postings, which pairs of different ids never see.
-    classes = rows.join(ids, ["doc_id", "sig_a", "sig_b"], "left_semi")
+    x = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
+    out = materialise(x.select("a", "b", "text_a", "text_b").mapInArrow(linked, "a long, b long"), "jaccard-links")
+    discard(wanted, texts)
+    return out
+
+
+def near_duplicates(docs: DataFrame, keep_hash: bool = False) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included); with
+    ``keep_hash`` also text_hash (xxhash64 of the text), which tells rows of a repeated id apart."""
+    hint, hot = common_shingles(docs)
+    rows = materialise(profile(docs, hint), "jaccard-rows")
+    ids = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "sig_a", "sig_b").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
+    # numbered as written: a class has one number whatever is read again
+    own = materialise(ids.select("n", "sig_a", "sig_b", F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("text_hash"), F.monotonically_increasing_id().alias("doc")), "jaccard-classes")
+    number = own.select(F.col("rep").alias("doc_id"), "text_hash", "sig_a", "sig_b", "doc", "rep")
+    one = rows.filter("n > 0").join(number, ["doc_id", "text_hash", "sig_a", "sig_b"]).select("doc", "rep", "text_hash", "n", "rare", "tokens", "bits")
+    classes = materialise(one, "jaccard-sets")  # repeated rows of a class's first document repeat its postings, which pairs of different classes never see
+    narrow = materialise(rows.select("doc_id", "text_hash", "n", "sig_a", "sig_b"), "jaccard-narrow")
+    discard(rows)
+    parts = partitions(classes)
     sizes = {r.n: r["count"] for r in own.filter(F.col("n") <= 2 * SMALL_MOST).groupBy("n").count().collect()}
-    lists = materialise(scan_lists(postings(classes, boundary(sizes))), "jaccard-lists")
+    found = materialise(scan_lists(postings(classes, boundary(sizes), hot), parts), "jaccard-lists")
+    lists = one_pivot(found)
     star = lists.filter(f"doc <> pivot AND 100 * least(n, pivot_n) >= {PERCENT} * greatest(n, pivot_n)").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-    first = materialise(verify(may_link(star, classes), docs), "jaccard-links")
+    pairs = materialise(may_link(star, classes), "jaccard-pairs")
+    first = verify(pairs, classes, docs)
     comp = components(first)
-    rest = materialise(across(mixed_lists(lists, comp, classes)).distinct(), "jaccard-rest")
+    rest = materialise(across(mixed_lists(lists, comp, classes), parts).distinct(), "jaccard-rest")
+    discard(pairs, found)
     if not rest.isEmpty():
-        second = materialise(verify(rest, docs), "jaccard-links")
+        second = verify(rest, classes, docs)
         if not second.isEmpty():
-            comp = components(first.unionByName(second))
+            before, comp = comp, components(first.unionByName(second))
+            discard(before)
         discard(second)
-    discard(lists, first, rest)
-    own = own.join(comp, own.rep == comp.node, "left").select("n", "sig_a", "sig_b", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n", "sig_a", "sig_b").join(own, ["n", "sig_a", "sig_b"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    discard(first, rest, classes)
+    joined = own.join(comp, own.doc == comp.node, "left").withColumn("component", F.coalesce("component", "doc"))
+    named = joined.join(joined.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("n", "sig_a", "sig_b", "component_id")
+    out = narrow.join(named, ["n", "sig_a", "sig_b"], "left")
+    given = [F.col("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    return out.select(*given, *(["text_hash"] if keep_hash else []))

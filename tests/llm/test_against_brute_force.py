@@ -370,3 +370,45 @@ def test_similar_parts_of_a_stretch_are_found():
             assert similarity >= 0.8
             got[s : e - 4] = True
         assert need.any() and not (need & ~got).any()
+
+
+def test_lists_in_blocks_and_hot_keys_give_the_same_links(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    licence, rows = [f"l{i}" for i in range(40)], []
+    for i in range(150):
+        extra = [f"x{v}" for v in rng.integers(0, 12, rng.integers(0, 9))]
+        rows.append((i, " ".join([*licence[: rng.integers(28, 41)], *extra])))
+    expect = components([(r[0], r[1]) for r in rows])
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "HOT_LEAST", 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert len(jaccard_join.common_shingles(docs)[1]) > 5
+    assert collections.Counter(tuple(r) for r in jaccard_join.near_duplicates(docs).collect()) == expect
+
+
+def test_parity_maps_bound_the_overlap():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 1 << 62, n)).astype(np.uint64) for n in (1, 200, 300, 1100, 5000)]
+    sets += [np.unique(np.concatenate([s[len(s) // 9 :], rng.integers(0, 1 << 62, 9).astype(np.uint64)])) for s in sets]
+    n = np.array([len(s) for s in sets])
+    maps = jaccard_join.parity_maps(np.concatenate(sets), n)
+    width = jaccard_join.widths(maps)
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            to = min(width[i], width[j])
+            x, y = (jaccard_join.rows_of(maps, np.array([k]), width[k], to) for k in (i, j))
+            differ = int(np.bitwise_count(x ^ y).sum())
+            assert differ <= len(np.setxor1d(sets[i], sets[j])) and (differ == 0 or i != j)
+
+
+def test_rows_that_repeat_an_id_with_another_text_are_their_own(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(10)
+    p, u = " ".join(fresh(rng, 100)), " ".join(fresh(rng, 300))
+    rows = [(1, p), (2, p + " tail"), (2, u)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in P.near_copies(spark, docs, str(tmp_path)).collect()) == [(1, p), (2, u)]
+    cut = [(1, p), (2, "aa " + p + " tail"), (2, u)]
+    docs = spark.createDataFrame(cut, "doc_id long, text string")
+    assert sorted(tuple(r) for r in passages.cut(docs, passages.repeated_passages(docs)).collect()) == sorted([(1, p), (2, "aa\ntail"), (2, u)])
