@@ -47,9 +47,9 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @plain
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component; repeated rows of that id are one document."""
-    found = jaccard_join.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The smallest doc_id of each component; repeated rows of that id are one document, and rows with another text are others."""
+    found = jaccard_join.near_duplicates(docs, keep_hash=True).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(found, (docs.doc_id == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti").select(*docs.columns)
 
 
 @plain
