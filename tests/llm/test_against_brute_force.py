@@ -174,20 +174,48 @@ def test_trees_obey_their_constraints():
     assert ((f.probability(x) >= 0.5) == (x[:, 0] < 0.5)).mean() > 0.9
 
 
-def test_block_max_search_is_exact():
-    rng = np.random.default_rng(3)
-    hashes = [np.sort(rng.choice(np.arange(1, 60, dtype=np.uint64), 12, replace=False)) for _ in range(400)]
-    labels = [int(h[0] < 6) for h in hashes]
-    index = toxicity.build(list(range(400)), labels, hashes, [rng.integers(1, 5, 12) for _ in hashes])
-    assert len(index.vocabulary) and len(index.ids) > 100
-    for _ in range(30):
-        t = np.sort(rng.choice(len(index.vocabulary), min(3, len(index.vocabulary)), replace=False))
-        w = rng.uniform(0.1, 1, len(t))
-        w /= np.sqrt((w * w).sum())
-        n, cos = index.nearest(t, w)
-        every = index.dense[:, t] @ w
-        best = sorted((i for i in range(len(every)) if every[i] > 0), key=lambda i: (-round(every[i], 12), index.ids[i]))[: len(n)]
-        assert n.tolist() == best and np.allclose(cos, every[best])
+def test_block_max_search_equals_brute_force_on_texts(corpus):
+    from claimforge.llm.kernel import NON_ALNUM, Words
+
+    texts = sorted({r[1] for r in corpus if r[1]})
+    hashes, counts = [], []
+    for _, _, raw, at in toxicity.chunks(pa.array(texts)):
+        h, c, bounds = toxicity.word_counts(Words(raw, at, NON_ALNUM))
+        hashes += [h[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+        counts += [c[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+    labels = [int("vile" in t) for t in texts]
+    index = toxicity.build(list(range(len(texts))), labels, hashes, counts)
+    # every example with a word of the index is in it, of both labels
+    df = collections.Counter(x for h in hashes for x in h.tolist())
+    full = [i for i, h in enumerate(hashes) if any(df[x] >= toxicity.MIN_DF for x in h.tolist())]
+    assert index.ids.tolist() == full and set(index.labels) == {0.0, 1.0}
+    word_list = {k: i for i, k in enumerate(index.vocabulary.tolist())}
+    assert set(word_list) == {x for x, n in df.items() if n >= toxicity.MIN_DF}
+
+    def unit(h, c):
+        v = np.zeros(len(word_list))
+        for x, n in zip(h.tolist(), c.tolist()):
+            if x in word_list:
+                v[word_list[x]] = (1 + np.log(n)) * index.idf[word_list[x]]
+        return v / (np.sqrt((v * v).sum()) or 1)
+
+    every = np.stack([unit(hashes[i], counts[i]) for i in full])
+    for limit in (toxicity.FULL, 3):
+        before, toxicity.FULL = toxicity.FULL, limit
+        for i in range(0, len(texts), 3):
+            n, cos = index.nearest(*index.vector(hashes[i], counts[i]))
+            want = every @ unit(hashes[i], counts[i])
+            best = sorted((j for j in range(len(want)) if want[j] > 0), key=lambda j: (-round(want[j], 9), full[j]))[: toxicity.NEIGHBOURS]
+            assert np.allclose(cos, want[best], atol=1e-9) and len(n) == len(best)
+            assert sorted(round(want[j], 8) for j in n) == sorted(round(want[j], 8) for j in best)
+        toxicity.FULL = before
+
+
+def test_clashing_labels_and_texts_of_an_id_are_settled(spark):
+    docs = spark.createDataFrame([(i, t) for i in range(1, 60) for t in (["vile word here"] if i % 2 else ["kind word here", "a kind word"])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i in range(1, 60) for t in ([0, 1] if i % 2 else [0])], "doc_id long, toxic int")
+    one, two = (toxicity.fit_toxicity(docs.repartition(k), labels.repartition(k)) for k in (1, 5))
+    assert one.ids.tolist() == two.ids.tolist() and one.labels.tolist() == two.labels.tolist() and set(one.labels) == {0.0, 1.0}
 
 
 def test_toxicity_of_held_out_documents(docs, labels, corpus):
