@@ -86,3 +86,37 @@ def test_copies_are_one_page_and_long_notices_are_fixed(spark):
     text = {r.url: r.text for r in html.main_text(page(spark, *copies, *unlike)).collect()}
     assert all(text[u] == article.strip() + "\nShort line" for u, _ in copies)
     assert all(text[u] == f"Story {i} {article}".strip() for i, (u, _) in enumerate(unlike))
+
+
+def test_names_of_classes_decide_only_while_text_is_left():
+    for name in ("notice", "discussion", "entry side-story", "content"):
+        assert html.extract(f'<body><nav>Menu</nav><div class="{name}"><h1>T</h1><p>The story is told here.</p></div></body>', frozenset(), None) == "T\nThe story is told here."
+    body = '<article><p>One</p><div class="share-price"><p>Up two points</p></div><div class="share-buttons">Tweet</div><div class="ad-slot">Buy</div></article>'
+    assert html.extract(body, frozenset(), None) == "One\nUp two points"
+
+
+def test_templates_over_generated_hosts_with_odd_pages(spark):
+    """Each host has an own layout, fixed lines, a story of its own on every page, and some pages of no layout."""
+    rows, expect = [], {}
+    for h in range(5):
+        outer = ("div", "section", "article")[h % 3]
+        for i in range(10):
+            url = f"https://g{h}.example/{i}"
+            story = [f"Story {h} {i} part {k} with words of its own number {i * 31 + k}" for k in range(3 + i % 3)]
+            if i == 7:
+                rows.append((url, f"<body><p>Moved to page {h}</p></body>"))
+                expect[url] = f"Moved to page {h}"
+                continue
+            paragraphs = "".join(f"<p>{s}</p>" for s in story)
+            rows.append((url, f'<body><header>Site {h}</header><div id="wrap{h}"><{outer} class="c{h}"><p>Read more on our app {h}</p>{paragraphs}<p>All rights kept {h}</p></{outer}></div><footer>F</footer></body>'))
+            expect[url] = "\n".join(story)
+    rows += rows[:3]  # repeated rows of a page
+    pages = spark.createDataFrame([(i % 50, u, x) for i, (u, x) in enumerate(rows)], "page_id long, url string, html string")
+    t = {r.host: r.template for r in html.templates(pages).collect()}
+    assert len(t) == 5 and all(x.pages == 10 for x in t.values())
+    for x in t.values():
+        fixed = {tok for c in x.classes for tok in c.tokens if tok[0] != "<"}
+        assert any("Read more" in f for f in fixed) and any("All rights" in f for f in fixed) and not any("Story" in f for f in fixed)
+        regions = [c.region.count("/") for c in x.classes]
+        assert regions == sorted(regions)
+    assert {r.url: r.text for r in html.main_text(pages).collect()} == expect
