@@ -11,6 +11,7 @@ CADENCE_HOURS = {"low": 720.0, "medium": 168.0, "high": 24.0}
 STATE_MULTIPLIER = {"confirmed": 1.0, "stale": 0.55, "conflicted": 0.35}
 TIER_BONUS = {"core": 0.15, "working": 0.0, "peripheral": -0.10}
 FRESHNESS_HOURS = {"low": 168.0, "medium": 72.0, "high": 24.0}
+ARTICLE_DAYS, ARTICLE_FRESH, ARTICLE_STALE = 30.0, 0.5, 0.2
 
 
 def choose(column: str, table: dict, default: float) -> Column:
@@ -33,6 +34,15 @@ def freshness(anchor: Column, now: Column) -> Column:
     return F.when(anchor.isNull(), F.lit(0.5)).otherwise(clamp(F.exp(-hours(anchor, now) / choose("volatility", FRESHNESS_HOURS, 72.0))))
 
 
+def article_freshness(since: Column, now: Column) -> Column:
+    """Exponential decay of an article by days since it was last renewed."""
+    return F.exp(-hours(since, now) / 24.0 / ARTICLE_DAYS)
+
+
+def freshness_bucket(score: Column) -> Column:
+    return F.when(score >= ARTICLE_FRESH, "fresh").when(score >= ARTICLE_STALE, "mid").otherwise("stale")
+
+
 def tier(access: Column, age_days: Column) -> Column:
     return F.when((access > 5) | (age_days < 7), "core").when((access == 0) & (age_days >= 90), "peripheral").otherwise("working")
 

@@ -47,6 +47,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         labels = new.select("u", "label")
         if new.filter("old <> label").isEmpty():
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
 
 

@@ -83,10 +83,10 @@ def a22(spark, d):
     return A.ledger(spark, d).filter(F.col("created_at") >= A.now("2024-01-20 00:00:00")).groupBy(F.col("event_type").alias("tool")).agg(one().alias("calls"), F.countDistinct("claim_id").alias("users"))
 
 
-@query("a15_decision_clusters", """WITH RECURSIVE b AS (SELECT DISTINCT 'p' || predicate || subject AS u, 'i' || id AS v FROM (SELECT o_orderkey AS id, o_custkey AS subject, o_orderpriority AS predicate FROM orders WHERE o_orderkey % 5 = 0)), e AS (SELECT u, v FROM b UNION SELECT v, u FROM b),
+@query("a15_decision_clusters", """WITH RECURSIVE b AS (SELECT DISTINCT 'p' || predicate || subject AS u, 'i' || id AS v FROM (SELECT o_orderkey AS id, o_custkey AS subject, o_orderpriority AS predicate FROM orders)), e AS (SELECT u, v FROM b UNION SELECT v, u FROM b),
  r AS (SELECT u AS node, u AS low FROM e UNION SELECT e.v, r.low FROM r JOIN e ON r.node = e.u), c AS (SELECT node, min(low) AS component FROM r GROUP BY node) SELECT component, count(*) AS n FROM c GROUP BY component""")
 def a15(spark, d):
-    x = A.claims(spark, d).filter("id % 5 = 0").select(F.concat(F.lit("p"), "predicate", F.col("subject").cast("string")).alias("src"), F.concat(F.lit("i"), F.col("id").cast("string")).alias("dst"))
+    x = A.claims(spark, d).select(F.concat(F.lit("p"), "predicate", F.col("subject").cast("string")).alias("src"), F.concat(F.lit("i"), F.col("id").cast("string")).alias("dst"))
     return X.components(x).groupBy("component").agg(one().alias("n"))
 
 
@@ -101,9 +101,9 @@ def w7(spark, d):
 RT = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9_]+'), lambda t: length(t) >= 3 AND t NOT IN (" + ",".join(f"'{w}'" for w in T.RANK_STOP) + ")))"
 
 
-@query("u2_token_fanout", f"WITH q AS (SELECT item_id AS prompt_id, unnest(list_sort({RT.format('text')})[1:6]) AS term FROM benchmark WHERE item_id < 10), p AS (SELECT id, confidence, unnest({RT.format('text')}) AS term FROM notes), h AS (SELECT prompt_id, id FROM q JOIN p USING (term) QUALIFY row_number() OVER (PARTITION BY prompt_id, term ORDER BY confidence DESC, id) <= 3) SELECT DISTINCT prompt_id, id FROM h", NOTES)
+@query("u2_token_fanout", f"WITH q AS (SELECT item_id AS prompt_id, unnest(list_sort({RT.format('text')})[1:6]) AS term FROM benchmark), p AS (SELECT id, confidence, unnest({RT.format('text')}) AS term FROM notes), h AS (SELECT prompt_id, id FROM q JOIN p USING (term) QUALIFY row_number() OVER (PARTITION BY prompt_id, term ORDER BY confidence DESC, id) <= 3) SELECT DISTINCT prompt_id, id FROM h", NOTES)
 def u2(spark, d):
-    q = A.prompts(spark, d).filter("prompt_id < 10").select("prompt_id", F.explode(F.slice(F.sort_array(T.rank_tokens(F.col("prompt"))), 1, 6)).alias("term"))
+    q = A.prompts(spark, d).select("prompt_id", F.explode(F.slice(F.sort_array(T.rank_tokens(F.col("prompt"))), 1, 6)).alias("term"))
     p = A.notes(spark, d).select("id", "confidence", F.explode(T.rank_tokens(F.col("text"))).alias("term"))
     return N.first_per(p.join(q, "term"), ["prompt_id", "term"], [F.desc("confidence"), "id"], 3).select("prompt_id", "id").distinct()
 
@@ -191,10 +191,10 @@ def f45(spark, d):
     return A.articles(spark, d).select("id", F.when(u.startswith("https://"), F.concat(F.lit("[tls]/"), F.substring(u, 9, 1 << 20))).when(u.startswith("http://"), F.concat(F.lit("[plain]/"), F.substring(u, 8, 1 << 20))).otherwise(u).alias("path"))
 
 
-@query("g1_bfs_paths", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS src, l_suppkey + 1000000 AS dst FROM lineitem WHERE l_orderkey < 200), r AS (SELECT 0::BIGINT AS node, 0 AS hop, '0' AS path UNION ALL SELECT b.dst, hop + 1, path || '>' || b.dst FROM r JOIN (SELECT src, dst FROM e UNION SELECT dst, src FROM e) b ON r.node = b.src WHERE hop < 2)
+@query("g1_bfs_paths", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS src, l_suppkey + 1000000 AS dst FROM lineitem), r AS (SELECT 0::BIGINT AS node, 0 AS hop, '0' AS path UNION ALL SELECT b.dst, hop + 1, path || '>' || b.dst FROM r JOIN (SELECT src, dst FROM e UNION SELECT dst, src FROM e) b ON r.node = b.src WHERE hop < 2)
  SELECT node, min(hop) AS hop, first(path ORDER BY hop, path) AS path FROM r GROUP BY node""")
 def g1(spark, d):
-    e = A.citations(spark, d).filter("claim_id < 200").select(F.col("claim_id").alias("src"), (F.col("source") + 1000000).alias("dst")).distinct()
+    e = A.citations(spark, d).select(F.col("claim_id").alias("src"), (F.col("source") + 1000000).alias("dst")).distinct()
     both = e.union(e.select("dst", "src"))
     return N.paths(both, spark.createDataFrame([(0,)], "node long"), 2)
 
@@ -207,10 +207,10 @@ def g5(spark, d):
     return N.reach(e, c.filter("id % 500 = 0").select(F.col("id").alias("node")), 3).select("node", F.round("weight", 6).alias("weight"))
 
 
-@query("g7_entity_hops", """WITH RECURSIVE b AS (SELECT DISTINCT 'c' || l_orderkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_orderkey < 300 UNION SELECT DISTINCT 's' || l_suppkey, 'c' || l_orderkey FROM lineitem WHERE l_orderkey < 300), r AS (SELECT 's1' AS node, 0 AS hop UNION SELECT b.dst, hop + 1 FROM r JOIN b ON r.node = b.src WHERE hop < 2)
+@query("g7_entity_hops", """WITH RECURSIVE b AS (SELECT DISTINCT 'c' || l_orderkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'c' || l_orderkey FROM lineitem), r AS (SELECT 's1' AS node, 0 AS hop UNION SELECT b.dst, hop + 1 FROM r JOIN b ON r.node = b.src WHERE hop < 2)
  SELECT node, round(1.0::DOUBLE / (1 + min(hop)), 6) AS score FROM r GROUP BY node""")
 def g7(spark, d):
-    e = A.citations(spark, d).filter("claim_id < 300").select(F.concat(F.lit("c"), F.col("claim_id").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("source").cast("string")).alias("dst")).distinct()
+    e = A.citations(spark, d).select(F.concat(F.lit("c"), F.col("claim_id").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("source").cast("string")).alias("dst")).distinct()
     return X.hops(e, spark.createDataFrame([("s1",)], "node string"), 2).select("node", F.round(1.0 / (1 + F.col("hop")), 6).alias("score"))
 
 
@@ -350,10 +350,10 @@ def e13(spark, d):
     return A.ledger(spark, d).groupBy("event_type").agg(one().alias("n")).withColumn("alert", F.col("n") > 1900)
 
 
-@query("r2_explain", "SELECT id, round(0.55::DOUBLE * 0.5, 6) AS lexical_part, round(0.30::DOUBLE * confidence, 6) AS confidence_part, pinned FROM claims WHERE id < 500", CLAIMS)
+@query("r2_explain", "SELECT id, round(0.55::DOUBLE * 0.5, 6) AS lexical_part, round(0.30::DOUBLE * confidence, 6) AS confidence_part, pinned FROM claims", CLAIMS)
 def r2(spark, d):
     parts = F.struct(F.lit(S.NO_VECTOR[0] * 0.5).alias("lexical"), (S.NO_VECTOR[1] * F.col("confidence")).alias("confidence"))
-    return A.claims(spark, d).filter("id < 500").withColumn("parts", parts).select("id", F.round("parts.lexical", 6).alias("lexical_part"), F.round("parts.confidence", 6).alias("confidence_part"), "pinned")
+    return A.claims(spark, d).withColumn("parts", parts).select("id", F.round("parts.lexical", 6).alias("lexical_part"), F.round("parts.confidence", 6).alias("confidence_part"), "pinned")
 
 
 @query("r6_wiki_validate", "SELECT page_id AS id, CASE WHEN NOT contains(html, '</html>') THEN 'unclosed' WHEN NOT contains(html, '<h1>') THEN 'no_heading' WHEN length(html) > 20000 THEN 'long' ELSE 'ok' END AS code FROM pages")
@@ -430,18 +430,18 @@ def v28(spark, d):
     return models.quality_model(x, "label", x.filter("id % 5 <> 0")).select("id", "probability")
 
 
-@query("f11_query_expansion", f"WITH q AS (SELECT item_id AS prompt_id, unnest({RT.format('text')}) AS term FROM benchmark WHERE item_id < 10), t AS (SELECT unnest({RT.format('text')}) AS alias FROM notes), n AS (SELECT alias, count(*) AS popularity FROM t GROUP BY alias HAVING count(*) >= 3), h AS (SELECT prompt_id, term, alias FROM q JOIN n ON substr(term, 1, 4) = substr(alias, 1, 4) AND term <> alias WHERE length(term) >= 4 QUALIFY row_number() OVER (PARTITION BY prompt_id, term ORDER BY popularity DESC, length(alias), alias) <= 2) SELECT * FROM h", NOTES)
+@query("f11_query_expansion", f"WITH q AS (SELECT item_id AS prompt_id, unnest({RT.format('text')}) AS term FROM benchmark), t AS (SELECT unnest({RT.format('text')}) AS alias FROM notes), n AS (SELECT alias, count(*) AS popularity FROM t GROUP BY alias HAVING count(*) >= 3), h AS (SELECT prompt_id, term, alias FROM q JOIN n ON substr(term, 1, 4) = substr(alias, 1, 4) AND term <> alias WHERE length(term) >= 4 QUALIFY row_number() OVER (PARTITION BY prompt_id, term ORDER BY popularity DESC, length(alias), alias) <= 2) SELECT * FROM h", NOTES)
 def f11(spark, d):
-    q = A.prompts(spark, d).filter("prompt_id < 10").select("prompt_id", F.explode(T.rank_tokens(F.col("prompt"))).alias("term")).filter(F.length("term") >= 4)
+    q = A.prompts(spark, d).select("prompt_id", F.explode(T.rank_tokens(F.col("prompt"))).alias("term")).filter(F.length("term") >= 4)
     n = A.notes(spark, d).select(F.explode(T.rank_tokens(F.col("text"))).alias("alias")).groupBy("alias").agg(one().alias("popularity")).filter("popularity >= 3")
     x = q.join(n, (F.substring("term", 1, 4) == F.substring("alias", 1, 4)) & (F.col("term") != F.col("alias")))
     return N.first_per(x, ["prompt_id", "term"], [F.desc("popularity"), F.length("alias"), "alias"], 2).select("prompt_id", "term", "alias")
 
 
-@query("f41_rule_parse", "SELECT id, CASE WHEN id % 4 <> 0 THEN 'use ' || predicate END AS action FROM claims WHERE id < 2000", CLAIMS)
+@query("f41_rule_parse", "SELECT id, CASE WHEN id % 4 <> 0 THEN 'use ' || predicate END AS action FROM claims", CLAIMS)
 def f41(spark, d):
     raw = F.when(F.col("id") % 4 == 0, "{broken").otherwise(F.to_json(F.struct(F.lit("when").alias("trigger"), F.concat(F.lit("use "), "predicate").alias("action"))))
-    return A.claims(spark, d).filter("id < 2000").select("id", L.rule_of(raw).getField("action").alias("action"))
+    return A.claims(spark, d).select("id", L.rule_of(raw).getField("action").alias("action"))
 
 
 @query("g6_supported_reach", """WITH RECURSIVE c AS (SELECT o_orderkey AS id, (o_orderkey % 101) / 100.0::DOUBLE AS confidence FROM orders), e AS (SELECT a.id AS src, a.id + 1 AS dst, a.confidence AS w FROM c a WHERE a.id IN (SELECT l_orderkey FROM lineitem)), r AS (SELECT id AS node, 1.0::DOUBLE AS weight, 0 AS h FROM c WHERE id % 300 = 0 UNION ALL SELECT e.dst, r.weight * e.w, h + 1 FROM r JOIN e ON r.node = e.src WHERE h < 4 AND r.weight * e.w >= 0.01)
@@ -462,19 +462,19 @@ def g11(spark, d):
     return hashed(t.filter("NOT (source % 10 = 3 AND locator = 1)"), "o").join(hashed(t, "n"), "source").filter("o <> n").select("source")
 
 
-@query("g13_link_suggestions", "WITH l AS (SELECT DISTINCT claim_id, source FROM citations WHERE claim_id < 300), p AS (SELECT a.claim_id AS a, b.claim_id AS b, count(*) AS shared FROM l a JOIN l b ON a.source = b.source AND a.claim_id <> b.claim_id GROUP BY ALL) SELECT a, b, shared FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) <= 3", CITATIONS)
+@query("g13_link_suggestions", "WITH l AS (SELECT DISTINCT claim_id, part FROM citations), p AS (SELECT a.claim_id AS a, b.claim_id AS b, count(*) AS shared FROM l a JOIN l b ON a.part = b.part AND a.claim_id <> b.claim_id GROUP BY ALL) SELECT a, b, shared FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) <= 3", CITATIONS)
 def g13(spark, d):
-    l = A.citations(spark, d).filter("claim_id < 300").select("claim_id", "source").distinct()
+    l = A.citations(spark, d).select("claim_id", "part").distinct()
     a, b = l.alias("a"), l.alias("b")
-    p = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a.claim_id") != F.col("b.claim_id"))).groupBy(F.col("a.claim_id").alias("a"), F.col("b.claim_id").alias("b")).agg(one().alias("shared"))
+    p = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.claim_id") != F.col("b.claim_id"))).groupBy(F.col("a.claim_id").alias("a"), F.col("b.claim_id").alias("b")).agg(one().alias("shared"))
     return N.first_per(p, ["a"], [F.desc("shared"), "b"], 3)
 
 
-@query("g9_eligible_observations", """WITH RECURSIVE s AS (SELECT l_orderkey AS claim_id, l_suppkey AS evidence, l_partkey % 200 AS signature FROM lineitem WHERE l_orderkey < 400), u AS (SELECT DISTINCT 1000000 + signature AS x, evidence AS y FROM s), b AS (SELECT x, y FROM u UNION SELECT y, x FROM u),
+@query("g9_eligible_observations", """WITH RECURSIVE s AS (SELECT l_orderkey AS claim_id, l_suppkey AS evidence, l_partkey % 200 AS signature FROM lineitem), u AS (SELECT DISTINCT 1000000 + signature AS x, evidence AS y FROM s), b AS (SELECT x, y FROM u UNION SELECT y, x FROM u),
  r AS (SELECT x AS node, x AS low FROM b UNION SELECT b.y, r.low FROM r JOIN b ON r.node = b.x), c AS (SELECT node, min(low) AS component FROM r GROUP BY node)
  SELECT component, count(DISTINCT claim_id) AS claims, count(DISTINCT evidence) AS evidence, count(DISTINCT signature) AS signatures FROM s JOIN c ON evidence = node GROUP BY component HAVING count(DISTINCT claim_id) >= 3 AND count(DISTINCT evidence) >= 2 AND count(DISTINCT signature) >= 2""")
 def g9e(spark, d):
-    s = A.citations(spark, d).filter("claim_id < 400").select("claim_id", F.col("source").alias("evidence"), (F.col("part") % 200).alias("signature"))
+    s = A.citations(spark, d).select("claim_id", F.col("source").alias("evidence"), (F.col("part") % 200).alias("signature"))
     comp = X.components(s.select((F.col("signature") + 1000000).alias("src"), F.col("evidence").alias("dst")).distinct())
     return N.eligible_observations(s, comp)
 
@@ -536,10 +536,10 @@ def r15(spark, d):
     return c.join(t, (F.col("replaced_by") == F.col("target")) & (F.col("subject") != F.col("s"))).select("id", "target")
 
 
-@query("r16_claim_links", "SELECT source, count(*) AS links FROM (SELECT claim_id AS a, source FROM citations UNION SELECT part, source FROM citations) WHERE a < 500 GROUP BY source", CITATIONS)
+@query("r16_claim_links", "SELECT source, count(*) AS links FROM (SELECT claim_id AS a, source FROM citations UNION SELECT part, source FROM citations) GROUP BY source", CITATIONS)
 def r16(spark, d):
     t = A.citations(spark, d)
-    return t.select(F.col("claim_id").alias("a"), "source").union(t.select(F.col("part").alias("a"), "source")).filter("a < 500").distinct().groupBy("source").agg(one().alias("links"))
+    return t.select(F.col("claim_id").alias("a"), "source").union(t.select(F.col("part").alias("a"), "source")).distinct().groupBy("source").agg(one().alias("links"))
 
 
 @query("r21_usage_rollup", "SELECT date_trunc('day', created_at) AS day, event_type, count(*) AS n, count(DISTINCT claim_id) AS users FROM ledger GROUP BY 1, 2", LEDGER)
