@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from claimforge.llm import fm_index, jaccard_join, mixing, passages, toxicity
 from claimforge.llm.io import bound_batches, discard, materialise, table
 
-#: No single SQL statement expresses stages 1, 3 and 4; the whole is tested against brute force.
+#: No single SQL statement expresses stages 1, 3 and 4; the stages' operators are tested against brute force or held-out labels.
 ORACLE_SQL = None
 
 
