@@ -95,28 +95,98 @@ def observation_type(text: Column) -> Column:
     return out.otherwise(F.lit(None))
 
 
-#: predicate -> (pattern, boost, drop, an invalid value fails the claim). Fixed values.
-VALIDATORS = {
-    "ip_address": (r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$", 0.10, -0.35, True),
-    "url": (r"^https?://[^\s/]+", 0.10, -0.35, True),
-    "email": (r"^[^@\s]+@[^@\s]+\.[^@\s]+$", 0.08, -0.25, True),
-    "port": (r"^([1-9]\d{0,3}|[1-5]\d{4}|6[0-4]\d{3}|65[0-4]\d{2}|655[0-2]\d|6553[0-5])$", 0.06, -0.25, True),
-    "date": (r"^\d{4}-\d{2}-\d{2}$", 0.05, -0.18, False),
-    "semver": (r"^\d+\.\d+\.\d+([-+][0-9A-Za-z.-]+)?$", 0.05, -0.10, False),
-    "sha256": (r"^[0-9a-fA-F]{64}$", 0.08, -0.18, True),
-    "uuid": (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", 0.06, -0.22, True),
-    "country_code": (r"^[A-Z]{2}$", 0.04, -0.10, False),
-}
+# Formats of hosts and their parts.
+OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+IPV4_WHOLE = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
+HOST_LABEL = r"(?!-)[A-Za-z0-9-]{1,63}(?<!-)"
+HOST = rf"^(?=.{{1,253}}$){HOST_LABEL}(?:\.{HOST_LABEL})*$"
+# Markers of a request for action, English and Spanish.
+ACTION_MARKERS = ("can you", "could you", "please", "pls", "todo", "to do", "remind", "reminder", "follow up", "send", "pay", "call", "check", "verify", "quote", "budget", "recordame", "recuerdame", "mandame", "enviame", "pasame", "pagar", "llamar", "presupuesto", "cotizacion")
+
+
+def action_markers(text: Column) -> Column:
+    """The markers a text holds, in their order."""
+    return F.filter(F.array(*[F.lit(m) for m in ACTION_MARKERS]), lambda m: F.contains(F.lower(text), m))
+
+
+def is_ipv6(value: Column) -> Column:
+    """Eight groups, or fewer around one '::'; the last two may be a dotted address, a zone may follow '%'."""
+    bare = F.regexp_replace(value, r"%[^%/]+$", "")
+    dotted = F.regexp_extract(bare, r":([^:]*\.[^:]*)$", 1)
+    x = F.when(dotted == "", bare).otherwise(F.regexp_replace(bare, r"[^:]*$", "0:0"))
+    group = "[0-9a-fA-F]{1,4}"
+    some = rf"(?:{group}(?::{group})*)?"
+    short = x.rlike(f"^{some}::{some}$") & (F.size(all_matches(x, "[0-9a-fA-F]+")) <= 7)
+    return ((dotted == "") | dotted.rlike(IPV4_WHOLE)) & (x.rlike(f"^{group}(?::{group}){{7}}$") | short)
+
+
+def is_cidr(value: Column) -> Column:
+    """An address, with a prefix length or without; an IPv4 one may have a net mask instead."""
+    address, length = F.split_part(value, F.lit("/"), F.lit(1)), F.split_part(value, F.lit("/"), F.lit(2))
+    bits = F.when(length.rlike(r"^\d{1,9}$"), length.try_cast("int"))
+    plain = ~F.contains(value, F.lit("/"))
+    octets = F.transform(F.split(length, r"\."), lambda o: F.lpad(F.conv(o, 10, 2), 8, "0"))
+    mask = length.rlike(IPV4_WHOLE) & F.array_join(octets, "").rlike("^(?:1*0*|0*1*)$")
+    fits = lambda most: plain | F.coalesce(bits <= most, F.lit(False))
+    one = F.length(F.regexp_replace(value, "[^/]", "")) <= 1
+    return one & ((address.rlike(IPV4_WHOLE) & (fits(32) | mask)) | (is_ipv6(address) & fits(128)))
+
+
+def is_url(value: Column) -> Column:
+    """http or https with a host that is a name or an address."""
+    place = F.regexp_extract(value, r"^(?i:https?)://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]*)(?::[^/?#]*)?(?:[/?#]|$)", 1)
+    return place.rlike(HOST) | (F.startswith(place, F.lit("[")) & is_ipv6(F.regexp_replace(place, r"^\[|\]$", "")))
+
+
+def _matches(pattern: str):
+    return lambda v: F.trim(v).rlike(pattern)
+
+
+def _port(value: Column) -> Column:
+    v = F.trim(value)
+    return v.rlike(r"^\+?\d+$") & F.coalesce(v.try_cast("int").between(1, 65535), F.lit(False))
+
+
+def _date(value: Column) -> Column:
+    v = F.trim(value)
+    return v.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.coalesce(F.year(v.try_cast("date")) >= 1970, F.lit(False))
+
+
+def _hostname(value: Column) -> Column:
+    v = F.regexp_replace(F.trim(value), r"\.+$", "")
+    return F.contains(v, F.lit(".")) & v.rlike(HOST)
+
+
+#: (predicates, test, boost, drop, an invalid value fails the claim). Fixed values. Dates are those written YYYY-MM-DD.
+VALIDATORS = (
+    (("ip_address",), lambda v: v.rlike(IPV4_WHOLE), 0.10, -0.35, True),
+    (("ipv6", "ip_v6_address"), is_ipv6, 0.10, -0.35, True),
+    (("cidr", "network_cidr"), lambda v: is_cidr(F.trim(v)), 0.08, -0.30, True),
+    (("url",), is_url, 0.10, -0.35, True),
+    (("email", "support_email", "contact_email"), _matches(r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"), 0.08, -0.25, True),
+    (("hostname", "host"), _hostname, 0.08, -0.20, True),
+    (("port",), _port, 0.06, -0.25, True),
+    (("deadline", "date"), _date, 0.05, -0.18, False),
+    (("version", "semver"), _matches(r"^v?\d+\.\d+\.\d+(?:[-+][0-9A-Za-z.\-]+)?$"), 0.05, -0.10, False),
+    (("sha256", "file_hash"), _matches("^[0-9a-fA-F]{64}$"), 0.08, -0.18, True),
+    (("uuid", "uuid_v4", "object_id"), _matches("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-8][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"), 0.06, -0.22, True),
+    (("phone", "phone_number"), lambda v: F.regexp_replace(v, "[ -]", "").rlike(r"^\+?[1-9]\d{6,14}$"), 0.05, -0.20, True),
+    (("country_code", "iso_country_code"), _matches("^[A-Za-z]{2}$"), 0.04, -0.10, False),
+)
+#: Boost and drop of a path; whether it exists is given, for a task sees no user's disk. Fixed values.
+PATH_DELTAS = (0.12, -0.10)
 
 
-def validated(predicate: Column, value: Column) -> Column:
-    """(valid, delta, hard_fail) of a value under its predicate's format; null where the predicate has none."""
-    out = None
-    for name, (pattern, boost, drop, hard) in VALIDATORS.items():
-        ok = value.rlike(pattern)
-        made = F.struct(ok.alias("valid"), F.when(ok, boost).otherwise(drop).alias("delta"), (F.lit(hard) & ~ok).alias("hard_fail"))
-        out = F.when(predicate == name, made) if out is None else out.when(predicate == name, made)
-    return out
+def validated(predicate: Column, value: Column, path_exists: Column | None = None) -> Column:
+    """(valid, delta, hard_fail) of a value under its predicate's format; null where the predicate has none or the value is empty."""
+
+    def verdict(ok: Column, boost: float, drop: float, hard: bool) -> Column:
+        return F.struct(ok.alias("valid"), F.when(ok, boost).otherwise(drop).alias("delta"), (F.lit(hard) & ~ok).alias("hard_fail"))
+
+    out = F.when((value.isNull()) | (value == ""), F.lit(None))
+    for names, test, boost, drop, hard in VALIDATORS:
+        out = out.when(predicate.isin(*names), verdict(test(value), boost, drop, hard))
+    return out if path_exists is None else out.when(predicate == "path", verdict(path_exists, *PATH_DELTAS, False))
 
 
 def redact_private(text: Column) -> Column:

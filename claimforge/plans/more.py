@@ -492,10 +492,32 @@ def v3(spark, d):
     return S.jaccard_duplicates(n, 0.85, 50).join(n.filter("status = 'candidate'").select("id"), "id", "left_semi").select("id", "of")
 
 
-@query("v4_deterministic_validation", "SELECT id, regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}$') AS valid, CASE WHEN regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}$') THEN 0.05::DOUBLE ELSE -0.18::DOUBLE END AS delta FROM (SELECT id, CASE WHEN id % 4 = 0 THEN 'soon' ELSE strftime(created_at, '%Y-%m-%d') END AS v FROM claims)", CLAIMS)
+@query("v4_deterministic_validation", """WITH x AS (SELECT id, (id % 13)::INT AS k, (id // 13 % 300)::INT AS n FROM claims)
+ SELECT id, ok AS valid, CASE WHEN ok THEN [0.10, 0.10, 0.08, 0.10, 0.08, 0.08, 0.06, 0.05, 0.05, 0.08, 0.06, 0.05, 0.04][k + 1] ELSE [-0.35, -0.35, -0.30, -0.35, -0.25, -0.20, -0.25, -0.18, -0.10, -0.18, -0.22, -0.20, -0.10][k + 1] END::DOUBLE AS delta,
+ NOT ok AND k NOT IN (7, 8, 12) AS hard_fail FROM (SELECT *, CASE k WHEN 0 THEN n <= 255 WHEN 1 THEN n % 3 < 2 WHEN 2 THEN n % 40 <= 32 WHEN 3 THEN n % 5 <> 0 WHEN 4 THEN n % 4 <> 0 WHEN 5 THEN n % 4 <> 0
+ WHEN 6 THEN n * 300 BETWEEN 1 AND 65535 WHEN 7 THEN n % 31 BETWEEN 1 AND 28 WHEN 8 THEN n % 3 < 2 WHEN 9 THEN n % 3 <> 0 WHEN 10 THEN n % 3 <> 0 WHEN 11 THEN n % 3 <> 0 ELSE n % 3 <> 0 END AS ok FROM x)""", CLAIMS)
 def v4(spark, d):
-    v = F.when(F.col("id") % 4 == 0, "soon").otherwise(F.date_format("created_at", "yyyy-MM-dd"))
-    return A.claims(spark, d).select("id", T.validated(F.lit("date"), v).alias("v")).select("id", "v.valid", "v.delta")
+    """Values of every format made from the ids; the SQL knows by arithmetic which are valid."""
+    n = (F.floor(F.col("id") / 13) % 300).cast("int")
+    text = lambda form, *c: F.format_string(form, *(c or (n,)))
+    made = (
+        ("ip_address", text("10.0.%d.1")),
+        ("ipv6", F.when(n % 3 == 0, text("fe80::%x")).when(n % 3 == 1, text("2001:db8:0:0:0:0:0:%x")).otherwise(text("1::2::%x"))),
+        ("cidr", text("10.1.2.3/%d", n % 40)),
+        ("url", F.when(n % 5 == 0, text("ftp://h%d.org/")).when(n % 5 == 1, text("http://[::%x]:80/a")).otherwise(text("HTTPS://u@h%d.org?q"))),
+        ("support_email", F.when(n % 4 == 0, text("a%d@host")).otherwise(text("a.b+%d@mail.org"))),
+        ("host", F.when(n % 4 == 0, text("h%d")).otherwise(text("a.h%d.org."))),
+        ("port", text("%d", n * 300)),
+        ("deadline", text("2001-02-%02d", n % 31)),
+        ("semver", F.when(n % 3 == 0, text("1.0.%d")).when(n % 3 == 1, text("v1.2.%d-rc.1")).otherwise(text("1.%d"))),
+        ("file_hash", F.when(n % 3 == 0, F.md5(n.cast("string").cast("binary"))).otherwise(F.sha2(n.cast("string").cast("binary"), 256))),
+        ("uuid", F.when(n % 3 == 0, text("123e4567-e89b-02d3-a456-%012x")).otherwise(text("123E4567-e89b-42d3-a456-%012x"))),
+        ("phone_number", F.when(n % 3 == 0, text("+0 555-000%03d")).otherwise(text("+1 555-000%03d"))),
+        ("country_code", F.when(n % 3 == 0, F.lit("x1")).otherwise("uy")),
+    )
+    pair = F.element_at(F.array(*[F.struct(F.lit(p).alias("predicate"), v.alias("value")) for p, v in made]), (F.col("id") % 13 + 1).cast("int"))
+    x = A.claims(spark, d).select("id", pair.alias("p")).select("id", "p.predicate", "p.value")
+    return x.select("id", T.validated(F.col("predicate"), F.col("value")).alias("v")).select("id", "v.valid", "v.delta", "v.hard_fail")
 
 
 @query("v14_proposals", "SELECT claim_id, count(*) AS proposals, max(id) AS last FROM ledger WHERE event_type = 'supersession' GROUP BY claim_id HAVING count(*) >= 2", LEDGER)

@@ -204,9 +204,10 @@ def f19(spark, d):
     return A.articles(spark, d).select("id", T.validated(F.lit("url"), F.col("slug")).alias("v")).select("id", "v.valid", "v.delta", "v.hard_fail")
 
 
-@query("f23_claim_redaction", "SELECT id, md5(regexp_replace(text, '\\b(10\\.\\d{1,3}|192\\.168|172\\.(1[6-9]|2\\d|3[01]))\\.\\d{1,3}\\.\\d{1,3}\\b', '[REDACTED:private_ip]', 'g')) AS digest FROM notes WHERE NOT contains(text, '\\')", NOTES)
+@query("f23_claim_redaction", """SELECT id, md5(regexp_replace(regexp_replace(text, '\\b(10\\.\\d{1,3}|192\\.168|172\\.(1[6-9]|2\\d|3[01]))\\.\\d{1,3}\\.\\d{1,3}\\b', '[REDACTED:private_ip]', 'g'),
+ '[A-Za-z]:\\\\[^\\s]+|\\\\\\\\[^\\s\\\\]+\\\\[^\\s]+', '[REDACTED:path]', 'g')) AS digest FROM notes""", NOTES)
 def f23(spark, d):
-    return A.notes(spark, d).filter(~F.col("text").contains("\\")).select("id", F.md5(T.redact_private(F.col("text")).cast("binary")).alias("digest"))
+    return A.notes(spark, d).select("id", F.md5(T.redact_private(F.col("text")).cast("binary")).alias("digest"))
 
 
 @query("f24_content_hash", "SELECT id, 'hash-' || substr(sha256(lower(trim(text)) || '|' || scope || '|' || 'default'), 1, 16) AS key FROM notes", NOTES)
@@ -283,10 +284,19 @@ def v8(spark, d):
     return S.similar_pairs(A.vectors(spark, d), 0.4).groupBy(F.col("b").alias("archived")).agg(F.min("a").alias("survivor"))
 
 
-@query("v29_action_markers", "SELECT id, CASE WHEN contains(lower(text), 'license') THEN 'legal' WHEN contains(lower(text), 'secret') THEN 'rotate' ELSE 'none' END AS action FROM notes", NOTES)
+_RAW_ASKS = "asks AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -(conv_id * 1000 + turn), text FROM conversations)"
+
+
+@query("v29_action_markers", """WITH m AS (SELECT unnest(['can you', 'could you', 'please', 'pls', 'todo', 'to do', 'remind', 'reminder', 'follow up', 'send', 'pay', 'call', 'check', 'verify', 'quote', 'budget', 'recordame', 'recuerdame', 'mandame', 'enviame', 'pasame', 'pagar', 'llamar', 'presupuesto', 'cotizacion']) AS marker)
+ SELECT id, string_agg(marker, ',' ORDER BY marker) AS markers, CASE WHEN bool_or(marker IN ('remind', 'reminder', 'recordame', 'recuerdame')) THEN 'reminder' WHEN bool_or(marker = 'follow up') THEN 'follow_up' ELSE 'task' END AS proposal
+ FROM asks, m WHERE contains(lower(text), marker) GROUP BY id""", _RAW_ASKS)
 def v29(spark, d):
-    low = F.lower("text")
-    return A.notes(spark, d).select("id", F.when(low.contains("license"), "legal").when(low.contains("secret"), "rotate").otherwise("none").alias("action"))
+    turns = A.turns(spark, d).select((-F.col("id")).alias("id"), F.col("content").alias("text"))
+    asks = A.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(turns)
+    held = asks.select("id", T.action_markers(F.col("text")).alias("m")).filter(F.size("m") > 0)
+    any_of = lambda *w: F.arrays_overlap("m", F.array(*[F.lit(x) for x in w]))
+    kind = F.when(any_of("remind", "reminder", "recordame", "recuerdame"), "reminder").when(any_of("follow up"), "follow_up").otherwise("task")
+    return held.select("id", F.array_join(F.array_sort("m"), ",").alias("markers"), kind.alias("proposal"))
 
 
 @query("e1_precision_map_at_5", """WITH r AS (SELECT prompt_id, id, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, id) AS rank FROM bm), h AS (SELECT prompt_id, rank, status = 'confirmed' AS hit FROM r JOIN notes USING (id) WHERE rank <= 5), c AS (SELECT *, sum(hit::INT) OVER (PARTITION BY prompt_id ORDER BY rank) AS cum FROM h)
@@ -336,17 +346,17 @@ def s14(spark, d):
 
 @query("f13_hash_embed")
 def f13(spark, d):
-    return A.prompts(spark, d).select("prompt_id", K.embed(F.col("prompt")).alias("v"))
+    return A.read(spark, d, "documents").select("doc_id", K.embed(F.col("text")).alias("v"))
 
 
 @query("f21_secret_findings")
 def f21(spark, d):
-    return A.notes(spark, d).select("id", K.findings(F.col("text")).alias("found")).filter(F.size("found") > 0)
+    return A.notes(spark, d).filter(K.may_hold_secret(F.col("text"))).select("id", K.findings(F.col("text")).alias("found")).filter(F.size("found") > 0)
 
 
 @query("f22_encoded_variants")
 def f22(spark, d):
-    return A.prompts(spark, d).select("prompt_id", K.variant_findings(F.col("prompt")).alias("found"))
+    return A.notes(spark, d).select("id", K.variant_findings(F.col("text")).alias("found"))
 
 
 @query("f27_fuzzy_alias")
