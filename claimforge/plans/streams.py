@@ -17,10 +17,8 @@ def _events(spark, d):
 @query("t2_stream_idempotent_ingest", "SELECT key, min(doc_id) AS first_id FROM (SELECT md5(text) AS key, doc_id FROM documents) GROUP BY key")
 def t2(spark, d):
     schema = A.read(spark, d, "documents").schema
-    x = T.parquet_stream(spark, f"{d}/documents.parquet", schema).select(F.md5(F.col("text").cast("binary")).alias("key"))
-    keys = T.ingest(x, "ingest")
-    first = A.read(spark, d, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("key")).agg(F.min("doc_id").alias("first_id"))
-    return keys.join(first, "key")
+    x = T.parquet_stream(spark, f"{d}/documents.parquet", schema).select(F.md5(F.col("text").cast("binary")).alias("key"), F.col("doc_id").alias("first_id"))
+    return T.ingest(x, "ingest", "first_id")
 
 
 @query("t4_quarantine_split", "SELECT event_id % 10 = 0 AS quarantined, count(*) AS n FROM events GROUP BY 1")
@@ -32,13 +30,13 @@ def t4(spark, d):
 
 @query("t7_tumbling_counts", "SELECT date_trunc('day', ts) AS win, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def t7(spark, d):
-    x = T.complete(T.tumbling(_events(spark, d), "ts", ["event_type"], "1 day", "2 days"), "tumbling")
+    x = T.latest(T.tumbling(_events(spark, d), "ts", ["event_type"], "1 day", "2 days"), ["window", "event_type"], "tumbling")
     return x.select(F.col("window.start").cast("timestamp_ntz").alias("win"), "event_type", "n")
 
 
 @query("t11_sliding_counts", "SELECT win, event_type, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS win, event_type FROM events) GROUP BY ALL")
 def t11(spark, d):
-    x = T.complete(T.sliding(_events(spark, d), "ts", ["event_type"], "2 hours", "1 hour", "2 days"), "sliding")
+    x = T.latest(T.sliding(_events(spark, d), "ts", ["event_type"], "2 hours", "1 hour", "2 days"), ["window", "event_type"], "sliding")
     return x.select(F.col("window.start").cast("timestamp_ntz").alias("win"), "event_type", "n")
 
 
@@ -49,6 +47,13 @@ def t8(spark, d):
     return x.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("started"), "n")
 
 
+@query("t7_closed_windows", """SELECT win, event_type, n FROM (SELECT date_trunc('day', ts) AS win, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+ WHERE win + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
+def t7_closed(spark, d):
+    x = T.closed(T.tumbling(_events(spark, d), "ts", ["event_type"], "1 day", "2 days"), "closed")
+    return x.select(F.col("window.start").cast("timestamp_ntz").alias("win"), "event_type", "n")
+
+
 @query("t9_stream_dedupe", "SELECT source, count(DISTINCT text) AS n FROM documents GROUP BY source")
 def t9(spark, d):
     schema = A.read(spark, d, "documents").schema

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/claimforge-streams"
+    """A new folder below the cluster's shared one, or in the warehouse, which executors share too."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/claimforge-streams"
     return f"{at}/{name}-{uuid.uuid4().hex}"
 
 
@@ -29,8 +28,29 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def latest(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Runs an aggregating stream in update mode: a batch writes the groups that it changed, state behind the watermark is
+    dropped and later rows for it are too. The result has each group's last state."""
+    spark = stream.sparkSession
+    out = folder(spark, name)
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")  # a batch that is run again replaces its own rows
+
+    q = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", folder(spark, f"{name}-state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(f"{spark_schema(stream)}, batch long").parquet(out)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
+
+
+def spark_schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def complete(stream: DataFrame, name: str) -> DataFrame:
-    """Runs an aggregating stream over all available data; the last full result of each batch replaces the one before."""
+    """Runs an aggregating stream over all available data; the last full result of each batch replaces the one before. For
+    session windows, which have no update mode; it keeps all state, so the watermark does not act."""
     spark = stream.sparkSession
     out = folder(spark, name)
 
@@ -44,19 +64,28 @@ def complete(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/{last}")
 
 
-def ingest(events: DataFrame, name: str) -> DataFrame:
-    """At-least-once input, exactly-once rows: each micro-batch anti-joins what is there by content key."""
+def closed(stream: DataFrame, name: str) -> DataFrame:
+    """Runs an aggregating stream in append mode: groups that the watermark has passed, each written once."""
+    return drained(stream, name)
+
+
+def ingest(events: DataFrame, name: str, order: str) -> DataFrame:
+    """At-least-once input, exactly-once rows: a key's row with the least ``order`` of the first batch that has it. Batches
+    anti-join what earlier ones wrote; a batch that is run again replaces its own rows."""
     spark = events.sparkSession
     out = folder(spark, name)
-    spark.createDataFrame([], events.schema).write.parquet(out)
+    columns = f"{spark_schema(events)}, batch long"
+    spark.createDataFrame([], columns).write.partitionBy("batch").parquet(out)
 
-    def put(batch: DataFrame, _: int) -> None:
-        have = batch.sparkSession.read.schema(events.schema).parquet(out).select("key")
-        batch.dropDuplicates(["key"]).join(have, "key", "left_anti").select(*events.columns).write.mode("append").parquet(out)
+    def put(batch: DataFrame, n: int) -> None:
+        have = batch.sparkSession.read.schema(columns).parquet(out).filter(F.col("batch") < n).select("key")
+        rest = [c for c in events.columns if c != "key"]
+        first = batch.groupBy("key").agg(F.min_by(F.struct(*rest), order).alias("_first")).select("key", "_first.*")
+        first.join(have, "key", "left_anti").select(*events.columns).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     q = events.writeStream.foreachBatch(put).option("checkpointLocation", folder(spark, f"{name}-state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(events.schema).parquet(out)
+    return spark.read.schema(columns).parquet(out).drop("batch")
 
 
 def quarantine(lines: DataFrame, column: str, schema: str) -> DataFrame:
