@@ -7,7 +7,8 @@ all phrases are searched backwards together, a vectorised rank step for each wor
 sampled suffix positions by stepping back through the last column. Spans of occurrences are merged per document.
 
 Scale: documents are read once, nothing is shuffled. The phrases are sent to the executors in blocks of at most
-``block_bytes`` of item text; more than one block means that many passes, whose spans are merged by document.
+``block_bytes`` of item text, 40 bytes a phrase; more than one block means that many passes, whose spans are merged by
+document. A shard searches only phrases all of whose words it has.
 
 Nulls: a null or wordless text has no words and no hits; a null or wordless item is never found; repeated items count
 one by one; repeated documents are each reported. Empty tables give empty results. Other columns are ignored.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from claimforge.llm.kernel import CHUNK, NON_ALNUM, Words, chunks
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 SAMPLE = 8
 U64 = np.uint64
 
@@ -44,7 +45,7 @@ class Phrases:
 def phrases(ids: list, texts: pa.Array, window: int = WINDOW) -> Phrases:
     raw_words = [Words(raw, at, NON_ALNUM) for _, _, raw, at in chunks(texts, 1 << 40)]
     if not raw_words:
-        return Phrases(np.zeros(0, U64), np.zeros((0, window), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), ids)
+        return Phrases(np.zeros(0, U64), np.zeros((0, window), np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), ids)
     w = raw_words[0]
     h = w.hashes(lower=True)
     vocabulary = np.unique(h)
@@ -55,12 +56,12 @@ def phrases(ids: list, texts: pa.Array, window: int = WINDOW) -> Phrases:
         if n:
             size = min(n, window)
             part = np.lib.stride_tricks.sliding_window_view(symbol[lo:hi], size)
-            grid = np.full((len(part), window), -1, dtype=np.int64)
+            grid = np.full((len(part), window), -1, dtype=np.int32)
             grid[:, window - size :] = part
             rows.append(grid)
             items.append(np.full(len(part), i))
     if not rows:
-        return Phrases(vocabulary, np.zeros((0, window), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), ids)
+        return Phrases(vocabulary, np.zeros((0, window), np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), ids)
     grid, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
     pair = np.unique(np.stack([which.ravel(), np.concatenate(items)], axis=1), axis=0)
     return Phrases(vocabulary, grid, (grid >= 0).sum(axis=1), pair[:, 1], pair[:, 0], ids)
@@ -186,13 +187,19 @@ def search_chunk(raw: np.ndarray, at: np.ndarray, q: Phrases) -> tuple[np.ndarra
     insert = np.searchsorted(where, border)
     text = np.concatenate([[0], np.insert(symbol[where], insert, 1)])
     origin = np.concatenate([[-1], np.insert(where, insert, -1)])
+    # A phrase with a word that the shard lacks can't occur; the last place stands for the -1 before short phrases.
+    there = np.zeros(len(q.words) + 3, dtype=bool)
+    there[text] = there[-1] = True
+    possible = np.flatnonzero(there[q.grid].all(axis=1))
+    if not len(possible):
+        return w.counts, none, none
     index = FMIndex(text)
-    lo, hi = index.search(q.grid)
+    lo, hi = index.search(q.grid[possible])
     found = np.flatnonzero(hi > lo)
     if not len(found):
         return w.counts, none, none
     count = (hi - lo)[found]
-    which = np.repeat(found, count)
+    which = np.repeat(possible[found], count)
     rows = np.repeat(lo[found] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     spot = origin[index.locate(rows)]
     size = q.length[which]
