@@ -7,7 +7,7 @@ separators before, last separator before) then stitches documents that cross bor
 are read by ``blocks_of_files``.
 
 Scale: one scan of the texts; the blocks are Parquet rows in the shared folder, two bytes an id before compression.
-Only summaries are shuffled: a row for each block with its separators' places, by stream.
+Only summaries are shuffled: a row for each block with its separators' places, by stream, and a count and an id per document.
 
 Nulls: null and empty texts have no ids, only their separator; repeated rows are counted one by one; a null doc_id is
 carried as null; an empty table gives an empty result. Other columns are ignored. An id that equals the separator
@@ -47,40 +47,47 @@ def encoder(ranks: bytes):
     return _encoders[key]
 
 
-def write_tokens(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, eod: int = EOD, block: int = BLOCK) -> DataFrame:
-    """(stream, block, data, ended): little-endian 16-bit ids in flat blocks; ended: ids of the documents whose separator lies in the block."""
+def write_tokens(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, eod: int = EOD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(stream, block, data): little-endian 16-bit ids in flat blocks; and (stream, ordinal, doc_id): the order of the texts.
+
+    The vocabulary's ids and ``eod`` must be below 65,536; a larger one raises.
+    """
     with open(os.path.join(tokenizers, vocabulary), "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(it):
         enc = encoder(shared.value)
-        stream, number, held, size, ended = TaskContext.get().partitionId(), 0, [], 0, []
-        names = ["stream", "block", "data", "ended"]
+        if max(enc.max_token_value, eod) > 0xFFFF:
+            raise ValueError("ids of this vocabulary do not fit 16 bits")
+        stream, number, held, size, first = TaskContext.get().partitionId(), 0, [], 0, 0
+        names = ["stream", "at", "data", "ids"]
 
-        def row(ids: np.ndarray, ended: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([stream], pa.int64()), pa.array([number], pa.int64()), pa.array([ids.astype("<u2").tobytes()], pa.binary()), pa.array([ended], pa.list_(pa.int64()))], names)
+        def row(at: int, ids: np.ndarray | None, order: list | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([stream], pa.int64()), pa.array([at], pa.int64()), pa.array([None if ids is None else ids.astype("<u2").tobytes()], pa.binary()), pa.array([order], pa.list_(pa.int64()))], names)
 
         mark = np.array([eod], dtype=np.uint16)
         for b in it:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            order = b.column("doc_id").to_pylist()
+            if order:
+                yield row(first, None, order)
+                first += len(order)
+            for text in b.column("text"):
                 text = text.as_py()
                 ids = enc.encode_to_numpy(text, disallowed_special=()).astype(np.uint16) if text else mark[:0]
                 held += [ids, mark]
                 size += len(ids) + 1
-                where = size
-                ended.append((where, doc))
                 if size >= block:
                     flat = np.concatenate(held)
                     while len(flat) >= block:
-                        yield row(flat[:block], [d for w, d in ended if w <= block])
-                        ended = [(w - block, d) for w, d in ended if w > block]
+                        yield row(number, flat[:block], None)
                         flat, number = flat[block:], number + 1
                     held, size = [flat], len(flat)
         if size:
-            yield row(np.concatenate(held), [d for _, d in ended])
+            yield row(number, np.concatenate(held), None)
 
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "stream long, block long, data binary, ended array<long>")
-    return materialise(made, "tokens")
+    made = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "stream long, at long, data binary, ids array<long>"), "tokens")
+    order = made.filter("ids IS NOT NULL").select("stream", "at", F.posexplode("ids").alias("_k", "doc_id"))
+    return made.filter("data IS NOT NULL").select("stream", F.col("at").alias("block"), "data"), order.select("stream", (F.col("at") + F.col("_k")).alias("ordinal"), "doc_id")
 
 
 def blocks_of_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
@@ -96,8 +103,8 @@ def blocks_of_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataF
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "stream string, block long, data binary")
 
 
-def scan(blocks: DataFrame, eod: int = EOD, carry: tuple = ()) -> DataFrame:
-    """(stream, ordinal, n_tokens, and for ``carry`` array columns the entry that belongs to the separator) per document.
+def scan(blocks: DataFrame, eod: int = EOD) -> DataFrame:
+    """(stream, ordinal, n_tokens) per document.
 
     Ids after a stream's last separator are a document that never ended; they are not reported.
     """
@@ -110,20 +117,19 @@ def scan(blocks: DataFrame, eod: int = EOD, carry: tuple = ()) -> DataFrame:
                 ids = np.frombuffer(data.as_buffer(), dtype="<u2")
                 at.append(np.flatnonzero(ids == eod).astype(np.int32))
                 n.append(len(ids))
-            yield pa.RecordBatch.from_arrays([b.column("stream"), b.column("block"), pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int32())), *[b.column(c) for c in carry]], ["stream", "block", "n", "seps", *carry])
+            yield pa.RecordBatch.from_arrays([b.column("stream"), b.column("block"), pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int32()))], ["stream", "block", "n", "seps"])
 
-    found = blocks.select("stream", "block", "data", *carry).mapInArrow(run, f"stream {kinds['stream']}, block long, n long, seps array<int>" + "".join(f", {c} {kinds[c]}" for c in carry))
+    found = blocks.select("stream", "block", "data").mapInArrow(run, f"stream {kinds['stream']}, block long, n long, seps array<int>")
     before = W.partitionBy("stream").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     x = found.withColumn("_base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     x = x.withColumn("_ordinal", F.coalesce(F.sum(F.size("seps")).over(before), F.lit(0)))
     x = x.withColumn("_open", F.coalesce(F.max(F.when(F.size("seps") > 0, F.col("_base") + F.element_at("seps", -1) + 1)).over(before), F.lit(0)))
-    for c in carry:
-        x = x.withColumn(c, F.when(F.size(c) == F.size("seps"), F.col(c)).otherwise(F.raise_error(F.lit("separators do not match the block's entries"))))
-    each = x.select("stream", "_base", "_ordinal", "_open", "seps", *carry, F.posexplode("seps").alias("_k", "_sep"))
+    each = x.select("stream", "_base", "_ordinal", "_open", "seps", F.posexplode("seps").alias("_k", "_sep"))
     start = F.when(F.col("_k") == 0, F.col("_open")).otherwise(F.col("_base") + F.element_at("seps", F.greatest(F.col("_k"), F.lit(1))) + 1)
-    return each.select("stream", (F.col("_ordinal") + F.col("_k")).alias("ordinal"), (F.col("_base") + F.col("_sep") - start).alias("n_tokens"), *[F.element_at(c, F.col("_k") + 1).alias(c) for c in carry])
+    return each.select("stream", (F.col("_ordinal") + F.col("_k")).alias("ordinal"), (F.col("_base") + F.col("_sep") - start).alias("n_tokens"))
 
 
 def token_counts(docs: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """Per document: doc_id, n_tokens."""
-    return scan(write_tokens(docs, tokenizers), carry=("ended",)).select(F.col("ended").alias("doc_id"), "n_tokens")
+    """Per document: doc_id, n_tokens. The scan sees flat ids only; its counts meet the documents by their order."""
+    blocks, order = write_tokens(docs, tokenizers)
+    return scan(blocks).join(order, ["stream", "ordinal"]).select("doc_id", "n_tokens")

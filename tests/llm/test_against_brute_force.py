@@ -268,8 +268,10 @@ def test_token_counts_whatever_the_blocks(spark, docs, corpus, tmp_path):
         enc = tokens.encoder(f.read())
     expect = collections.Counter((r[0], len(enc.encode_ordinary(r[1])) if r[1] else 0) for r in corpus)
     for block in (tokens.BLOCK, 64):
-        got = tokens.scan(tokens.write_tokens(docs, block=block), carry=("ended",))
-        assert collections.Counter((r.ended, r.n_tokens) for r in got.collect()) == expect
+        blocks, order = tokens.write_tokens(docs, block=block)
+        got = tokens.scan(blocks).join(order, ["stream", "ordinal"])
+        assert blocks.columns == ["stream", "block", "data"]
+        assert collections.Counter((r.doc_id, r.n_tokens) for r in got.collect()) == expect
     flat = np.array([5, 6, tokens.EOD, tokens.EOD, 7, tokens.EOD, 9], dtype="<u2")
     flat.tofile(tmp_path / "a.bin")
     got = tokens.scan(tokens.blocks_of_files(spark, str(tmp_path / "*.bin"), block=2)).orderBy("ordinal").collect()
