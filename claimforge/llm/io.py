@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bits of the map of hashed ids that keeps texts of no interest out of a shuffle, and of one of its rows (the engine's own size).
@@ -73,3 +75,11 @@ def discard(*frames: DataFrame) -> None:
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
             at = jvm.org.apache.hadoop.fs.Path(df.written_at)
             at.getFileSystem(conf).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Gives memory of finished work on the driver back: models and broadcasts that nothing holds any more, Arrow's free
+    pages, and the JVM's plans of finished queries, whose shuffles and broadcasts Spark then removes from executors too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark._jvm.System.gc()
