@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimforge.llm import fm_index, jaccard_join, mixing, passages, toxicity
-from claimforge.llm.io import bound_batches, discard, materialise, table
+from claimforge.llm.io import bound_batches, discard, materialise, release, table
 
 #: No single SQL statement expresses stages 1, 3 and 4; the stages' operators are tested against brute force or held-out labels.
 ORACLE_SQL = None
@@ -107,4 +107,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}", "snappy")
         discard(before)
+        release(spark)
     return docs
