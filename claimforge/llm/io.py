@@ -5,9 +5,10 @@ from __future__ import annotations
 import gc
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from claimforge.llm.kernel import tidy
+
 #: Bits of the map of hashed ids that keeps texts of no interest out of a shuffle, and of one of its rows (the engine's own size).
 ID_BITS, ROW_BITS = 1 << 26, 32768
 #: Bytes of files for each partition of a shuffle, and the most partitions.
@@ -78,8 +79,8 @@ def discard(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Gives memory of finished work on the driver back: models and broadcasts that nothing holds any more, Arrow's free
-    pages, and the JVM's plans of finished queries, whose shuffles and broadcasts Spark then removes from executors too."""
+    """Gives memory of finished work on the driver back: models and broadcasts that nothing holds any more, the
+    allocator's free pages, and the JVM's plans of finished queries, whose shuffles and broadcasts Spark then removes from executors too."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
+    tidy(1)
     spark._jvm.System.gc()

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from claimforge.llm.kernel import NON_ALNUM, Words, chunks
+from claimforge.llm.kernel import NON_ALNUM, Words, chunks, tidy
 from claimforge.llm.training import crc_mod, crc_mod_np, sampled_texts, smallest
 
 TRAIN_ROWS, NEIGHBOURS, BLOCK, EVIDENCE = 3000, 15, 32, 5
@@ -210,7 +210,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("label").slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(c, pa.int32()))], ["doc_id", "label", "h", "c"])
 
     got = sampled_texts(docs, ids).select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(run, "doc_id long, label long, h array<long>, c array<int>").toArrow()
-    return build(got.column("doc_id").to_pylist(), got.column("label").to_pylist(), [np.asarray(x.values).view(np.uint64) for x in got.column("h")], [np.asarray(x.values) for x in got.column("c")])
+    index = build(got.column("doc_id").to_pylist(), got.column("label").to_pylist(), [np.asarray(x.values).view(np.uint64) for x in got.column("h")], [np.asarray(x.values) for x in got.column("c")])
+    del got
+    tidy(1)  # the examples' words are the most that the driver holds
+    return index
 
 
 SCORED = "score double, predicted int, evidence array<long>"
