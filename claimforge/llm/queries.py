@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimforge.llm import chat, fm_index, sql
+from claimforge.llm.centroids import cluster
 from claimforge.llm.html import main_text
 from claimforge.llm.io import table
 from claimforge.llm.jaccard_join import near_duplicates
 from claimforge.llm.language import fit_language, identify
+from claimforge.llm.lexical import search
 from claimforge.llm.mixing import mix_sources
 from claimforge.llm.passages import repeated_passages
 from claimforge.llm.quality import fit_quality, judge
@@ -63,5 +65,17 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op6_language_id": op6_language_id, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules, "op10_mix_sources": op10_mix_sources}
-ORACLES = {"op10_mix_sources": sql.MIX}
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (
+    op1_html_extraction, op2_toxicity, op3_token_counts, op4_jaccard_join, op5_substring_dedup, op6_language_id, op7_chat_format, op8_decontaminate,
+    op9_quality_rules, op10_mix_sources, op12_ranked_search, op13_centroid_clustering,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES = {"op10_mix_sources": sql.MIX, "op12_ranked_search": sql.SEARCH, "op13_centroid_clustering": sql.CLUSTER}

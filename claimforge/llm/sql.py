@@ -40,3 +40,46 @@ cut AS (
   FROM stream)
 SELECT doc_id, size, source_size, target, CASE WHEN size > 0 AND blocks > 0 THEN c1 - c0 ELSE 0 END::BIGINT AS taken FROM cut
 """
+
+#: Integer BM25 over every posting of the items' terms.
+SEARCH = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+sized AS (SELECT row, doc_id, w, len(w) AS n FROM words WHERE len(w) > 0),
+stats AS (SELECT count(*)::BIGINT AS nd, coalesce(sum(n), 0)::BIGINT AS l FROM sized),
+item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+post AS (SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT row, doc_id, n, unnest(w) AS term FROM sized) WHERE term IN (SELECT term FROM item) GROUP BY row, doc_id, n, term),
+weight AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS wt FROM (SELECT term, count(*) AS df FROM post GROUP BY term), stats),
+hit AS (SELECT item_id, row, doc_id, sum(wt * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // l))))::BIGINT AS score
+        FROM post JOIN weight USING (term) JOIN item USING (term), stats GROUP BY item_id, row, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM hit WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def centroid_sql(k: int = 8, rounds: int = 10, dim: int = 64, seed: int = 3) -> str:
+    """Every round written out: all distances to all centroids, then floored means."""
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v, embedding
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
+        "x AS MATERIALIZED (SELECT row, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS v FROM kept)",
+        f"""c0 AS MATERIALIZED (SELECT k, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS v FROM
+  (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id::VARCHAR) NULLS LAST, embedding) - 1 AS k, v FROM kept) WHERE k < {k})""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"""a{r} AS MATERIALIZED (SELECT row, k, d FROM (SELECT row, k, d, row_number() OVER (PARTITION BY row ORDER BY d, k) AS r FROM
+  (SELECT row, k, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d FROM x JOIN c{r} c USING (i) GROUP BY row, k)) WHERE r = 1)"""
+        )
+        if r < rounds:
+            parts.append(
+                f"""c{r + 1} AS MATERIALIZED (SELECT c.k, c.i, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT k, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS v FROM
+  (SELECT k, i, sum(v)::BIGINT AS s, count(*)::BIGINT AS n FROM a{r} JOIN x USING (row) GROUP BY k, i)) m ON c.k = m.k AND c.i = m.i)"""
+            )
+    return f"""WITH {', '.join(parts)},
+name AS (SELECT k, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, k::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (row) JOIN name USING (k)"""
+
+
+CLUSTER = centroid_sql()
