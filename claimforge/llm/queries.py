@@ -13,6 +13,7 @@ from claimforge.llm.language import fit_language, identify
 from claimforge.llm.lexical import search
 from claimforge.llm.mixing import mix_sources
 from claimforge.llm.passages import repeated_passages
+from claimforge.llm.pii import digests as pii_digests, personal_data
 from claimforge.llm.quality import fit_quality, judge
 from claimforge.llm.tokens import token_counts
 from claimforge.llm.toxicity import fit_toxicity, score
@@ -65,6 +66,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digests(personal_data(table(spark, sf_dir, "documents")))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,7 +80,7 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_html_extraction, op2_toxicity, op3_token_counts, op4_jaccard_join, op5_substring_dedup, op6_language_id, op7_chat_format, op8_decontaminate,
-    op9_quality_rules, op10_mix_sources, op12_ranked_search, op13_centroid_clustering,
+    op9_quality_rules, op10_mix_sources, op11_pii, op12_ranked_search, op13_centroid_clustering,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op10_mix_sources": sql.MIX, "op12_ranked_search": sql.SEARCH, "op13_centroid_clustering": sql.CLUSTER}
