@@ -12,9 +12,10 @@ its block. Only examples whose sum and bound reach the k-th best are scored in f
 words are added up first: the k nearest are exact. Votes are weighted by cosine; a logistic curve fitted on leave-one-out
 votes of at most ``CALIBRATED`` examples makes them probabilities.
 
-Scale: one scan, no shuffle; the index is bounded by ``train_rows``. Equal query vectors are searched once a task.
+Scale: one scan, no shuffle; the index is bounded by ``train_rows`` and built in one task from that sample. Equal query vectors are searched once a task.
 
-Nulls: a null or wordless text, and any without a word of the index, gets the rate of label 1 among such examples;
+Nulls: a null or wordless text, and any without a word of the index, gets the rate of label 1 among such examples, to
+which the rate among all counts as one more;
 labels without a document or with a null are ignored, of clashing labels of an id the largest counts, and of several texts
 of an id the smallest; without examples of both labels every score is the one label's (0 without any); equal cosines are
 ordered by example id; repeated rows are scored alike; empty tables give empty results. Very long texts are scored whole.
@@ -23,6 +24,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from dataclasses import dataclass
 
@@ -174,7 +176,7 @@ def build(ids: list[int], labels: list[int], hashes: list[np.ndarray], counts: l
     vectors = [out.vector(hashes[i], counts[i]) for i in rows]
     full = [k for k, (at, _) in enumerate(vectors) if len(at)]
     empty = np.array([y[k] for k, (at, _) in enumerate(vectors) if not len(at)])
-    out.empty_score = float((empty.sum() + 0.5) / (len(empty) + 1))
+    out.empty_score = float((empty.sum() + y.mean()) / (len(empty) + 1))
     out.ids = np.array([ids[rows[k]] for k in full], dtype=np.int64)
     out.labels = y[full]
     out.rate = float(out.labels.mean()) if full else 0.0
@@ -203,16 +205,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
     ids = smallest(rows.groupBy("doc_id").agg(F.max("label").alias("label")), train_rows, F.col("doc_id"))
 
     def run(it):
+        examples, told, hashes, counts = [], [], [], []
         for b in it:
             for lo, hi, raw, at in chunks(b.column("text")):
                 h, c, bounds = word_counts(Words(raw, at, NON_ALNUM))
-                offsets = pa.array(bounds, pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("label").slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(c, pa.int32()))], ["doc_id", "label", "h", "c"])
-
-    got = sampled_texts(docs, ids).select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(run, "doc_id long, label long, h array<long>, c array<int>").toArrow()
-    index = build(got.column("doc_id").to_pylist(), got.column("label").to_pylist(), [np.asarray(x.values).view(np.uint64) for x in got.column("h")], [np.asarray(x.values) for x in got.column("c")])
-    del got
-    tidy(1)  # the examples' words are the most that the driver holds
+                examples += b.column("doc_id").slice(lo, hi - lo).to_pylist()
+                told += b.column("label").slice(lo, hi - lo).to_pylist()
+                hashes += [h[s:e].copy() for s, e in zip(bounds[:-1], bounds[1:])]
+                counts += [c[s:e].astype(np.int32) for s, e in zip(bounds[:-1], bounds[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(build(examples, told, hashes, counts))], pa.binary())], ["index"])
+
+    # At most train_rows texts meet in one task, which hands the finished index over; the driver never holds the examples.
+    sample = sampled_texts(docs, ids).select(F.col("doc_id").cast("long"), "label", "text").repartition(1)
+    found = sample.mapInArrow(run, "index binary").collect()
+    index = pickle.loads(found[0][0]) if found else build([], [], [], [])
+    del found
+    tidy(1)
     return index
 
 

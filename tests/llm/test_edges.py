@@ -120,3 +120,15 @@ def test_templates_over_generated_hosts_with_odd_pages(spark):
         regions = [c.region.count("/") for c in x.classes]
         assert regions == sorted(regions)
     assert {r.url: r.text for r in html.main_text(pages).collect()} == expect
+
+
+def test_texts_of_unknown_words_are_not_toxic(spark, docs, labels):
+    """Nothing is known of them, so the base rate decides, and the pipeline's stage keeps them."""
+    import corpus_pipeline
+
+    index = toxicity.fit_toxicity(docs, labels)
+    planted = [(1, None), (2, ""), (3, "!!! ???"), (4, "Это обычное предложение"), (5, "\u3053\u308c\u306f\u666e\u901a\u306e\u6587"), (6, "hello unheard of")]
+    rows = spark.createDataFrame(planted, "doc_id long, text string")
+    got = toxicity.score(rows, index).collect()
+    assert len(got) == 6 and all(r.predicted == 0 and 0 < r.score < 0.5 for r in got)
+    assert corpus_pipeline.plain(lambda s, d, _: toxicity.score(d, index, keep=("text",)).filter("predicted = 0").select("doc_id", "text"))(spark, rows, "").count() == 6
