@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimforge.functions import text as T
+from claimforge.operators import clusters as C, observations as O
 from claimforge.plans.base import query
 from claimforge.plans.textual import RANK_TOKENS
 from claimforge.sources import adapters as A
@@ -50,3 +52,57 @@ def t3(spark, d):
     for at in _inbox(spark, d, 2):
         I.process(I.tail(spark, at), knowledge, root, state)
     return spark.read.parquet(f"{root}/turns").select("turn_key", "n_evidence", "tier", F.array_join(F.transform("retrieved", lambda i: i.cast("string")), ",").alias("retrieved"))
+
+
+def _vectors(spark, d):
+    """Archived claims with a vector (one in eleven without), a scope, and the text of the document of their id."""
+    v = A.vectors(spark, d).select("id", "scope", F.when(F.col("id") % 11 != 0, F.col("v")).alias("v"))
+    t = A.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("subject"), F.col("lang").alias("value"), "text")
+    return v.join(t, "id", "left").withColumn("predicate", F.lit("about"))
+
+
+@query("g14_first_fit_clusters", None)
+def g14_first_fit(spark, d):
+    return C.first_fit(_vectors(spark, d), 0.3)
+
+
+@query("v11_compact_summaries", None)
+def v11(spark, d):
+    x = _vectors(spark, d)
+    cited = A.citations(spark, d).select("claim_id", F.col("source").cast("string").alias("source"), F.col("part").cast("string").alias("locator"))
+    out = C.summaries(x, C.first_fit(x, 0.3), cited, lambda b: F.concat(F.lit("Summary of "), F.size(F.split(b, "\n")).cast("string"), F.lit(" claims")), T.redact_private)
+    return out.select("scope", "cluster", "part", F.array_join(F.transform("source_ids", lambda i: i.cast("string")), ",").alias("source_ids"), "subject_hint", "summary", F.length("block").alias("block_chars"), "citations")
+
+
+SUPPORTS = "sup AS (SELECT DISTINCT l_orderkey % 7 AS scope, l_orderkey * 10 + l_linenumber AS claim_id, l_orderkey AS evidence, CASE WHEN l_partkey % 5 = 0 THEN l_partkey % 10 ELSE 1000 + l_partkey * 1000 + l_suppkey END AS signature FROM lineitem)"
+GROUPS = """hub AS (SELECT scope, signature FROM sup GROUP BY scope, signature HAVING count(DISTINCT evidence) > 20), kept AS (SELECT * FROM sup WHERE (scope, signature) NOT IN (SELECT (scope, signature) FROM hub)),
+ link AS (SELECT DISTINCT scope || '|e|' || evidence AS e, scope || '|s|' || signature AS s FROM kept), near AS (SELECT DISTINCT a.e AS x, b.e AS y FROM link a JOIN link b ON a.s = b.s), walk AS (SELECT x AS node, x AS low FROM near UNION SELECT n.y, w.low FROM walk w JOIN near n ON w.node = n.x),
+ comp AS (SELECT node, min(low) AS component FROM walk GROUP BY node), placed AS (SELECT k.*, component FROM kept k JOIN comp ON node = scope || '|e|' || evidence),
+ lone AS (SELECT DISTINCT scope, NULL::BIGINT AS claim_id, evidence, NULL::BIGINT AS signature, scope || '|e|' || evidence AS component FROM sup WHERE (scope, evidence) NOT IN (SELECT (scope, evidence) FROM kept)), every AS (SELECT scope, claim_id, evidence, signature, component FROM placed UNION ALL SELECT scope, claim_id, evidence, signature, component FROM lone),
+ sized AS (SELECT component, count(DISTINCT claim_id) AS claims, count(DISTINCT CASE WHEN claim_id IS NOT NULL THEN evidence END) AS ev, count(DISTINCT signature) AS sigs, count(DISTINCT CASE WHEN claim_id IS NOT NULL THEN (claim_id, signature) END) AS edges FROM every GROUP BY component),
+ coded AS (SELECT e.*, CASE WHEN claims < 3 OR ev < 2 OR sigs < 2 THEN 'below_eligibility_threshold' WHEN claims > 20 OR ev > 20 OR edges > 40 THEN 'component_oversized' ELSE 'eligible' END AS code FROM every e JOIN sized USING (component))"""
+
+
+def _supports(spark, d):
+    x = A.read(spark, d, "lineitem")
+    hub = F.when(F.col("l_partkey") % 5 == 0, F.col("l_partkey") % 10).otherwise(1000 + F.col("l_partkey") * 1000 + F.col("l_suppkey"))
+    return x.select((F.col("l_orderkey") % 7).alias("scope"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_orderkey").alias("evidence"), hub.alias("signature"))
+
+
+@query("g9_bounded_observations", f"WITH RECURSIVE {SUPPORTS}, {GROUPS} SELECT scope, code, count(DISTINCT component) AS components, count(DISTINCT claim_id) AS claims, count(DISTINCT evidence) AS evidence, (SELECT count(*) FROM hub h WHERE h.scope = c.scope) AS hubs FROM coded c GROUP BY scope, code")
+def g9_bounded(spark, d):
+    s = _supports(spark, d)
+    x = O.discover(s).groupBy("scope", "code").agg(F.countDistinct("component").alias("components"), F.countDistinct("claim_id").alias("claims"), F.countDistinct("evidence").alias("evidence"))
+    return x.join(O.hubs(s).groupBy("scope").agg(F.count(F.lit(1)).alias("hubs")), "scope", "left").withColumn("hubs", F.coalesce("hubs", F.lit(0)))
+
+
+@query("e12_observation_corpus", f"""WITH RECURSIVE {SUPPORTS}, {GROUPS}, f AS (SELECT DISTINCT component AS f, claim_id FROM coded WHERE code = 'eligible'),
+ e AS (SELECT DISTINCT scope || '/' || (evidence % 3000) AS e, claim_id FROM sup), nf AS (SELECT f, count(*) AS nf FROM f GROUP BY f), ne AS (SELECT e, count(*) AS ne FROM e GROUP BY e),
+ meet AS (SELECT f, e, count(*) AS n FROM f JOIN e USING (claim_id) GROUP BY f, e), m AS (SELECT * FROM meet JOIN nf USING (f) JOIN ne USING (e)), ke AS (SELECT e, count(*) AS k FROM meet GROUP BY e), kf AS (SELECT f, count(*) AS k FROM meet GROUP BY f),
+ c AS (SELECT (SELECT count(*) FROM m WHERE n = nf AND n = ne) AS exact, (SELECT count(*) FROM ne) AS expected, (SELECT count(*) FROM ne WHERE e NOT IN (SELECT e FROM ke)) AS missed, (SELECT count(*) FROM ke WHERE k > 1) AS split, (SELECT count(*) FROM nf) AS found, (SELECT count(*) FROM nf WHERE f NOT IN (SELECT f FROM kf)) AS extra, (SELECT count(*) FROM kf WHERE k > 1) AS merged)
+ SELECT *, CASE WHEN found > 0 THEN round(exact / found, 6) ELSE 1.0 END AS precision, CASE WHEN expected > 0 THEN round(exact / expected, 6) ELSE 1.0 END AS recall FROM c""")
+def e12(spark, d):
+    s = _supports(spark, d)
+    found = O.discover(s).filter("code = 'eligible'").select(F.col("component").alias("group"), "claim_id")
+    expected = s.select(F.concat_ws("/", F.col("scope").cast("string"), (F.col("evidence") % 3000).cast("string")).alias("group"), "claim_id")
+    return O.agreement(found, expected)

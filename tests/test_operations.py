@@ -53,3 +53,79 @@ def test_turns_are_processed_once_and_judged(spark, tmp_path):
     claims = sorted((r.value, len(r.citations), r.citations[1].locator, r.status) for r in spark.read.parquet(f"{root}/claims").collect())
     assert [c[:3] for c in claims] == [("10.0.0.7", 3, "session=s;thread=t;turn=1;evidence=1"), ("10.0.0.8", 2, "session=s;thread=t;turn=3;evidence=1")]
     assert spark.read.parquet(f"{root}/quarantine").select("line").first()[0] == "{broken"
+
+
+def plain_first_fit(rows, threshold):
+    """Members in order for each cluster of one run, by plain loops."""
+    clusters, cents = [], []
+    for i, s, v in rows:
+        if v is None:
+            continue
+        for c, m in enumerate(cents):
+            dot = sum(a * b for a, b in zip(v, m))
+            if dot / (sum(a * a for a in v) * sum(a * a for a in m)) ** 0.5 >= threshold:
+                clusters[c].append((i, s))
+                n = len(clusters[c])
+                cents[c] = [(a * (n - 1) + b) / n for a, b in zip(m, v)]
+                break
+        else:
+            clusters.append([(i, s)])
+            cents.append(list(v))
+    for i, s, v in rows:
+        if v is None:
+            home = next((c for c in clusters if any(s and o and s.strip().lower() == o.strip().lower() for _, o in c)), None)
+            if home is None:
+                clusters.append([(i, s)])
+            else:
+                home.append((i, s))
+    return [[i for i, _ in c] for c in clusters]
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.3])
+def test_first_fit_equals_plain_loops(spark, threshold):
+    from claimforge.plans import operations as P
+    from claimforge.operators import clusters as C
+
+    x = P._vectors(spark, "/root/testdata/sf0.001").select("id", "scope", "subject", "v")
+    groups = {}
+    for r in x.orderBy("id").collect():
+        groups.setdefault((r.scope, r.id // 100), []).append((r.id, r.subject, r.v))
+    want = sorted((k[0], k[1], i, c[0], p) for k, rows in groups.items() for c in plain_first_fit(rows, threshold) for p, i in enumerate(c))
+    assert sorted(tuple(r) for r in C.first_fit(x.repartition(3), threshold, run=100).collect()) == want
+
+
+def test_summaries_have_members_text_and_citations(spark):
+    from pyspark.sql import functions as F
+
+    from claimforge.operators import clusters as C
+
+    claims = spark.createDataFrame([(i, 1, f"S{i % 2}", "p", None, f"text {i} " + "x" * 400, [1.0, 0.0] if i < 30 else [0.0, 1.0]) for i in range(32)], "id long, scope int, subject string, predicate string, value string, text string, v array<double>")
+    cites = spark.createDataFrame([(0, "a", "1"), (1, "a", "1"), (1, "b", "2"), (25, "c", "3"), (31, "d", "4")], "claim_id long, source string, locator string")
+    out = C.summaries(claims, C.first_fit(claims), cites, lambda b: F.upper(F.substring(b, 1, 12)), lambda b: F.regexp_replace(b, "text", "note")).orderBy("part").collect()
+    assert [(r.cluster, r.part, r.source_ids, r.citations) for r in out] == [(0, 0, list(range(20)), 2), (0, 1, list(range(20, 30)), 1)]
+    assert out[0].summary == "[1] | SUBJEC" and "Text: note 0 xx" in out[0].block and "Value" not in out[0].block and max(map(len, out[0].block.split("\n"))) < 360
+
+
+def test_hubs_tie_nothing_and_bounds_hold(spark):
+    from claimforge.operators import observations as O
+
+    def row(claim, evidence, signature, scope="a"):
+        return (scope, claim, evidence, signature)
+
+    eligible = [row(1, 1, "x"), row(2, 2, "x"), row(2, 2, "y"), row(3, 1, "y")]
+    split = eligible + [row(c + 10, e + 10, s + "2") for _, c, e, s in eligible]
+    hub = [row(i, i, "h") for i in range(1, 22)]
+    chain = [row(i, i, f"s{i}") for i in range(1, 22)] + [row(i, i, f"s{i - 1}") for i in range(2, 22)]
+    cases = {"eligible": (eligible, {"eligible": 1}), "split": (split, {"eligible": 2}), "hub": (hub, {"below_eligibility_threshold": 21}), "oversized": (chain, {"component_oversized": 1}), "few": (eligible[:2], {"below_eligibility_threshold": 1}), "scopes": (eligible + [row(*r[1:], scope="b") for r in eligible], {"eligible": 2})}
+    for name, (rows, want) in cases.items():
+        got = O.discover(spark.createDataFrame(rows, "scope string, claim_id long, evidence long, signature string")).select("component", "code").distinct().groupBy("code").count().collect()
+        assert {r.code: r["count"] for r in got} == want, name
+    assert O.hubs(spark.createDataFrame(hub, "scope string, claim_id long, evidence long, signature string")).collect()[0].episodes == 21
+
+
+def test_agreement_counts(spark):
+    from claimforge.operators import observations as O
+
+    frame = lambda groups: spark.createDataFrame([(g, c) for g, cs in groups.items() for c in cs], "`group` string, claim_id long")
+    got = O.agreement(frame({"a": [1, 2], "b": [3], "c": [4, 5, 6, 7], "d": [90]}), frame({"A": [1, 2], "B": [3, 4], "C": [5, 6], "D": [80, 81]})).first()
+    assert (got.exact, got.expected, got.found, got.missed, got.extra, got.split, got.merged, got.precision, got.recall) == (1, 4, 4, 1, 1, 1, 1, 0.25, 0.25)
