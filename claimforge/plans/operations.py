@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimforge.functions import text as T
-from claimforge.operators import clusters as C, observations as O
-from claimforge.plans.base import query
+from claimforge.operators import clusters as C, cycle as Y, observations as O
+from claimforge.plans.base import CITATIONS, CLAIMS, NOW, hours, query
 from claimforge.plans.textual import RANK_TOKENS
 from claimforge.sources import adapters as A
 from claimforge.streaming import inbox as I
@@ -106,3 +106,51 @@ def e12(spark, d):
     found = O.discover(s).filter("code = 'eligible'").select(F.col("component").alias("group"), "claim_id")
     expected = s.select(F.concat_ws("/", F.col("scope").cast("string"), (F.col("evidence") % 3000).cast("string")).alias("group"), "claim_id")
     return O.agreement(found, expected)
+
+
+def _score(cites: str, value: str, confidence: str) -> str:
+    return f"round(greatest(0.0, least(1.0, (0.35::DOUBLE + least({cites} * 0.12::DOUBLE, 0.4) + least((length(predicate) + length({value})) / 240.0::DOUBLE, 0.15) + 0.1) * 0.75 + {confidence} * 0.25)), 6)"
+
+
+STEPS = f"""c2 AS (SELECT * REPLACE (lower(trim(object_value)) AS value) FROM (SELECT *, NULL::VARCHAR AS value FROM claims)),
+ held AS (SELECT subject, predicate, scope, value, min(CASE WHEN status = 'candidate' THEN id END) AS first, bool_or(status = 'confirmed') AS firm FROM c2 GROUP BY ALL),
+ c3 AS (SELECT c2.* REPLACE (CASE WHEN status = 'candidate' AND (firm OR first < id) THEN 'archived' ELSE status END AS status, CASE WHEN status = 'candidate' AND (firm OR first < id) THEN {NOW} ELSE updated_at END AS updated_at) FROM c2 JOIN held USING (subject, predicate, scope, value)),
+ c4 AS (SELECT * REPLACE (CASE WHEN status = 'candidate' AND value IN ('o', 'p') THEN greatest(0.0, least(1.0, confidence + CASE value WHEN 'o' THEN 0.05::DOUBLE ELSE -0.2::DOUBLE END)) ELSE confidence END AS confidence) FROM c3),
+ cites AS (SELECT claim_id, count(*) AS k FROM citations GROUP BY 1), rival AS (SELECT subject, predicate, scope, first(struct_pack(id, object_value, confidence) ORDER BY confidence DESC, updated_at DESC, id DESC) AS r FROM c4 WHERE status = 'confirmed' GROUP BY ALL),
+ ladder AS (SELECT c.id, coalesce(k, 0) AS k, {_score('coalesce(k, 0)', 'c.object_value', 'c.confidence')} AS score, (0.35::DOUBLE + least(coalesce(k, 0) * 0.12::DOUBLE, 0.4) + least((length(predicate) + length(c.object_value)) / 240.0::DOUBLE, 0.15) + 0.1) * 0.75 + c.confidence * 0.25 AS raw, r, lower(trim(c.object_value)) = lower(trim(r.object_value)) AS same
+  FROM c4 c LEFT JOIN cites ON c.id = claim_id LEFT JOIN rival USING (subject, predicate, scope) WHERE c.status = 'candidate'),
+ verdict AS (SELECT id, score, r.id AS rival, CASE WHEN k = 0 OR raw < 0.58 THEN 'pending' WHEN r IS NULL THEN 'confirmed' WHEN same THEN 'archived' WHEN raw <= r.confidence + 0.08 THEN 'conflicted' ELSE 'supersedes' END AS v FROM ladder),
+ c5 AS (SELECT c.* REPLACE (CASE WHEN v IN ('confirmed', 'supersedes') THEN 'confirmed' WHEN v IN ('archived', 'conflicted') THEN v WHEN l.rival IS NOT NULL THEN 'superseded' ELSE status END AS status, CASE WHEN v IN ('confirmed', 'supersedes') THEN score ELSE confidence END AS confidence, CASE WHEN v <> 'pending' OR l.rival IS NOT NULL THEN {NOW} ELSE updated_at END AS updated_at)
+  FROM c4 c LEFT JOIN verdict USING (id) LEFT JOIN (SELECT DISTINCT rival FROM verdict WHERE v = 'supersedes') l ON c.id = l.rival),
+ faded AS (SELECT id, greatest(0.0::DOUBLE, confidence - CASE volatility WHEN 'low' THEN 0.005::DOUBLE WHEN 'medium' THEN 0.02::DOUBLE ELSE 0.05::DOUBLE END * ({hours('updated_at')} / 24.0::DOUBLE)) AS f FROM c5 WHERE status = 'confirmed' AND NOT pinned AND updated_at <= {NOW}),
+ c6 AS (SELECT c.* REPLACE (coalesce(f, confidence) AS confidence, CASE WHEN f < 0.35 THEN 'stale' ELSE status END AS status) FROM c5 c LEFT JOIN faded USING (id)),
+ c8 AS (SELECT * REPLACE (CASE WHEN status IN ('stale', 'superseded', 'conflicted') AND NOT pinned AND updated_at < {NOW} - INTERVAL 730 DAY THEN 'archived' ELSE status END AS status) FROM c6),
+ seen AS (SELECT user_id AS id, count(*) AS more FROM events GROUP BY 1), c13 AS (SELECT c.* REPLACE (access_count + coalesce(more, 0) AS access_count) FROM c8 c LEFT JOIN seen USING (id)),
+ c14 AS (SELECT *, CASE WHEN access_count > 5 OR {hours('updated_at')} / 24.0 < 7 THEN 'core' WHEN access_count = 0 AND {hours('updated_at')} / 24.0 >= 90 THEN 'peripheral' ELSE 'working' END AS tier FROM c13)"""
+
+
+def _cycle(spark, d):
+    now = A.now(A.NOW_CLAIMS)
+    c = A.claims(spark, d)
+    tables = {
+        "claims": c.withColumn("value", F.lit(None).cast("string")).withColumn("tier", F.lit(None).cast("string")),
+        "citations": A.citations(spark, d),
+        "edges": A.citations(spark, d).select(F.col("claim_id").alias("src"), F.col("source").alias("dst"), F.lit(1.0).alias("weight"), (F.col("part") % 30).cast("double").alias("days")),
+        "spool": A.ledger(spark, d).select("claim_id"),
+        "index": c.select("id"),
+    }
+    store = Y.start(spark, folder(spark, "cycle"), tables)
+    Y.run_cycle(store, Y.jobs(now))
+    return store
+
+
+@query("v17_cycle_transitions", f"WITH {STEPS} SELECT step, a AS from_status, b AS to_status, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS step, p.status AS a, q.status AS b FROM {x} p JOIN {y} q USING (id)" for n, x, y in (("dedupe", "c2", "c3"), ("validate", "c4", "c5"), ("decay", "c5", "c6"), ("compact", "c6", "c8"))) + ") WHERE a <> b GROUP BY ALL", CLAIMS, CITATIONS)
+def v17_transitions(spark, d):
+    store = _cycle(spark, d)
+    return store.read(store.last())["transitions"].groupBy("step", "from_status", "to_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("v17_full_cycle", f"WITH {STEPS} SELECT id, status, round(confidence, 6) AS confidence, access_count, tier FROM c14", CLAIMS, CITATIONS)
+def v17(spark, d):
+    store = _cycle(spark, d)
+    return store.read(store.last())["claims"].select("id", "status", F.round("confidence", 6).alias("confidence"), "access_count", "tier")

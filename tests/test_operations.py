@@ -129,3 +129,31 @@ def test_agreement_counts(spark):
     frame = lambda groups: spark.createDataFrame([(g, c) for g, cs in groups.items() for c in cs], "`group` string, claim_id long")
     got = O.agreement(frame({"a": [1, 2], "b": [3], "c": [4, 5, 6, 7], "d": [90]}), frame({"A": [1, 2], "B": [3, 4], "C": [5, 6], "D": [80, 81]})).first()
     assert (got.exact, got.expected, got.found, got.missed, got.extra, got.split, got.merged, got.precision, got.recall) == (1, 4, 4, 1, 1, 1, 1, 0.25, 0.25)
+
+
+def test_a_cycle_step_commits_or_leaves_the_version_before(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from claimforge.operators import cycle as Y
+
+    claims = spark.createDataFrame([(1, "candidate"), (2, "confirmed")], "id long, status string")
+    store = Y.start(spark, str(tmp_path / "store"), {"claims": claims})
+
+    def confirm(t):
+        return {"claims": t["claims"].withColumn("status", F.lit("confirmed"))}
+
+    def torn(t):
+        return {"claims": t["claims"].withColumn("status", F.lit("archived")), "other": t["claims"].select(F.raise_error(F.lit("torn")).alias("x"))}
+
+    def count(t):
+        return {"n": t["claims"].groupBy("status").count()}
+
+    manifest = Y.run_cycle(store, [Y.Job("confirm", confirm), Y.Job("torn", torn, isolated=True), Y.Job("count", count)])
+    steps = {r.step: (r.version, r.error) for r in manifest.select("step", "version", "error").distinct().collect()}
+    assert steps["confirm"] == (1, None) and steps["torn"][0] == 2 and "torn" in steps["torn"][1] and steps["count"] == (3, None)
+    assert [tuple(r) for r in store.read(3)["n"].collect()] == [("confirmed", 2)]
+    assert [tuple(r) for r in store.read(3)["transitions"].collect()] == [("confirm", 1, "candidate", "confirmed")]
+    assert {r.status for r in store.read(0)["claims"].collect()} == {"candidate", "confirmed"}
+    with pytest.raises(Exception, match="torn"):
+        Y.run_cycle(store, [Y.Job("torn", torn), Y.Job("count", count)])
+    assert store.last() == 3
