@@ -81,10 +81,23 @@ class Index:
 
     def add(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Builds the lists from the examples' vectors."""
-        sizes, n = [len(at) for at, _ in vectors], len(self.vocabulary)
+        sizes = [len(at) for at, _ in vectors]
         word, weight = (np.concatenate([v[k] for v in vectors]) if vectors else np.zeros(0, dtype=t) for k, t in ((0, np.int64), (1, float)))
-        example = np.repeat(np.arange(len(vectors)), sizes)
         self.rows = (np.append(0, np.cumsum(sizes)).astype(np.int64), word.astype(np.int32), weight)
+        self.invert()
+
+    def __getstate__(self) -> dict:
+        """What travels: the examples' rows. Lists and maxima are made of them where the index is searched."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("lists", "blocks", "most", "scratch")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+
+    def invert(self) -> None:
+        """Inverted lists and block maxima from the forward rows."""
+        bounds, word, weight = self.rows
+        n = len(self.vocabulary)
+        example = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         order = np.lexsort((example, word))
         w, e, x = word[order], example[order], weight[order]
         self.lists = (np.searchsorted(w, np.arange(n + 1)), e.astype(np.int32), x)
@@ -95,6 +108,8 @@ class Index:
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Exact k nearest examples by (cosine descending, id): (example numbers, cosines); ``but`` is left out."""
+        if not self.lists:
+            self.invert()
         n = len(self.ids)
         order = np.argsort(-weight * self.most[at], kind="stable")
         at, weight = at[order], weight[order]
