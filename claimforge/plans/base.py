@@ -34,8 +34,9 @@ def query(name: str, sql: str | None = None, *views: str):
         QUERIES[name] = f
         if sql is not None:
             body = sql.strip()
-            rest = body[5:] if body.upper().startswith("WITH ") else None
-            ORACLES[name] = body if not views else "WITH " + ", ".join(views) + (", " + rest if rest else " " + body)
+            head = "WITH RECURSIVE " if body.upper().startswith("WITH RECURSIVE ") else "WITH "
+            rest = body[len(head) :] if body.upper().startswith(head) else None
+            ORACLES[name] = body if not views else head + ", ".join(views) + (", " + rest if rest else " " + body)
         return f
 
     return add

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimforge.functions import text as T
-from claimforge.operators import clusters as C, cycle as Y, observations as O
-from claimforge.plans.base import CITATIONS, CLAIMS, NOW, hours, query
+from claimforge.operators import admission as M, chain as H, clusters as C, cycle as Y, observations as O
+from claimforge.plans.base import CITATIONS, CLAIMS, LEDGER, NOW, hours, query
 from claimforge.plans.textual import RANK_TOKENS
 from claimforge.sources import adapters as A
 from claimforge.streaming import inbox as I
@@ -154,3 +154,32 @@ def v17_transitions(spark, d):
 def v17(spark, d):
     store = _cycle(spark, d)
     return store.read(store.last())["claims"].select("id", "status", F.round("confidence", 6).alias("confidence"), "access_count", "tier")
+
+
+@query("v27_greedy_admission", None)
+def v27_greedy(spark, d):
+    """All public confirmed texts and candidates, best confidence first, within a budget of 400."""
+    n = A.notes(spark, d).filter("visibility = 'public'")
+    rows = n.select("id", (-F.col("confidence")).alias("rank"), "text", (F.col("id") % 13).alias("evidence"), "confidence", F.col("scope").alias("subject"), F.col("status").alias("predicate"), F.col("source_agent").alias("value"))
+    return M.admit(rows, 400).select("id", "admitted", F.array_join("reasons", ",").alias("reasons"))
+
+
+def _events(spark, d):
+    return A.ledger(spark, d).select("id", "claim_id", "event_type", "from_status", "to_status", F.lit(None).cast("string").alias("details"), "payload", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@query("w18_event_chain", f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY id) AS rn, concat_ws(chr(31), 'sha256-v1', claim_id::VARCHAR, event_type, from_status, to_status, '', replace(payload, ' ', ''), strftime(created_at, '%Y-%m-%d %H:%M:%S')) AS body FROM ledger),
+ h AS (SELECT id, claim_id, rn, NULL::VARCHAR AS prev_hash, sha256(body || chr(31)) AS event_hash FROM l WHERE rn = 1 UNION ALL SELECT l.id, l.claim_id, l.rn, h.event_hash, sha256(l.body || chr(31) || h.event_hash) FROM h JOIN l ON l.claim_id = h.claim_id AND l.rn = h.rn + 1)
+ SELECT id, claim_id, prev_hash, event_hash FROM h""", LEDGER)
+def w18_chain(spark, d):
+    return H.build(_events(spark, d)).select("id", "claim_id", "prev_hash", "event_hash")
+
+
+@query("w18_tampered_chain", """WITH s AS (SELECT id, claim_id, id % 97 = 13 AS edited, id % 101 = 17 AS gone, row_number() OVER (PARTITION BY claim_id ORDER BY id) AS rn FROM ledger), k AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY id) AS position, lag(rn) OVER (PARTITION BY claim_id ORDER BY id) AS before FROM s WHERE NOT gone)
+ SELECT claim_id, position, id, 'edited' AS fault FROM k WHERE edited UNION ALL SELECT claim_id, position, id, 'missing' FROM k WHERE rn > 1 AND before IS DISTINCT FROM rn - 1""", LEDGER)
+def w18_tampered(spark, d):
+    """A stored chain with planted edits and deletions: every fault with its position."""
+    at = folder(spark, "chain")
+    H.build(_events(spark, d)).write.parquet(at)
+    stored = spark.read.parquet(at).filter("id % 101 <> 17").withColumn("payload", F.when(F.col("id") % 97 == 13, F.concat("payload", F.lit(" "))).otherwise(F.col("payload")))
+    return H.verify(stored)

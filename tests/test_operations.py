@@ -157,3 +157,73 @@ def test_a_cycle_step_commits_or_leaves_the_version_before(spark, tmp_path):
     with pytest.raises(Exception, match="torn"):
         Y.run_cycle(store, [Y.Job("torn", torn), Y.Job("count", count)])
     assert store.last() == 3
+
+
+def plain_admission(rows, budget):
+    """The loop: rows in order, each against all admitted ones."""
+    import re
+
+    admitted, out, by_id = [], {}, {}
+    for i, _, text, evidence, confidence, *key in sorted(rows, key=lambda r: (r[1], r[0])):
+        words = re.findall("[a-z0-9_]+", (text or "").lower())
+        s, reasons = set(words), []
+        if any(words == w for _, w in admitted):
+            reasons.append("redundant")
+        elif s and any(len(s & set(w)) >= 0.8 * len(s | set(w)) for _, w in admitted):
+            reasons.append("near_duplicate")
+        if evidence <= 0 or confidence < 0.6:
+            reasons.append("weak_support")
+        if not reasons and len(admitted) >= budget:
+            reasons.append("budget_limit")
+        if not reasons:
+            admitted.append((i, words))
+        out[i], by_id[i] = (not reasons, reasons), key
+    groups = {}
+    for i, _ in admitted:
+        if by_id[i][0] and by_id[i][1]:
+            groups.setdefault(tuple(by_id[i][:2]), []).append(i)
+    for ids in groups.values():
+        if len({by_id[i][2] for i in ids}) > 1:
+            for i in ids:
+                out[i] = (True, ["lifecycle_conflict"])
+    return out
+
+
+@pytest.mark.parametrize("budget", [1000, 40, 3])
+def test_admission_equals_the_loop(spark, budget):
+    import random
+
+    from claimforge.operators import admission as M
+
+    rng, rows, words = random.Random(9), [], [f"w{i}" for i in range(60)]
+    for i in range(160):
+        if i and rng.random() < 0.6:  # drifting copies make chains
+            w = rng.choice(rows)[2].split()
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            if rng.random() < 0.2:
+                rng.shuffle(w)
+        else:
+            w = [rng.choice(words) for _ in range(rng.randint(1, 14))]
+        rows.append((i, rng.randint(0, 40), " ".join(w), rng.randint(0, 6), rng.choice([0.5, 0.6, 0.9]), rng.choice(["", "s", "t"]), "p", str(rng.randint(0, 3))))
+    rows += [(200, 0, "", 1, 0.9, "s", "p", "1"), (201, 1, " !", 1, 0.9, "s", "p", "1"), (202, 2, "", 0, 0.9, "s", "p", "1")]
+    df = spark.createDataFrame(rows, "id long, rank int, text string, evidence int, confidence double, subject string, predicate string, value string").repartition(3)
+    assert {r.id: (r.admitted, r.reasons) for r in M.admit(df, budget).collect()} == plain_admission(rows, budget)
+
+
+def test_tampered_chains_are_reported_with_their_positions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from claimforge.operators import chain as H
+
+    rows = [(i, i % 3, "decay", "a", None if i % 4 else "b", None, '{"b": 1, "a": %d}' % i if i % 5 else "not json", f"t{i}") for i in range(30)]
+    made = H.build(spark.createDataFrame(rows, "id long, claim_id long, event_type string, from_status string, to_status string, details string, payload string, created_at string").repartition(4))
+    made.write.parquet(str(tmp_path / "c"))
+    chain = spark.read.parquet(str(tmp_path / "c"))
+    assert H.verify(chain).count() == 0 and chain.filter("payload = '{\"a\":3,\"b\":1}'").count() == 1
+    faults = lambda df: sorted((r.claim_id, r.position, r.id, r.fault) for r in H.verify(df).collect())
+    assert faults(chain.withColumn("to_status", F.when(F.col("id") == 9, "x").otherwise(F.col("to_status")))) == [(0, 4, 9, "edited")]
+    assert faults(chain.filter("id <> 10")) == [(1, 4, 13, "missing")]
+    swapped = chain.withColumn("id", F.when(F.col("id") == 11, 14).when(F.col("id") == 14, 11).otherwise(F.col("id")))
+    assert faults(swapped) == [(2, 4, 11, "reordered"), (2, 5, 14, "reordered"), (2, 6, 17, "reordered")]
+    assert faults(chain.filter("id <> 0")) == [(0, 1, 3, "missing")]
