@@ -74,7 +74,7 @@ def v11(spark, d):
     return out.select("scope", "cluster", "part", F.array_join(F.transform("source_ids", lambda i: i.cast("string")), ",").alias("source_ids"), "subject_hint", "summary", F.length("block").alias("block_chars"), "citations")
 
 
-SUPPORTS = "sup AS (SELECT DISTINCT l_orderkey % 7 AS scope, l_orderkey * 10 + l_linenumber AS claim_id, l_orderkey AS evidence, CASE WHEN l_partkey % 5 = 0 THEN l_partkey % 10 ELSE 1000 + l_partkey * 1000 + l_suppkey END AS signature FROM lineitem)"
+SUPPORTS = """sup AS (SELECT DISTINCT (l_orderkey // 24) % 7 AS scope, l_orderkey * 10 + l_linenumber AS claim_id, l_orderkey AS evidence, CASE WHEN l_partkey % 5 = 0 THEN l_partkey % 10 WHEN (l_orderkey // 24) % 7 = 6 THEN 1000 + (l_orderkey // 24) * 8 + l_partkey % 4 ELSE 1004 + (l_orderkey // 4) * 8 + l_partkey % 3 END AS signature FROM lineitem)"""
 GROUPS = """hub AS (SELECT scope, signature FROM sup GROUP BY scope, signature HAVING count(DISTINCT evidence) > 20), kept AS (SELECT * FROM sup WHERE (scope, signature) NOT IN (SELECT (scope, signature) FROM hub)),
  link AS (SELECT DISTINCT scope || '|e|' || evidence AS e, scope || '|s|' || signature AS s FROM kept), near AS (SELECT DISTINCT a.e AS x, b.e AS y FROM link a JOIN link b ON a.s = b.s), walk AS (SELECT x AS node, x AS low FROM near UNION SELECT n.y, w.low FROM walk w JOIN near n ON w.node = n.x),
  comp AS (SELECT node, min(low) AS component FROM walk GROUP BY node), placed AS (SELECT k.*, component FROM kept k JOIN comp ON node = scope || '|e|' || evidence),
@@ -84,9 +84,11 @@ GROUPS = """hub AS (SELECT scope, signature FROM sup GROUP BY scope, signature H
 
 
 def _supports(spark, d):
-    x = A.read(spark, d, "lineitem")
-    hub = F.when(F.col("l_partkey") % 5 == 0, F.col("l_partkey") % 10).otherwise(1000 + F.col("l_partkey") * 1000 + F.col("l_suppkey"))
-    return x.select((F.col("l_orderkey") % 7).alias("scope"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_orderkey").alias("evidence"), hub.alias("signature"))
+    """Orders are episodes and their lines claims; parts of one kind are hubs, the rest ties orders of close keys."""
+    x, k = A.read(spark, d, "lineitem"), F.col("l_orderkey")
+    scope = F.floor(k / 24) % 7
+    tie = F.when(F.col("l_partkey") % 5 == 0, F.col("l_partkey") % 10).when(scope == 6, 1000 + F.floor(k / 24) * 8 + F.col("l_partkey") % 4).otherwise(1004 + F.floor(k / 4) * 8 + F.col("l_partkey") % 3)
+    return x.select(scope.alias("scope"), (k * 10 + F.col("l_linenumber")).alias("claim_id"), k.alias("evidence"), tie.alias("signature"))
 
 
 @query("g9_bounded_observations", f"WITH RECURSIVE {SUPPORTS}, {GROUPS} SELECT scope, code, count(DISTINCT component) AS components, count(DISTINCT claim_id) AS claims, count(DISTINCT evidence) AS evidence, (SELECT count(*) FROM hub h WHERE h.scope = c.scope) AS hubs FROM coded c GROUP BY scope, code")
@@ -97,14 +99,15 @@ def g9_bounded(spark, d):
 
 
 @query("e12_observation_corpus", f"""WITH RECURSIVE {SUPPORTS}, {GROUPS}, f AS (SELECT DISTINCT component AS f, claim_id FROM coded WHERE code = 'eligible'),
- e AS (SELECT DISTINCT scope || '/' || (evidence % 3000) AS e, claim_id FROM sup), nf AS (SELECT f, count(*) AS nf FROM f GROUP BY f), ne AS (SELECT e, count(*) AS ne FROM e GROUP BY e),
+ e AS (SELECT DISTINCT CASE WHEN evidence // 4 % 5 = 1 THEN evidence // 2 ELSE 1000000000 + evidence // 4 END AS e, claim_id FROM sup WHERE evidence // 4 % 9 <> 0), nf AS (SELECT f, count(*) AS nf FROM f GROUP BY f), ne AS (SELECT e, count(*) AS ne FROM e GROUP BY e),
  meet AS (SELECT f, e, count(*) AS n FROM f JOIN e USING (claim_id) GROUP BY f, e), m AS (SELECT * FROM meet JOIN nf USING (f) JOIN ne USING (e)), ke AS (SELECT e, count(*) AS k FROM meet GROUP BY e), kf AS (SELECT f, count(*) AS k FROM meet GROUP BY f),
  c AS (SELECT (SELECT count(*) FROM m WHERE n = nf AND n = ne) AS exact, (SELECT count(*) FROM ne) AS expected, (SELECT count(*) FROM ne WHERE e NOT IN (SELECT e FROM ke)) AS missed, (SELECT count(*) FROM ke WHERE k > 1) AS split, (SELECT count(*) FROM nf) AS found, (SELECT count(*) FROM nf WHERE f NOT IN (SELECT f FROM kf)) AS extra, (SELECT count(*) FROM kf WHERE k > 1) AS merged)
  SELECT *, CASE WHEN found > 0 THEN round(exact / found, 6) ELSE 1.0 END AS precision, CASE WHEN expected > 0 THEN round(exact / expected, 6) ELSE 1.0 END AS recall FROM c""")
 def e12(spark, d):
     s = _supports(spark, d)
     found = O.discover(s).filter("code = 'eligible'").select(F.col("component").alias("group"), "claim_id")
-    expected = s.select(F.concat_ws("/", F.col("scope").cast("string"), (F.col("evidence") % 3000).cast("string")).alias("group"), "claim_id")
+    four = F.floor(F.col("evidence") / 4)
+    expected = s.filter(four % 9 != 0).select(F.when(four % 5 == 1, F.floor(F.col("evidence") / 2)).otherwise(1000000000 + four).alias("group"), "claim_id")
     return O.agreement(found, expected)
 
 
