@@ -32,7 +32,7 @@ def signature(source: Column, relation: str, target: Column, symmetric: bool) ->
 
 
 def eligible_observations(supports: DataFrame, component: DataFrame) -> DataFrame:
-    """Components with three claims, two evidence rows and two signatures, and no more than the upper bounds."""
+    """Components with three claims, two evidence rows and two signatures or more; upper bounds and hubs are in ``observations``."""
     x = supports.join(component, supports.evidence == component.node)
     g = x.groupBy("component").agg(F.countDistinct("claim_id").alias("claims"), F.countDistinct("evidence").alias("evidence"), F.countDistinct("signature").alias("signatures"))
     return g.filter("claims >= 3 AND evidence >= 2 AND signatures >= 2")

@@ -29,7 +29,7 @@ def postings(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def bm25(rows: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
-    """(prompt_id, id, score). Only terms of the queries leave the scan: the semi-join on terms comes before any ranking."""
+    """(prompt_id, id, score). Every word is exploded in its task; those outside the queries end at the semi-join, before any shuffle of counts."""
     words = T.all_matches(F.lower(F.col(text)), "[a-z0-9_]{3,}")
     base = rows.select("id", words.alias("w")).filter(F.size("w") > 0).withColumn("doc_len", F.size("w"))
     stats = base.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
