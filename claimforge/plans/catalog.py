@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimforge.plans import more, operations, relational, streams, textual  # noqa: F401  they register themselves
+from claimforge.plans import matching, more, operations, relational, streams, textual  # noqa: F401  they register themselves
 from claimforge.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "w2_hybrid_rank"
