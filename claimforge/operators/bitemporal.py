@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from claimforge.operators.cycle import Store, start
-from claimforge.streaming.streams import folder
+from claimforge.streaming.streams import stored
 
 END = "9999-12-31 00:00:00"
 BLOCK_BITS = 12
@@ -68,24 +68,17 @@ def dyadic(lo: str, hi: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(hi))), start_, step, lambda acc: acc.nodes)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A table in the shared folder, as several branches read it."""
-    at = folder(df.sparkSession, "bitemporal-step")
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
 def timeline(versions: DataFrame) -> DataFrame:
     """versions(key, id, seq, valid_from, valid_until) -> the same columns, disjoint by key: at each time the version of the
     greatest (seq, id) that holds it."""
     v = versions.select("key", "id", "seq", "valid_from", F.coalesce("valid_until", F.lit(END).cast("timestamp_ntz")).alias("valid_until")).filter("valid_from < valid_until")
     bounds = v.select("key", F.col("valid_from").alias("t")).union(v.select("key", F.col("valid_until").alias("t"))).distinct()
-    r = cut(running(bounds.withColumns({"day": F.to_date("t"), "one": F.lit(1).cast("bigint")}), "day", "t", "one").select("key", "t", F.col("running").alias("r"), "total"))
+    r = stored(running(bounds.withColumns({"day": F.to_date("t"), "one": F.lit(1).cast("bigint")}), "day", "t", "one").select("key", "t", F.col("running").alias("r"), "total"), "bounds")
     spans = v.join(r.select("key", F.col("t").alias("valid_from"), F.col("r").alias("lo")), ["key", "valid_from"]).join(r.select("key", F.col("t").alias("valid_until"), F.col("r").alias("hi")), ["key", "valid_until"])
     blocks = spans.select("key", "id", "seq", F.explode(dyadic("lo", "hi")).alias("b")).groupBy("key", "b.level", "b.node").agg(F.max(F.struct("seq", "id")).alias("w"))
     stretch = r.join(r.select("key", (F.col("r") - 1).alias("r"), F.col("t").alias("until")), ["key", "r"])
     look = stretch.withColumn("level", F.explode(F.sequence(F.lit(0), F.length(F.bin("total"))))).withColumn("node", F.expr("shiftright(r, level)"))
-    won = cut(look.join(blocks, ["key", "level", "node"]).groupBy("key", "r", "t", "until").agg(F.max("w").alias("w")))
+    won = stored(look.join(blocks, ["key", "level", "node"]).groupBy("key", "r", "t", "until").agg(F.max("w").alias("w")), "winners")
     before = won.select("key", (F.col("r") + 1).alias("r"), F.col("w").alias("was"))
     x = won.join(before, ["key", "r"], "left").withColumns({"begins": F.when(F.col("was") == F.col("w"), 0).otherwise(1).cast("bigint"), "block": F.shiftright("r", BLOCK_BITS)})
     x = running(x, "block", "r", "begins").groupBy("key", "running").agg(F.first("w").alias("w"), F.min("t").alias("valid_from"), F.max("until").alias("until"))

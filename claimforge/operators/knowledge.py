@@ -64,16 +64,5 @@ def rendered(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.format_string('<claim id="%d" status="%s" confidence="%.2f"/>', "id", "status", "confidence").alias("block"))
 
 
-def tfidf_similarity(terms: DataFrame, n_docs: int, least: float) -> DataFrame:
-    """terms(id, term, tf) -> pairs (a < b) with cosine of at least ``least``; terms in one document meet nobody and stay out of the join."""
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    w = terms.join(df, "term").withColumn("w", F.col("tf") * F.log((1.0 + n_docs) / (1.0 + F.col("df"))))
-    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    u = w.filter("df BETWEEN 2 AND 50").join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("u"))
-    a, b = u.alias("a"), u.alias("b")
-    x = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id"))).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.round(F.sum(F.col("a.u") * F.col("b.u")), 6).alias("cos"))
-    return x.filter(F.col("cos") >= least)
-
-
 def first_per(rows: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("r") <= n).drop("r")

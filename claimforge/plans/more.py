@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from claimforge.functions import text as T
-from claimforge.operators import claims as C, governance as G, graph as X, knowledge as N, lifecycle as L, search as S
+from claimforge.operators import claims as C, governance as G, graph as X, knowledge as N, lifecycle as L, matching as M, search as S
 from claimforge.plans.base import CITATIONS, CLAIMS, LEDGER, NOTES, TURNS, hours, query
 from claimforge.plans.textual import BM25, COS
 from claimforge.sources import adapters as A
@@ -156,11 +156,12 @@ def f31(spark, d):
     return S.top(x, ["prompt_id"], [F.desc("score"), "id"], 5).select("prompt_id", "id", "ratio")
 
 
-@query("f37_tfidf_similarity", """WITH t AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{3,}')) AS term FROM benchmark), tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), w AS (SELECT id, term, df, tf * ln((1.0::DOUBLE + 40) / (1.0 + df)) AS w FROM tf JOIN df USING (term)),
- n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id), u AS (SELECT id, term, w / norm AS u FROM w JOIN n USING (id) WHERE df BETWEEN 2 AND 50) SELECT a.id AS a, b.id AS b, round(sum(a.u * b.u), 6) AS cos FROM u a JOIN u b ON a.term = b.term AND a.id < b.id GROUP BY ALL HAVING round(sum(a.u * b.u), 6) >= 0.05""")
+@query("f37_tfidf_similarity", """WITH t AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{3,}')) AS term FROM benchmark), tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), size AS (SELECT count(DISTINCT id) AS n FROM tf), w AS (SELECT id, term, tf * ln((1.0::DOUBLE + size.n) / (1.0 + df)) AS w FROM tf JOIN df USING (term), size),
+ l AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id), u AS (SELECT id, term, w / norm AS u FROM w JOIN l USING (id) WHERE w > 0) SELECT a.id AS a, b.id AS b, round(sum(a.u * b.u), 6) AS cos FROM u a JOIN u b ON a.term = b.term AND a.id < b.id GROUP BY ALL HAVING sum(a.u * b.u) >= 0.05 - 1e-9""")
 def f37(spark, d):
     t = A.prompts(spark, d).select(F.col("prompt_id").alias("id"), F.explode(T.all_matches(F.lower("prompt"), "[a-z0-9_]{3,}")).alias("term")).groupBy("id", "term").agg(one().alias("tf"))
-    return N.tfidf_similarity(t, 40, 0.05)
+    v = M.tfidf_vectors(t, F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))), t.agg(F.countDistinct("id").alias("n_docs")))
+    return M.tfidf_pairs(v, 0.05)
 
 
 @query("f40_trust_scores", "SELECT id, CASE WHEN source_agent IS NULL THEN 0.2 WHEN source_agent::INT < 5 THEN 0.9 WHEN source_agent::INT < 12 THEN 0.6 ELSE 0.4 END::DOUBLE AS trust FROM claims", CLAIMS)

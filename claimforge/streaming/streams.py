@@ -13,6 +13,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{at}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A frame that several branches read, as a table in the shared folder."""
+    at = folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def parquet_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     """A stream over one Parquet table (a file or a folder of files)."""
     head, _, tail = path.rpartition("/")
