@@ -20,8 +20,10 @@ class are fixed, whatever the class, and slots are regions of the tags on each p
 A host of fewer than ``FEW`` pages has too few to tell fixed text from chance and has no template; the same rules of regions apply.
 
 Scale: one parsing scan of the pages for the templates and one for the texts, and others that only hash them. Tokens are
-counted within a task before the shuffle, and only those on at least half of a task's pages of a host leave it, so that
-the support counted is a lower bound. Templates are written (a row for each host of ``FEW`` pages or more) and joined by
+counted within a task before the shuffle. Only those on at least half of the pages of a host that a task counts at a time
+leave it: a token with the support of a template is such a one somewhere. Where others of those parts, which didn't send
+it, leave open whether it has the support, or lack a part of its vector, the pages of its host are read again for exactly these
+tokens (``recounted``), so that every count of a template is the whole one. Templates are written (a row for each host of ``FEW`` pages or more) and joined by
 host: as the size of the files is known when the join is planned, Spark broadcasts them below its threshold, and else
 shuffles the pages and splits hot hosts.
 
@@ -45,10 +47,11 @@ from pyspark.sql import DataFrame, functions as F
 from claimforge.llm.io import materialise
 
 HALF, SUPPORT = 0.5, 0.8
+VECTOR = 0xFFFFFFFFFF
 FEW = 4
 LONGEST_ROLE, DEEPEST = 400, 500
 LONGEST_FIXED = 300  # characters; longer blocks stand in tokens by their hash
-FLUSH_PAGES = 4000
+FLUSH_PAGES, HELD = 4000, 400_000  # a task counts so many pages, or different tokens, at a time
 SOFT, HARD = 1, 2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -248,59 +251,88 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
 COUNTED = "host string, token string, pages double, total double, vector long, first double, host_pages double, chars double"
 
 
-def occurrences(pages: DataFrame) -> DataFrame:
-    """Per task and host: tokens on at least half of its pages with their counts and vector sums; token '' has the host's pages."""
+def occurrences(pages: DataFrame, wanted: bool = False) -> DataFrame:
+    """Per task and host: tokens on at least half of its pages with their counts and vector sums; token '' has the host's pages.
+    With ``wanted``, the tokens in the pages' column of that name instead, on however many pages."""
 
     def run(it):
         names = [c.split()[0] for c in COUNTED.split(", ")]
         kinds = [pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         state: dict[str, dict] = defaultdict(dict)
-        count, chars = Counter(), defaultdict(Counter)
+        count, chars, only = Counter(), defaultdict(Counter), {}
 
         def flush():
             rows = []
             for host, own in state.items():
-                least = HALF * count[host]
-                rows.append((host, "", count[host], 0, 0, 0.0, count[host], 0))
+                least = 0 if wanted else HALF * count[host]
+                if not wanted:
+                    rows.append((host, "", count[host], 0, 0, 0.0, count[host], 0))
                 for t, (p, total, vector, first) in own.items():
                     if p >= least:
-                        signed = vector & 0xFFFFFFFFFF  # 40 bits, so that the sum over eight million tasks stays within a long
-                        rows.append((host, t, p, total, signed, first, 0, chars[host].get(t[1:], 0) if t[0] == "<" else 0))
-            state.clear()
-            count.clear()
-            chars.clear()
+                        signed = vector & VECTOR  # 40 bits, so that the sum over eight million tasks stays within a long
+                        rows.append((host, t, p, total, signed, first, 0 if wanted else count[host], chars[host].get(t[1:], 0) if t[0] == "<" else 0))
+            for kept in (state, count, chars, only):
+                kept.clear()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        done = 0
+        done = held = 0
         for b in it:
-            for pid, url, source, part in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("html"), b.column("weight").to_pylist(), strict=True):
+            lists = b.column("wanted") if wanted else [None] * b.num_rows
+            for pid, url, source, part, asked in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("html"), b.column("weight").to_pylist(), lists, strict=True):
                 source = source.as_py()
                 if not source:
                     continue
                 host, page = host_of(url), parse(source)
+                if wanted and host not in only:
+                    only[host] = frozenset(asked.as_py())
                 own, seed = state[host], hash_page(pid)
+                held -= len(own)
                 count[host] += part  # rows of one page make one together
                 for place, (t, c) in enumerate(tokens(page).items()):
+                    if wanted and t not in only[host]:
+                        continue
                     p, total, vector, first = own.get(t, (0, 0, 0, 0.0))
-                    own[t] = (p + part, total + c * part, (vector + mix_count(seed, c)) & 0xFFFFFFFFFF, first + place * part)
+                    own[t] = (p + part, total + c * part, (vector + mix_count(seed, c)) & VECTOR, first + place * part)
+                held += len(own)
                 for role, text, furniture, _ in page.blocks:
                     if not furniture:
                         at = role
                         while at:
                             chars[host][at] += len(text) * part
                             at = at.rpartition("/")[0]
-                if len(own) > 20000 and count[host] > 8:  # words seen once on few pages can't reach half of them
-                    least = max(2, count[host] / 8)
-                    for t in [t for t, v in own.items() if v[0] < least and t[0] != "<"]:
-                        del own[t]
                 done += 1
-                if done >= FLUSH_PAGES:
+                if done >= FLUSH_PAGES or held >= HELD:
                     yield from flush()
-                    done = 0
+                    done = held = 0
         yield from flush()
 
-    return pages.select("page_id", "url", "html", "weight").mapInArrow(run, COUNTED)
+    return pages.select("page_id", "url", "html", "weight", *(["wanted"] if wanted else [])).mapInArrow(run, COUNTED)
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """occurrences() of all tasks; ``host_pages`` of a token are the pages among which it was counted."""
+    add = {c: F.sum(c) for c in ("pages", "total", "vector", "first", "host_pages", "chars")} | {"vector": F.pmod(F.sum("vector"), F.lit(VECTOR + 1))}
+    return rows.groupBy("host", "token").agg(*[x.alias(c) for c, x in add.items()])
+
+
+def recounted(pages: DataFrame, x: DataFrame) -> DataFrame:
+    """The counts in x (host, token, ...) of tokens that can have a template's support, whole: with ``n``, the host's pages.
+
+    A token that some part of the pages didn't send is on less than half of those pages. If it can reach the support with them,
+    all pages of its host are read again for it.
+    """
+    sizes = x.filter("token = ''").select(F.col("host").alias("h"), F.col("host_pages").alias("n")).filter(F.col("n") > FEW - 0.5)
+    least = F.col("n") * SUPPORT - 1e-6
+    given = x.filter("token <> ''").join(sizes, F.col("host") == F.col("h")).drop("h").filter(F.col("pages") + (F.col("n") - F.col("host_pages")) * HALF > least)
+    partly = F.col("host_pages") < F.col("n") - 1e-6
+    asked = materialise(given.filter(partly).groupBy("host", "n").agg(F.collect_list("token").alias("wanted")), "tokens-open")
+    if asked.isEmpty():
+        return given.filter(F.col("pages") > least)
+    names = asked.select(F.col("host").alias("h"), "wanted")
+    again = distinct_pages(pages.select("page_id", "url", "html").join(names.select("h"), host_column() == F.col("h"), "left_semi"))
+    again = summed(occurrences(again.join(names, host_column() == F.col("h")), wanted=True)).join(asked.select(F.col("host").alias("h"), "n"), F.col("host") == F.col("h")).drop("h")
+    return given.filter(~partly).unionByName(materialise(again.select(*given.columns), "tokens-again")).filter(F.col("pages") > least)
 
 
 def hash_page(pid) -> int:
@@ -310,15 +342,12 @@ def hash_page(pid) -> int:
 def mix_count(seed: int, c: int) -> int:
     x = (seed ^ (c * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF
     x = ((x ^ (x >> 31)) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
-    return (x ^ (x >> 32)) & 0xFFFFFFFFFF
+    return (x ^ (x >> 32)) & VECTOR
 
 
 def templates(pages: DataFrame, least_class: int = 1) -> DataFrame:
     """(host, template): the valid equivalence classes of each host by position, and its article slot's role."""
-    x = occurrences(distinct_pages(pages)).groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum("vector").alias("vector"), F.sum("first").alias("first"), F.sum("host_pages").alias("host_pages"), F.sum("chars").alias("chars"))
-    x = materialise(x, "tokens")
-    sizes = x.filter("token = ''").select(F.col("host").alias("h"), F.col("host_pages").alias("n")).filter(F.col("n") > FEW - 0.5)
-    full = x.filter("token <> ''").join(sizes, F.col("host") == F.col("h")).filter(F.col("pages") > F.col("n") * SUPPORT - 1e-6).drop("h", "host_pages")
+    full = recounted(pages, materialise(summed(occurrences(distinct_pages(pages))), "tokens")).drop("host_pages")
     place, path = F.col("first") / F.col("pages"), F.split(F.when(F.col("token").startswith("<"), F.substring("token", 2, 1 << 20)).otherwise(F.substring_index("token", ">", 1)), "/")
     classes = full.groupBy("host", "n", F.round("total", 3).alias("total"), "vector").agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "token", "chars"))).alias("t"), F.round(F.max("pages"), 3).alias("on"), F.min(path).alias("low"), F.max(path).alias("high"))
     # the elements that the least and the greatest path share are shared by all between them
