@@ -15,14 +15,19 @@
    first document of a list doesn't share is tried again with the next, for ``ROUNDS`` rounds.
 4. What the lists still hold is split by a longer context: every stretch of the least length (50 words) around a centre is
    hashed, and documents with an equal one meet in a list of their own, where the first document holds what each other
-   has. So every exact passage is found, whatever else shares its lists; near ones only where a list's first two meet them.
+   has. So every exact passage is found, whatever else shares its lists.
+5. Near passages have no such context. What is still undone is held against every other document of a smaller id in its
+   list: rows carry the shingles of their windows, and a pair goes on to the texts if it shares as many kinds as the
+   least similar stretch has, one of them where no match lies yet, and its passages there are similar. So a near passage is
+   found wherever its windows meet in a list, but where all that it shares with a keeper is reported already.
 
 A span is reported for the later document (larger doc_id) with the document that keeps the passage; as the keeper's id
 is always smaller, one copy of every passage stays.
 
 Scale: one shuffle of windows (key, document, packed span; about 4 * HASHES / 46 of the words), small ones of
-candidates, and one of the candidates' texts: a bitmap of hashed ids of a fixed size keeps most others back, at every size
-of the input. Lists are scanned as sorted streams, in partitions whose number grows with the rows.
+candidates, and one of the candidates' texts in each comparison: a bitmap of hashed ids of a fixed size keeps most others
+back, at every size of the input. Lists are scanned as sorted streams, in partitions whose number grows with the rows. Step 5
+compares in blocks of ``BLOCK`` rows of a list, so that no task holds a whole one; its work is quadratic in what a list leaves.
 
 Nulls: null texts, rows with a null doc_id and texts under 50 words have no passages; repeated rows of one id are one
 document, and repeats inside one document are left alone. Rows that repeat an id with another text are documents of their
@@ -47,6 +52,7 @@ GAP = 12  # missing shingles between shared ones of one stretch: two changed wor
 LATER = 1 << 62  # further texts of a repeated id are numbered from here
 U64 = np.uint64
 _CLIP = 0xFFFF
+BLOCK, KINDS = 2048, 4096  # rows of a list, and shingles, that are compared at a time
 _HULL = 0x8000
 
 
@@ -279,8 +285,10 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    def side(name: str, text: str) -> DataFrame:
-        return among(texts.select(F.col("doc_id").alias(name), F.col("text").alias(text)), pairs.select(name), name)
+    some = among(texts.select("doc_id", "text"), pairs.select(F.explode(F.array("doc", "pivot")).alias("doc_id")), "doc_id")
+
+    def side(name: str, text: str) -> DataFrame:  # the same rows for both sides, which are shuffled once
+        return some.select(F.col("doc_id").alias(name), F.col("text").alias(text))
 
     both = pairs.join(side("doc", "text_x"), "doc").join(side("pivot", "text_p"), "pivot")
     return both.select("doc", "pivot", "x_spans", "p_spans", "text_x", "text_p").mapInArrow(matched, MATCH)
@@ -344,19 +352,184 @@ def undone(lists: DataFrame, matches: DataFrame) -> DataFrame:
     return lists.join(held, "doc", "left").withColumn("need", ~done).drop("held")
 
 
-def exact_rest(lists: DataFrame, found: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
-    """Matches of what ``found`` leaves in the lists, by context."""
-    rows = undone(lists, found).withColumn("need", F.col("need") & (F.col("doc") != F.col("pivot")))
-    keys = rows.groupBy("key").agg(F.max("need").alias("any"), F.min("doc").alias("a"), F.max("doc").alias("z")).filter("any AND a < z").select("key")
-    split = scan_lists(context(rows.join(keys, "key", "left_semi").select("doc", "span", "tail", "need"), texts).withColumn("tail", F.lit(0)), parts)
+def rest(lists: DataFrame, found: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    """Matches of what ``found`` leaves in the lists: exact ones by context, then near ones by comparing each with all of its list."""
+    rows = undone(lists, found).withColumn("need", F.col("need") & (F.col("doc") != F.col("pivot"))).select("key", "doc", "span", "tail", "need")
+    rows = materialise(open_lists(rows), "passage-rest")
+    split = scan_lists(context(rows.select("doc", "span", "tail", "need"), texts).withColumn("tail", F.lit(0)), parts)
     needed = F.shiftright("span", 16).bitwiseAND(F.lit(_CLIP)) > 0
     plain = lambda c: F.col(c).bitwiseAND(F.lit(~(_CLIP << 16)))
     pairs = materialise(pair_up(split.filter(needed).withColumn("span", plain("span")).withColumn("pivot_span", plain("pivot_span"))), "passage-pairs")
-    out = materialise(compare(pairs, texts), "passage-matches")
+    exact = materialise(compare(pairs, texts), "passage-matches")
     discard(pairs)
+    left = undone(rows.withColumnRenamed("need", "was"), exact).withColumn("need", F.col("need") & F.col("was")).drop("was")
+    left = materialise(left, "passage-rest")
+    near = materialise(pair_up(similar_rows(sequences(open_lists(left), found.unionByName(exact), texts), parts)), "passage-pairs")
+    out = exact.unionByName(materialise(compare(near, texts), "passage-matches"))
+    discard(rows, left, near)
     return out
 
 
+def open_lists(rows: DataFrame) -> DataFrame:
+    """rows of the lists in which several documents are and one of them needs a match."""
+    keys = rows.groupBy("key").agg(F.max("need").alias("any"), F.min("doc").alias("a"), F.max("doc").alias("z")).filter("any AND a < z").select("key")
+    return rows.join(keys, "key", "left_semi")
+
+
+def sequences(rows: DataFrame, matches: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, doc, span, need, kinds, open, least) of rows(key, doc, span, tail, need): the window's shingles (32 bits of each), a
+    bit for each that no match holds, and the fewest different ones in a stretch of the least length."""
+    by_doc = rows.groupBy("doc").agg(F.collect_list(F.struct("key", "span", "need")).alias("at"))
+    held = matches.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("held"))
+
+    def run(it):
+        for b in it:
+            for lo, hi, raw, at in chunks(b.column("text")):
+                value, owner = sequence(raw, at)
+                out, size = [[] for _ in range(7)], 0
+                for i, x in enumerate(np.split(value, np.searchsorted(owner, np.arange(1, hi - lo))), start=lo):
+                    free, kinds = uncovered(len(x), b.column("held")[i].as_py() or []), stretch_kinds(x)
+                    for r in b.column("at")[i].as_py():
+                        c, left, right = r["span"] >> 32, (r["span"] >> 16) & _CLIP, r["span"] & _CLIP
+                        s, e = max(c - left, 0), min(c + right + 1, len(x))
+                        if e - s >= LEAST and (free[s:e].any() or not r["need"]):
+                            row = (r["key"], b.column("doc")[i].as_py(), r["span"], r["need"], x[s:e].astype(np.uint32).tobytes(), np.packbits(free[s:e]).tobytes(), int(kinds[s : e - LEAST + 1].min()))
+                            size += len(row[4])
+                            for column, v in zip(out, row, strict=True):
+                                column.append(v)
+                        if size > 4 << 20:
+                            yield batch(out)
+                            out, size = [[] for _ in range(7)], 0
+                if out[0]:
+                    yield batch(out)
+
+    def batch(out):
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["key", "doc", "span", "need", "kinds", "open", "least"])
+
+    joined = by_doc.join(held, "doc", "left").join(among(texts.select(F.col("doc_id").alias("doc"), "text"), rows.select("doc"), "doc"), "doc")
+    return joined.select("doc", "at", "held", "text").mapInArrow(run, "key long, doc long, span long, need boolean, kinds binary, open binary, least int")
+
+
+def uncovered(n: int, held: list) -> np.ndarray:
+    """Which of a text's n shingles no span of ``held`` holds whole."""
+    edge = np.zeros(n + 1, dtype=np.int64)
+    for h in held:
+        edge[min(h["start_word"], n)] += 1
+        edge[min(max(h["end_word"] - WIDTH + 1, h["start_word"]), n)] -= 1
+    return np.cumsum(edge[:-1]) == 0
+
+
+def stretch_kinds(x: np.ndarray) -> np.ndarray:
+    """The different shingles of every stretch of the least length."""
+    n = len(x) - LEAST + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.int64)
+    order = np.argsort(x, kind="stable")
+    again = np.flatnonzero(x[order[1:]] == x[order[:-1]])
+    before, at = order[again], order[again + 1]  # a shingle and the one before that equals it: both in the stretches between
+    near = at - before < LEAST
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, np.clip(at[near] - LEAST + 1, 0, n), 1)
+    np.add.at(edge, np.clip(before[near] + 1, 0, n), -1)
+    return LEAST - np.cumsum(edge[:-1])
+
+
+def similar_rows(rows: DataFrame, parts: int) -> DataFrame:
+    """(doc, span, pivot, pivot_span): rows of a list that need a match, with those of smaller ids that give it one where none lies."""
+    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    seek = rows.filter("need").withColumn("other", every).select("key", F.col("own").alias("x"), F.col("other").alias("p"), F.lit(True).alias("seeks"), "doc", "span", "kinds", "open", "least")
+    hold = rows.withColumn("other", every).select("key", F.col("other").alias("x"), F.col("own").alias("p"), F.lit(False).alias("seeks"), "doc", "span", "kinds", F.lit(None).cast("binary").alias("open"), "least")
+    names = ("key", "x", "p", "seeks", "doc", "span", "least")
+
+    def run(it):
+        cols, kinds, free = None, [], []
+        for b in it:
+            if not b.num_rows:
+                continue
+            own = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+            cols = own if cols is None else [np.concatenate(c) for c in zip(cols, own, strict=True)]
+            kinds += [np.frombuffer(k, np.uint32) for k in b.column("kinds").to_pylist()]
+            free += [f and np.unpackbits(np.frombuffer(f, np.uint8)).astype(bool) for f in b.column("open").to_pylist()]
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
+            found, lo = [], 0
+            for hi in cut.tolist():
+                found += similar_in(*(c[lo:hi] for c in cols[3:]), kinds[lo:hi], free[lo:hi])
+                lo = hi
+            cols, kinds, free = [c[lo:] for c in cols], kinds[lo:], free[lo:]
+            if found:
+                yield pairs_of(found)
+        if cols is not None and (found := similar_in(*cols[3:], kinds, free)):
+            yield pairs_of(found)
+
+    def pairs_of(found):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["doc", "span", "pivot", "pivot_span"])
+
+    dealt = seek.unionByName(hold).repartition(parts, "key", "x", "p").sortWithinPartitions("key", "x", "p", "doc")
+    return dealt.mapInArrow(run, "doc long, span long, pivot long, pivot_span long")
+
+
+def similar_in(seeks: np.ndarray, doc: np.ndarray, span: np.ndarray, least: np.ndarray, kinds: list, free: list) -> list[tuple[int, int, int, int]]:
+    """(doc, span, pivot, pivot_span) of one group: for each seeking row, those of smaller ids that share a similar passage which
+    is in part open to it; what one gives is no longer open to the next."""
+    xs, ps = np.flatnonzero(seeks), np.flatnonzero(~seeks)
+    if not len(xs) or not len(ps) or doc[ps].min() >= doc[xs].max():
+        return []
+    shared, fresh = common_kinds([kinds[i] for i in xs], [kinds[j] for j in ps], [free[i][: len(kinds[i])] for i in xs])
+    enough = np.ceil(SIMILARITY * least[xs] - 1e-9)
+    i, j = np.nonzero((shared >= enough[:, None]) & (fresh > 0) & (doc[ps][None, :] < doc[xs][:, None]))
+    out = []
+    for row in np.unique(i).tolist():
+        at = xs[row]
+        x, still = kinds[at], free[at][: len(kinds[at])].copy()
+        for k in sorted(ps[j[i == row]].tolist(), key=lambda k: int(doc[k])):
+            p = kinds[k]
+            if not np.isin(x[still], p).any():
+                continue
+            new = False
+            for s, e, _, _ in shared_passages(x, p, _everywhere(x), _everywhere(p)):
+                new |= bool(still[s : e - WIDTH + 1].any())
+                still[s : e - WIDTH + 1] = False
+            if new:
+                out.append((int(doc[at]), int(span[at]), int(doc[k]), int(span[k])))
+            if not still.any():
+                break
+    return out
+
+
+def _everywhere(x: np.ndarray) -> np.ndarray:
+    """Spans that cover a sequence of any length."""
+    return (np.arange(0, len(x), _CLIP) << 32) | _CLIP
+
+
+def common_kinds(xs: list, ps: list, free: list) -> tuple[np.ndarray, np.ndarray]:
+    """How many different shingles each of xs shares with each of ps, and how many of x's open ones."""
+
+    def places(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        value, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        at = np.searchsorted(both, value)
+        ok = both[np.minimum(at, len(both) - 1)] == value
+        return row[ok], at[ok]
+
+    both = np.intersect1d(np.concatenate(xs), np.concatenate(ps))
+    shared, fresh = np.zeros((len(xs), len(ps)), dtype=np.float32), np.zeros((len(xs), len(ps)), dtype=np.float32)
+    if not len(both):
+        return shared, fresh
+    (rx, cx), (rp, cp), (rf, cf) = places(xs), places(ps), places([x[f] for x, f in zip(xs, free, strict=True)])
+    for lo in range(0, len(both), KINDS):
+        held = []
+        for n, (r, c) in ((len(xs), (rx, cx)), (len(ps), (rp, cp)), (len(xs), (rf, cf))):
+            m = np.zeros((n, min(KINDS, len(both) - lo)), dtype=np.float32)
+            k = (c >= lo) & (c < lo + KINDS)
+            m[r[k], c[k] - lo] = 1
+            held.append(m)
+        shared += held[0] @ held[1].T
+        fresh += held[2] @ held[1].T
+    return shared, fresh
+
+
 def pair_up(lists: DataFrame) -> DataFrame:
     return lists.filter("doc <> pivot").groupBy("doc", "pivot").agg(F.collect_set("span").alias("x_spans"), F.collect_set("pivot_span").alias("p_spans"))
 
@@ -377,7 +550,9 @@ def repeated_passages(docs: DataFrame, hashes: int = HASHES, rounds: int = ROUND
     if numbers.isEmpty():
         return _passages(base, hashes, rounds).withColumn("text_hash", F.lit(None).cast("long"))
     own = base.join(numbers, (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("text_hash")), "left").select(F.coalesce("doc", "doc_id").alias("doc_id"), "text")
+    own = materialise(own, "passage-own")
     found = _passages(own, hashes, rounds)
+    discard(own)
     keeper = numbers.select(F.col("doc").alias("k"), F.col("id").alias("kid"))
     found = found.join(numbers, found.doc_id == numbers.doc, "left").join(keeper, found.keeper_doc_id == keeper.k, "left")
     return found.select(F.coalesce("id", "doc_id").alias("doc_id"), "start_word", "end_word", F.coalesce("kid", "keeper_doc_id").alias("keeper_doc_id"), "keeper_start", "similarity", "text_hash")
@@ -387,13 +562,9 @@ def _passages(docs: DataFrame, hashes: int, rounds: int) -> DataFrame:
     """The matches of docs(doc_id, text), each id with one text."""
     parts = partitions(docs)
     whole = lists = materialise(scan_lists(windows(docs, hashes), parts), "passage-lists")
-    found = texts = None
+    texts, found = one_text(docs), None
     for n in range(rounds):
         pairs = materialise(pair_up(lists), "passage-pairs")
-        if texts is None:
-            ids = materialise(lists.select(F.explode(F.array("doc", "pivot")).alias("doc_id")).distinct(), "passage-ids")
-            texts = materialise(among(docs, ids, "doc_id").dropDuplicates(["doc_id"]).join(ids, "doc_id").select("doc_id", "text"), "passage-texts")
-            discard(ids)
         new = materialise(compare(pairs, texts), "passage-matches")
         found = new if found is None else found.unionByName(new)
         if n + 1 < rounds:
@@ -403,13 +574,22 @@ def _passages(docs: DataFrame, hashes: int, rounds: int) -> DataFrame:
         discard(pairs)
         if lists.isEmpty():
             break
-    found = found.unionByName(exact_rest(whole, found, texts, parts))
-    discard(whole, texts)
     if lists is not whole:
         discard(lists)
+    found = found.unionByName(rest(whole, found, texts, parts))
+    discard(whole, texts)
     return found.dropDuplicates(["doc_id", "start_word", "end_word", "keeper_doc_id"])
 
 
+def one_text(docs: DataFrame) -> DataFrame:
+    """docs with each id once: as they are, if none is repeated."""
+    several = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if several.isEmpty():
+        return docs
+    twice = docs.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return materialise(docs.join(several, "doc_id", "left_anti").unionByName(twice), "passage-texts")
+
+
 def cut(docs: DataFrame, matches: DataFrame) -> DataFrame:
     """docs without the repeated passages, n_chars renewed where a text changed; a document with nothing left goes."""
     spans = matches.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))

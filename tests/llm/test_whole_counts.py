@@ -1,6 +1,8 @@
 """What a part of the input holds too little of to send on still counts in the whole."""
 
-from claimforge.llm import html
+import numpy as np
+
+from claimforge.llm import html, passages
 
 
 def test_template_blocks_rare_in_one_part_of_the_pages(spark):
@@ -17,3 +19,40 @@ def test_template_blocks_rare_in_one_part_of_the_pages(spark):
     assert [x.rpartition(">")[2] for x in blocks] == ["Read our terms of use."] and t.template.pages == 60
     whole = html.templates(pages.coalesce(1)).collect()
     assert whole[0].template.slot == t.template.slot and sorted(map(str, whole[0].template.classes)) == sorted(map(str, t.template.classes))
+
+
+def test_near_passages_behind_decoys_of_all_their_runs_are_found(spark):
+    """Near passages without 50 equal words, each run of which three earlier documents hold alone, are found as without those."""
+    rng = np.random.default_rng(8)
+
+    def fresh(n):
+        return ["w" + str(x) for x in rng.integers(0, 1 << 40, n)]
+
+    alone, behind, pairs = [], [], []
+    for g in range(12):
+        runs = [fresh(35), fresh(48), fresh(35)]
+        for run in runs * 3:
+            behind.append((100 * g + len(behind) % 100, " ".join([*fresh(60), *run, *fresh(60)])))
+        both = [(100000 + 10 * g + k, " ".join([*fresh(60), *runs[0], *fresh(1), *runs[1], *fresh(1), *runs[2], *fresh(60)])) for k in (0, 1)]
+        alone, behind = alone + both, behind + both
+        pairs.append((both[1][0], both[0][0]))
+
+    def found(rows):
+        out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert all(r.similarity >= 0.8 for r in out)
+        return {(r.doc_id, r.keeper_doc_id) for r in out if r.end_word - r.start_word >= 100}
+
+    whole = found(alone)
+    assert whole <= set(pairs) and len(whole) >= 8
+    assert found(behind) == whole
+
+
+def test_stretch_kinds_and_uncovered_match_their_definitions():
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 60, 300).astype(np.uint64)
+    assert passages.stretch_kinds(x).tolist() == [len(set(x[i : i + passages.LEAST].tolist())) for i in range(300 - passages.LEAST + 1)]
+    free = passages.uncovered(30, [{"start_word": 3, "end_word": 12}, {"start_word": 20, "end_word": 40}])
+    assert free.tolist() == [not (3 <= i <= 7 or 20 <= i) for i in range(30)]
+    a, b = [np.arange(5, dtype=np.uint32), np.array([9], np.uint32)], [np.array([3, 3, 4, 8], np.uint32)]
+    shared, fresh = passages.common_kinds(a, b, [np.array([1, 1, 1, 1, 0], bool), np.array([1], bool)])
+    assert shared.tolist() == [[2], [0]] and fresh.tolist() == [[1], [0]]
