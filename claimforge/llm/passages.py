@@ -52,7 +52,7 @@ GAP = 12  # missing shingles between shared ones of one stretch: two changed wor
 LATER = 1 << 62  # further texts of a repeated id are numbered from here
 U64 = np.uint64
 _CLIP = 0xFFFF
-BLOCK, KINDS = 2048, 4096  # rows of a list, and shingles, that are compared at a time
+BLOCK, KINDS, CELLS = 2048, 4096, 1 << 20  # rows of a list, and shingles, that are compared at a time, and places of those that may be similar
 _HULL = 0x8000
 
 
@@ -480,25 +480,64 @@ def similar_in(seeks: np.ndarray, doc: np.ndarray, span: np.ndarray, least: np.n
     shared, fresh = common_kinds([kinds[i] for i in xs], [kinds[j] for j in ps], [free[i][: len(kinds[i])] for i in xs])
     enough = np.ceil(SIMILARITY * least[xs] - 1e-9)
     i, j = np.nonzero((shared >= enough[:, None]) & (fresh > 0) & (doc[ps][None, :] < doc[xs][:, None]))
-    out = []
+    out, known, numbers = [], {}, {}
+    same = np.array([numbers.setdefault(k.tobytes(), len(numbers)) for k in kinds])  # equal windows have one number
     for row in np.unique(i).tolist():
         at = xs[row]
         x, still = kinds[at], free[at][: len(kinds[at])].copy()
-        for k in sorted(ps[j[i == row]].tolist(), key=lambda k: int(doc[k])):
-            p = kinds[k]
-            if not np.isin(x[still], p).any():
-                continue
-            new = False
-            for s, e, _, _ in shared_passages(x, p, _everywhere(x), _everywhere(p)):
-                new |= bool(still[s : e - WIDTH + 1].any())
-                still[s : e - WIDTH + 1] = False
-            if new:
-                out.append((int(doc[at]), int(span[at]), int(doc[k]), int(span[k])))
-            if not still.any():
-                break
+        near = ps[j[i == row]]
+        near = near[np.argsort(doc[near], kind="stable")]
+        near = near[np.sort(np.unique(same[near], return_index=True)[1])]  # what the first of equal windows doesn't give, no other does
+        step = max(1, CELLS // len(x))
+        for lo in range(0, len(near), step):
+            some = near[lo : lo + step]
+            hit = may_hold(x, [kinds[k] for k in some])
+            for k in np.flatnonzero((hit & still).any(axis=1)).tolist():
+                if not (hit[k] & still).any():
+                    continue
+                new, other = False, some[k]
+                pair = (same[at], same[other])
+                if pair not in known:
+                    known[pair] = shared_passages(x, kinds[other], _everywhere(x), _everywhere(kinds[other]))
+                for s, e, _, _ in known[pair]:
+                    new |= bool(still[s : e - WIDTH + 1].any())
+                    still[s : e - WIDTH + 1] = False
+                if new:
+                    out.append((int(doc[at]), int(span[at]), int(doc[other]), int(span[other])))
     return out
 
 
+def may_hold(x: np.ndarray, others: list) -> np.ndarray:
+    """For each of ``others``, the places of x that it shares and that may lie in a similar part: a part of the least length or more
+    in which the shared places outweigh the missing ones as _similar_parts has it (missing ones that x repeats weigh nothing)."""
+    v, back, times = np.unique(x, return_inverse=True, return_counts=True)
+    value, row = np.concatenate(others), np.repeat(np.arange(len(others)), [len(o) for o in others])
+    at = np.minimum(np.searchsorted(v, value), len(v) - 1)
+    ok = v[at] == value
+    held = np.zeros((len(others), len(v)), dtype=bool)
+    held[row[ok], at[ok]] = True
+    hit = held[:, back]
+    k, n = hit.shape
+    if n < LEAST:
+        return np.zeros_like(hit)
+    place = np.arange(n)
+    before = np.maximum.accumulate(np.where(hit, place, -n), axis=1)
+    gap = np.zeros_like(hit)  # the last of missing ones that are too many for one stretch
+    gap[:, :-1] = hit[:, 1:] & (place[1:] - before[:, :-1] > GAP)
+    weight = np.where(hit, 1, np.where(times[back] == 1, -round(SIMILARITY / (1 - SIMILARITY)), 0)) - gap * (2 * n)
+    total = np.zeros((k, n + 1), dtype=np.int64)
+    np.cumsum(weight, axis=1, out=total[:, 1:])
+    low, high = np.full((k, n), -1), np.full((k, n), n)  # the last start of a part up to a place, and the first end from it on
+    starts = np.maximum.accumulate(total[:, : LEAST - 1 : -1], axis=1)[:, ::-1] >= total[:, : n + 1 - LEAST]
+    ends = np.minimum.accumulate(total[:, : n + 1 - LEAST], axis=1) <= total[:, LEAST:]
+    low[:, : n + 1 - LEAST] = np.where(starts, place[: n + 1 - LEAST], -1)
+    high[:, LEAST - 1 :] = np.where(ends, place[LEAST - 1 :], n)
+    low, high = np.maximum.accumulate(low, axis=1), np.minimum.accumulate(high[:, ::-1], axis=1)[:, ::-1]
+    group = np.cumsum(gap, axis=1)
+    same = [np.take_along_axis(group, np.clip(c, 0, n - 1), axis=1) == group for c in (low, high)]
+    return hit & (low >= 0) & (high < n) & same[0] & same[1]
+
+
 def _everywhere(x: np.ndarray) -> np.ndarray:
     """Spans that cover a sequence of any length."""
     return (np.arange(0, len(x), _CLIP) << 32) | _CLIP

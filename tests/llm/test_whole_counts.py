@@ -56,3 +56,16 @@ def test_stretch_kinds_and_uncovered_match_their_definitions():
     a, b = [np.arange(5, dtype=np.uint32), np.array([9], np.uint32)], [np.array([3, 3, 4, 8], np.uint32)]
     shared, fresh = passages.common_kinds(a, b, [np.array([1, 1, 1, 1, 0], bool), np.array([1], bool)])
     assert shared.tolist() == [[2], [0]] and fresh.tolist() == [[1], [0]]
+
+
+def test_may_hold_loses_no_similar_part():
+    rng = np.random.default_rng(11)
+    for n in (60, 200):
+        for _ in range(60):
+            x = rng.integers(0, rng.choice([70, 1 << 30]), n).astype(np.uint32)
+            others = [np.where(rng.random(n) < r, rng.integers(0, 1 << 30, n), x).astype(np.uint32)[rng.integers(0, 9) :] for r in (0.05, 0.15, 0.3)]
+            hit = passages.may_hold(x, others)
+            for h, p in zip(hit, others, strict=True):
+                for s, e, _, _ in passages.shared_passages(x, p, passages._everywhere(x), passages._everywhere(p)):
+                    inside = np.isin(x, p) & (np.arange(n) >= s) & (np.arange(n) <= e - passages.WIDTH)
+                    assert (h[inside]).all()
