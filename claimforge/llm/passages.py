@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from claimforge.llm.io import among, discard, materialise, partitions
-from claimforge.llm.kernel import Words, chunks, mix, shingles, string_buffers
+from claimforge.llm.kernel import Words, chunks, mix, shingles, string_buffers, tidy
 
 WIDTH, MIN_WORDS, SIMILARITY, HASHES, SIDE, ROUNDS = 5, 50, 0.8, 2, 20, 2
 LEAST = MIN_WORDS - WIDTH + 1  # shingles
@@ -54,6 +54,7 @@ U64 = np.uint64
 _CLIP = 0xFFFF
 BLOCK, KINDS, CELLS = 2048, 4096, 1 << 20  # rows of a list, and shingles, that are compared at a time, and places of those that may be similar
 _HULL = 0x8000
+_TABLE, _KNOWN = 22, 1 << 14  # bits of the places for kinds of some groups; results of pairs of windows that are kept
 
 
 def window_minima(packed: np.ndarray, length: int) -> np.ndarray:
@@ -176,62 +177,102 @@ def _covered(spans: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def shared_passages(x: np.ndarray, p: np.ndarray, x_spans: np.ndarray, p_spans: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """Passages of x that p holds within the windows: (first word, end word, first word in p, similarity)."""
-    rx, rp = np.flatnonzero(_covered(x_spans, len(x))), np.flatnonzero(_covered(p_spans, len(p)))
-    if not len(rx) or not len(rp):
+class Sequence:
+    """A text's shingles, with what comparing them with many others needs: their order by value, and where each occurred before."""
+
+    def __init__(self, value: np.ndarray):
+        self.value, self.order = value, np.argsort(value, kind="stable")
+        self.sorted = value[self.order]
+        self.before = _before(value, self.order)
+
+
+def _before(value: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """The place before that holds the same value, or -1: a stretch from s on has as many kinds as places with one below s."""
+    order = np.argsort(value, kind="stable") if order is None else order
+    out = np.full(len(value), -1)
+    again = np.flatnonzero(value[order[1:]] == value[order[:-1]])
+    out[order[again + 1]] = order[again]
+    return out
+
+
+def shared_passages(x: np.ndarray | Sequence, p: np.ndarray | Sequence, x_spans: np.ndarray | None, p_spans: np.ndarray | None, among: np.ndarray | None = None) -> list[tuple[int, int, int, float]]:
+    """Passages of x that p holds within the windows (None: everywhere): (first word, end word, first word in p, similarity).
+    With ``among``, stretches without any of these places of x may be left out."""
+    x, p = (t if isinstance(t, Sequence) else Sequence(t) for t in (x, p))
+    if not len(x.value) or not len(p.value):
         return []
-    order = rp[np.argsort(p[rp], kind="stable")]
-    at = np.minimum(np.searchsorted(p[order], x[rx]), len(order) - 1)
-    ok = p[order[at]] == x[rx]
-    hit, where = rx[ok], order[at[ok]]
+    order, ordered = p.order, p.sorted
+    if p_spans is not None:
+        inside = _covered(p_spans, len(p.value))[order]
+        order, ordered = order[inside], ordered[inside]
+        if not len(order):
+            return []
+    at = np.minimum(np.searchsorted(ordered, x.value), len(order) - 1)
+    ok = ordered[at] == x.value
+    if x_spans is not None:
+        ok &= _covered(x_spans, len(x.value))
     # A shingle that p repeats goes with its first place in p.
-    out = []
-    if not len(hit):
+    hit = np.flatnonzero(ok)
+    if len(hit) < 2:
+        return []
+    where, out = order[at[hit]], []
+    cut = np.flatnonzero(hit[1:] - hit[:-1] > GAP) + 1
+    first, last = np.append(0, cut), np.append(cut, len(hit))
+    long = np.flatnonzero(hit[last - 1] - hit[first] + 1 >= LEAST)
+    if not len(long):
         return out
-    cut = np.flatnonzero(np.diff(hit) > GAP) + 1
-    for group, spot in zip(np.split(hit, cut), np.split(where, cut), strict=True):
-        s, e = int(group[0]), int(group[-1])
-        size = e - s + 1
-        if size < LEAST:
+    before = _before(x.value[hit])
+    for k in long.tolist():
+        lo, hi = int(first[k]), int(last[k])
+        s, e = int(hit[lo]), int(hit[hi - 1])
+        if among is not None and not among[s : e + 1].any():
             continue
-        similarity, lo = _similarity(x, p, group, spot)
+        similarity, start = _similarity(x, p, hit, where, before, lo, hi)
         if similarity >= SIMILARITY:
-            out.append((s, e + WIDTH, lo, similarity))
+            out.append((s, e + WIDTH, start, similarity))
             continue
+        group, spot = hit[lo:hi], where[lo:hi]
         held = np.zeros(len(group), dtype=bool)
-        for i, j, similarity, lo in _similar_parts(x, p, group, spot):
-            out.append((int(group[i]), int(group[j]) + WIDTH, lo, similarity))
+        for i, j, similarity, start in _similar_parts(x, p, hit, where, before, lo, hi):
+            out.append((int(group[i]), int(group[j]) + WIDTH, start, similarity))
             held[i : j + 1] = True
-        run = np.flatnonzero(np.diff(group) != 1) + 1
-        for g, q, h in zip(np.split(group, run), np.split(spot, run), np.split(held, run), strict=True):
-            if len(g) >= LEAST and not h.all():
-                out.append((int(g[0]), int(g[-1]) + WIDTH, int(q[0]), 1.0))
+        run = np.append(0, np.flatnonzero(group[1:] - group[:-1] != 1) + 1)
+        end = np.append(run[1:], len(group))
+        for i, j in zip(run[end - run >= LEAST].tolist(), end[end - run >= LEAST].tolist(), strict=True):
+            if not held[i:j].all():
+                out.append((int(group[i]), int(group[j - 1]) + WIDTH, int(spot[i]), 1.0))
     return out
 
 
-def _similarity(x: np.ndarray, p: np.ndarray, group: np.ndarray, spot: np.ndarray) -> tuple[float, int]:
-    """Jaccard similarity of the stretch of x from the first to the last place in ``group`` to its counterpart in p, and where that begins."""
-    s, e = int(group[0]), int(group[-1])
-    size = e - s + 1
-    kinds = len(np.unique(x[group]))
+def _similarity(x: Sequence, p: Sequence, hit: np.ndarray, where: np.ndarray, before: np.ndarray, i: int, j: int) -> tuple[float, int]:
+    """Jaccard similarity of the stretch of x from the first to the last of the places hit[i:j] to its counterpart in p, and where that begins."""
+    s, e = int(hit[i]), int(hit[j - 1])
+    kinds = int(np.count_nonzero(before[i:j] < i))
+    mine = int(np.count_nonzero(x.before[s : e + 1] < s))
+    lo, hi = _counterpart(hit[i:j], where[i:j])
+    union = mine + int(np.count_nonzero(p.before[lo : hi + 1] < lo)) - kinds
+    return kinds / max(union, 1), lo
+
+
+def _counterpart(at: np.ndarray, spot: np.ndarray) -> tuple[int, int]:
+    """First and last place in p of what answers to the stretch of x whose shared places ``at`` lie at ``spot`` there."""
+    size = int(at[-1]) - int(at[0]) + 1
     lo, hi = int(spot.min()), int(spot.max())
     if hi - lo + 1 > 2 * size:
-        lo = int(np.median(spot - group)) + s
+        lo = int(np.median(spot - at)) + int(at[0])
         hi = lo + size - 1
-    lo = max(lo, 0)
-    union = len(np.unique(x[s : e + 1])) + len(np.unique(p[lo : hi + 1])) - kinds
-    return float(kinds / max(union, 1)), lo
+    return max(lo, 0), hi
 
 
-def _similar_parts(x: np.ndarray, p: np.ndarray, group: np.ndarray, spot: np.ndarray) -> list[tuple[int, int, float, int]]:
-    """Longest parts (from, to, similarity, place in p) of a stretch that are similar, enough of them to cover all such parts.
+def _similar_parts(x: Sequence, p: Sequence, hit: np.ndarray, where: np.ndarray, before: np.ndarray, start: int, stop_: int) -> list[tuple[int, int, float, int]]:
+    """Longest parts (from, to, similarity, place in p) of the stretch hit[start:stop_] that are similar, enough of them to cover all such parts.
 
     A part is similar where shared shingles outweigh missing ones (of either text) by SIMILARITY : 1 - SIMILARITY, a sum
     over its steps: with a = sum up to its end and b = sum before its start, the furthest end of a start is the last a >= b.
     """
-    step = np.diff(spot)
-    missing = np.append(0, np.diff(group) - 1 + np.where((step > 0) & (step <= GAP + 1), step - 1, 0))
+    group, spot = hit[start:stop_], where[start:stop_]
+    step = spot[1:] - spot[:-1]
+    missing = np.append(0, group[1:] - group[:-1] - 1 + np.where((step > 0) & (step <= GAP + 1), step - 1, 0))
     weight = round(SIMILARITY / (1 - SIMILARITY))
     place, cost = np.arange(len(group)), weight * np.cumsum(missing)
     a, b = place + 1 - cost, place - cost
@@ -243,7 +284,7 @@ def _similar_parts(x: np.ndarray, p: np.ndarray, group: np.ndarray, spot: np.nda
         stop = max(k + 1, int(np.searchsorted(first, end + 1, side="right")))
         for m in range(stop - 1, k - 1, -1):
             i, j = int(first[m]), int(far[first[m]])
-            similarity, lo = _similarity(x, p, group[i : j + 1], spot[i : j + 1])
+            similarity, lo = _similarity(x, p, hit, where, before, start + i, start + j + 1)
             if similarity >= SIMILARITY:
                 out.append((i, j, similarity, lo))
                 end = j
@@ -259,7 +300,7 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Matches of pairs(doc, pivot, x_spans, p_spans) by the texts(doc_id, text)."""
 
     def sequences(t, column: str, ids: str):
-        """(number of each row's sequence, shingle sequences), made once for equal neighbours."""
+        """(number of each row's sequence, the sequences), made once for equal neighbours."""
         who = t.column(ids).to_numpy()
         new = np.ones(len(who), dtype=bool)
         new[1:] = who[1:] != who[:-1]
@@ -437,15 +478,19 @@ def stretch_kinds(x: np.ndarray) -> np.ndarray:
 
 def similar_rows(rows: DataFrame, parts: int) -> DataFrame:
     """(doc, span, pivot, pivot_span): rows of a list that need a match, with those of smaller ids that give it one where none lies."""
-    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    seek = rows.filter("need").withColumn("other", every).select("key", F.col("own").alias("x"), F.col("other").alias("p"), F.lit(True).alias("seeks"), "doc", "span", "kinds", "open", "least")
-    hold = rows.withColumn("other", every).select("key", F.col("other").alias("x"), F.col("own").alias("p"), F.lit(False).alias("seeks"), "doc", "span", "kinds", F.lit(None).cast("binary").alias("open"), "least")
-    names = ("key", "x", "p", "seeks", "doc", "span", "least")
+    size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("kinds")) / (4 * CELLS))
+    rows = rows.join(rows.groupBy("key").agg(F.ceil(size).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    # A row goes to the groups (x, p) of its block, to seek as one of x or to be held against as one of p; once, where it is both.
+    other, none = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), F.lit(None).cast("binary")
+    some = ("doc", "span", "kinds", "least")
+    hold = rows.withColumn("other", other).withColumn("seeks", F.col("need") & (F.col("other") == F.col("own")))
+    hold = hold.select("key", F.col("other").alias("x"), F.col("own").alias("p"), "seeks", F.lit(True).alias("holds"), *some, F.when(F.col("seeks"), F.col("open")).alias("open"))
+    seek = rows.filter("need AND blocks > 1").withColumn("other", other).filter("other <> own")
+    seek = seek.select("key", F.col("own").alias("x"), F.col("other").alias("p"), F.lit(True).alias("seeks"), F.lit(False).alias("holds"), *some, "open")
+    names = ("key", "x", "p", "seeks", "holds", "doc", "span", "least")
 
     def run(it):
-        cols, kinds, free = None, [], []
+        cols, kinds, free, shingles = None, [], [], 0
         for b in it:
             if not b.num_rows:
                 continue
@@ -453,89 +498,308 @@ def similar_rows(rows: DataFrame, parts: int) -> DataFrame:
             cols = own if cols is None else [np.concatenate(c) for c in zip(cols, own, strict=True)]
             kinds += [np.frombuffer(k, np.uint32) for k in b.column("kinds").to_pylist()]
             free += [f and np.unpackbits(np.frombuffer(f, np.uint8)).astype(bool) for f in b.column("open").to_pylist()]
-            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
-            found, lo = [], 0
-            for hi in cut.tolist():
-                found += similar_in(*(c[lo:hi] for c in cols[3:]), kinds[lo:hi], free[lo:hi])
-                lo = hi
-            cols, kinds, free = [c[lo:] for c in cols], kinds[lo:], free[lo:]
-            if found:
-                yield pairs_of(found)
-        if cols is not None and (found := similar_in(*cols[3:], kinds, free)):
-            yield pairs_of(found)
+            shingles += sum(len(k) for k in kinds[-b.num_rows :])
+            new = np.append(True, np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0))
+            hi = int(np.flatnonzero(new)[-1])
+            if shingles >= CELLS and hi:  # the last group may go on
+                yield from pairs_of(similar_in(np.cumsum(new[:hi]), *(c[:hi] for c in cols[3:]), kinds[:hi], free[:hi]))
+                cols, kinds, free = [c[hi:] for c in cols], kinds[hi:], free[hi:]
+                shingles = sum(len(k) for k in kinds)
+                tidy()
+        if cols is not None:
+            new = np.append(True, np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0))
+            yield from pairs_of(similar_in(np.cumsum(new), *cols[3:], kinds, free))
 
     def pairs_of(found):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["doc", "span", "pivot", "pivot_span"])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["doc", "span", "pivot", "pivot_span"])
 
-    dealt = seek.unionByName(hold).repartition(parts, "key", "x", "p").sortWithinPartitions("key", "x", "p", "doc")
+    dealt = hold.unionByName(seek).repartition(parts, "key", "x", "p").sortWithinPartitions("key", "x", "p", "doc", "span")
     return dealt.mapInArrow(run, "doc long, span long, pivot long, pivot_span long")
 
 
-def similar_in(seeks: np.ndarray, doc: np.ndarray, span: np.ndarray, least: np.ndarray, kinds: list, free: list) -> list[tuple[int, int, int, int]]:
-    """(doc, span, pivot, pivot_span) of one group: for each seeking row, those of smaller ids that share a similar passage which
-    is in part open to it; what one gives is no longer open to the next."""
-    xs, ps = np.flatnonzero(seeks), np.flatnonzero(~seeks)
-    if not len(xs) or not len(ps) or doc[ps].min() >= doc[xs].max():
-        return []
-    shared, fresh = common_kinds([kinds[i] for i in xs], [kinds[j] for j in ps], [free[i][: len(kinds[i])] for i in xs])
-    enough = np.ceil(SIMILARITY * least[xs] - 1e-9)
-    i, j = np.nonzero((shared >= enough[:, None]) & (fresh > 0) & (doc[ps][None, :] < doc[xs][:, None]))
+def similar_in(group: np.ndarray, seeks: np.ndarray, holds: np.ndarray, doc: np.ndarray, span: np.ndarray, least: np.ndarray, kinds: list, free: list) -> list[tuple[int, int, int, int]]:
+    """(doc, span, pivot, pivot_span) of groups, each in the order of doc: for each seeking row, the holding ones of smaller ids that
+    share a similar passage which is in part open to it; what one gives is no longer open to the next.
+
+    First every seeking row is held against all that any row of a smaller id has; only what may be similar to that is compared by row.
+    """
+    out: list[tuple[int, int, int, int]] = []
+    xs = np.flatnonzero(seeks)
+    if not len(xs) or not holds.any():
+        return out
+    lengths = np.array([len(k) for k in kinds])
+    value, row = np.concatenate(kinds), np.repeat(np.arange(len(kinds)), lengths)
+    bounds = np.append(0, np.cumsum(lengths))
+    # a place of a table for each kind in each group; kinds that meet in one only let more pass
+    slot = (value ^ (group.astype(np.uint32) * np.uint32(0x9E3779B1))[row]) * np.uint32(0x85EBCA6B) >> np.uint32(32 - _TABLE)
+    first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (doc[1:] != doc[:-1])))
+    rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(doc)))).astype(np.int32)  # of the document
+    earliest = np.full(1 << _TABLE, len(doc), dtype=np.int32)
+    back = np.flatnonzero(holds[row])[::-1]
+    earliest[slot[back]] = rank[row[back]]  # the last one written is the first document
+    at = np.flatnonzero(seeks[row])
+    held = earliest[slot[at]] < rank[row[at]]
+    open_ = np.concatenate([free[i][: lengths[i]] for i in xs])
+    few = np.add.reduceat(held, np.append(0, np.cumsum(lengths[xs])[:-1])) < np.ceil(SIMILARITY * least[xs] - 1e-9)
+    held &= ~np.repeat(few, lengths[xs])
+    may = np.zeros(len(value), dtype=bool)
+    may[at] = similar_places(value[at], held, row[at])
+    fresh = np.zeros(len(value), dtype=bool)
+    fresh[at] = may[at] & open_
+    left = xs[np.add.reduceat(fresh[at], np.append(0, np.cumsum(lengths[xs])[:-1])) > 0]
+    if not len(left):
+        return out
+    wanted = np.zeros(1 << _TABLE, dtype=bool)
+    keep = np.zeros(len(kinds), dtype=bool)
+    keep[left] = True
+    wanted[slot[may & keep[row]]] = True
+    use = wanted[slot] & holds[row]
+    edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+    for n in np.unique(np.searchsorted(edges, left, side="right") - 1).tolist():
+        lo, hi = int(edges[n]), int(edges[n + 1])
+        span_of = slice(bounds[lo], bounds[hi])
+        mine = left[(left >= lo) & (left < hi)]
+        out += _similar_to(mine, lo, hi, holds, doc, span, least, kinds, free, bounds, may, fresh, value[span_of][use[span_of]], row[span_of][use[span_of]])
+    return out
+
+
+def _similar_to(xs, lo, hi, holds, doc, span, least, kinds, free, bounds, may, fresh, value, row) -> list[tuple[int, int, int, int]]:
+    """The pairs of similar_in in the group of rows lo to hi for its seeking rows ``xs``; (value, row) are the kinds that may count."""
     out, known, numbers = [], {}, {}
-    same = np.array([numbers.setdefault(k.tobytes(), len(numbers)) for k in kinds])  # equal windows have one number
-    for row in np.unique(i).tolist():
-        at = xs[row]
-        x, still = kinds[at], free[at][: len(kinds[at])].copy()
-        near = ps[j[i == row]]
-        near = near[np.argsort(doc[near], kind="stable")]
-        near = near[np.sort(np.unique(same[near], return_index=True)[1])]  # what the first of equal windows doesn't give, no other does
-        step = max(1, CELLS // len(x))
-        for lo in range(0, len(near), step):
-            some = near[lo : lo + step]
-            hit = may_hold(x, [kinds[k] for k in some])
-            for k in np.flatnonzero((hit & still).any(axis=1)).tolist():
-                if not (hit[k] & still).any():
-                    continue
-                new, other = False, some[k]
-                pair = (same[at], same[other])
+    same = np.array([numbers.setdefault(k.tobytes(), len(numbers)) for k in kinds[lo:hi]])  # equal windows have one number
+    ps = lo + np.flatnonzero(holds[lo:hi])
+    ps = ps[np.sort(np.unique(same[ps - lo], return_index=True)[1])]  # what the first of equal windows doesn't give, no other does
+    place = np.full(hi - lo, -1)
+    place[ps - lo] = np.arange(len(ps))
+    row = place[row - lo]
+    value, row = value[row >= 0], row[row >= 0]
+    both = np.unique((value.astype(U64) << U64(32)) | row.astype(U64))
+    value, row = (both >> U64(32)).astype(np.uint32), (both & U64(0xFFFFFFFF)).astype(np.int64)
+    head = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, dtype=np.int64)
+    names, head = value[head], np.append(head, len(value))
+
+    def holders(some: np.ndarray) -> np.ndarray:
+        """How many of the kinds each of ps has."""
+        total = np.zeros(len(ps), dtype=np.int64)
+        some = np.unique(some)
+        c = np.searchsorted(names, some)
+        c = c[names[np.minimum(c, len(names) - 1)] == some] if len(names) else c[:0]
+        sizes = np.diff(head)[c]
+        step = max(1, CELLS // len(ps))
+        for k in range(0, len(c), step):
+            n = sizes[k : k + step]
+            ends = np.cumsum(n)
+            total += np.bincount(row[np.arange(int(ends[-1])) + np.repeat(head[c[k : k + step]] - ends + n, n)], minlength=len(ps))
+        return total
+
+    made: dict[int, Sequence] = {}
+
+    def sequence_of(i: int) -> Sequence:
+        if (n := int(same[i - lo])) not in made:
+            if len(made) >= _KNOWN // 16:
+                made.clear()
+            made[n] = Sequence(kinds[i])
+        return made[n]
+
+    for at in xs.tolist():
+        x, own = kinds[at], slice(bounds[at], bounds[at + 1])
+        still = free[at][: len(x)].copy()
+        near = np.flatnonzero((doc[ps] < doc[at]) & (holders(x[may[own]]) >= np.ceil(SIMILARITY * least[at] - 1e-9)))
+        if len(near):
+            near = near[holders(x[fresh[own]])[near] > 0]
+        step, most = 4, max(1, CELLS // (8 * len(x)))
+        while len(near):
+            some, near = near[:step], near[step:]
+            for n in np.flatnonzero(may_give(x, [kinds[k] for k in ps[some]], still, lambda n, some=some: sequence_of(int(ps[some[n]])))).tolist():
+                new, other = False, ps[some[n]]
+                pair = (same[at - lo], same[other - lo], still.tobytes())
                 if pair not in known:
-                    known[pair] = shared_passages(x, kinds[other], _everywhere(x), _everywhere(kinds[other]))
+                    if len(known) >= _KNOWN:
+                        known.clear()
+                    known[pair] = shared_passages(sequence_of(at), sequence_of(other), None, None, still)
                 for s, e, _, _ in known[pair]:
                     new |= bool(still[s : e - WIDTH + 1].any())
                     still[s : e - WIDTH + 1] = False
-                if new:
+                if new:  # only what holds something still open goes on
                     out.append((int(doc[at]), int(span[at]), int(doc[other]), int(span[other])))
+                    near = np.append(some[n + 1 :], near)
+                    near = near[holders(x[fresh[own] & still])[near] > 0] if len(near) else near
+                    break
+            step = min(4 * step, most)
+    return out
+
+
+def similar_places(x: np.ndarray, hit: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The places that may_hold gives for rows of shingles one behind the other, by what each holds of its row."""
+    out = np.zeros(len(x), dtype=bool)
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return out
+    cut = np.flatnonzero((np.diff(at) > GAP + 1) | (row[at[1:]] != row[at[:-1]])) + 1
+    s, e = at[np.append(0, cut)], at[np.append(cut - 1, len(at) - 1)] + 1
+    s, e = s[e - s >= LEAST], e[e - s >= LEAST]
+    if not len(s):
+        return out
+    size = e - s
+    start = np.append(0, np.cumsum(size)[:-1])
+    part = np.repeat(np.arange(len(s)), size)
+    src = np.arange(int(size.sum())) + np.repeat(s - start, size)
+    both = (row[src].astype(U64) << U64(32)) | x[src].astype(U64)
+    _, back, times = np.unique(both, return_inverse=True, return_counts=True)
+    hits = hit[src]
+    weight = np.where(hits, 1, np.where(times[back] == 1, -round(SIMILARITY / (1 - SIMILARITY)), 0))
+    # prefix sums, one more than places for each part, shifted so that each part lies below the one before
+    first = start + np.arange(len(s))
+    total = np.zeros(len(src) + len(s), dtype=np.int64)
+    total[np.arange(len(src)) + part + 1] = weight
+    total = np.cumsum(total)
+    of = np.repeat(np.arange(len(s)), size + 1)
+    total -= total[first][of]
+    top, low = np.maximum.reduceat(total, first), np.minimum.reduceat(total, first)
+    total += np.append(0, np.cumsum(low[:-1] - top[1:] - 1))[of]
+    best, least = np.maximum.accumulate(total[::-1])[::-1], np.minimum.accumulate(total)
+    n, place = len(total), np.arange(len(total))
+    starts, ends = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    starts[: n - LEAST] = best[LEAST:] >= total[: n - LEAST]
+    ends[LEAST:] = least[: n - LEAST] <= total[LEAST:]
+    begin = np.maximum.accumulate(np.where(starts, place, -1))
+    end = np.minimum.accumulate(np.where(ends, place, n)[::-1])[::-1]
+    q = np.arange(len(src)) + part
+    ok = (begin[q] >= first[part]) & (end[q + 1] < (first + size + 1)[part])
+    out[src[hits & ok]] = True
     return out
 
 
 def may_hold(x: np.ndarray, others: list) -> np.ndarray:
     """For each of ``others``, the places of x that it shares and that may lie in a similar part: a part of the least length or more
     in which the shared places outweigh the missing ones as _similar_parts has it (missing ones that x repeats weigh nothing)."""
+    where, times = first_places(x, others)
+    hit = where >= 0
+    row, at = np.nonzero(hit)
+    out = np.zeros_like(hit)
+    out[row, at] = _in_parts(row, at, np.where(times == 1, -round(SIMILARITY / (1 - SIMILARITY)), 0))
+    return out
+
+
+def first_places(x: np.ndarray, others: list) -> tuple[np.ndarray, np.ndarray]:
+    """(for each of ``others`` and each place of x, where the other first holds its shingle, or -1; how often x holds it)."""
     v, back, times = np.unique(x, return_inverse=True, return_counts=True)
-    value, row = np.concatenate(others), np.repeat(np.arange(len(others)), [len(o) for o in others])
+    size = np.array([len(o) for o in others])
+    value, row = np.concatenate(others), np.repeat(np.arange(len(others)), size)
+    place = np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
     at = np.minimum(np.searchsorted(v, value), len(v) - 1)
-    ok = v[at] == value
-    held = np.zeros((len(others), len(v)), dtype=bool)
-    held[row[ok], at[ok]] = True
-    hit = held[:, back]
-    k, n = hit.shape
-    if n < LEAST:
-        return np.zeros_like(hit)
-    place = np.arange(n)
-    before = np.maximum.accumulate(np.where(hit, place, -n), axis=1)
-    gap = np.zeros_like(hit)  # the last of missing ones that are too many for one stretch
-    gap[:, :-1] = hit[:, 1:] & (place[1:] - before[:, :-1] > GAP)
-    weight = np.where(hit, 1, np.where(times[back] == 1, -round(SIMILARITY / (1 - SIMILARITY)), 0)) - gap * (2 * n)
-    total = np.zeros((k, n + 1), dtype=np.int64)
-    np.cumsum(weight, axis=1, out=total[:, 1:])
-    low, high = np.full((k, n), -1), np.full((k, n), n)  # the last start of a part up to a place, and the first end from it on
-    starts = np.maximum.accumulate(total[:, : LEAST - 1 : -1], axis=1)[:, ::-1] >= total[:, : n + 1 - LEAST]
-    ends = np.minimum.accumulate(total[:, : n + 1 - LEAST], axis=1) <= total[:, LEAST:]
-    low[:, : n + 1 - LEAST] = np.where(starts, place[: n + 1 - LEAST], -1)
-    high[:, LEAST - 1 :] = np.where(ends, place[LEAST - 1 :], n)
-    low, high = np.maximum.accumulate(low, axis=1), np.minimum.accumulate(high[:, ::-1], axis=1)[:, ::-1]
-    group = np.cumsum(gap, axis=1)
-    same = [np.take_along_axis(group, np.clip(c, 0, n - 1), axis=1) == group for c in (low, high)]
-    return hit & (low >= 0) & (high < n) & same[0] & same[1]
+    ok = np.flatnonzero(v[at] == value)[::-1]
+    where = np.full((len(others), len(v)), -1, dtype=np.int32)
+    where[row[ok], at[ok]] = place[ok]  # the first one is written last
+    return where[:, back], times[back]
+
+
+def _stretches(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the runs of shared places (row, at) without too large a gap and of the least length."""
+    cut = np.flatnonzero((at[1:] - at[:-1] > GAP) | (row[1:] != row[:-1])) + 1
+    first, end = np.append(0, cut), np.append(cut, len(at))
+    ok = at[end - 1] - at[first] + 1 >= LEAST
+    return first[ok], end[ok]
+
+
+def _in_parts(row: np.ndarray, at: np.ndarray, loss: np.ndarray) -> np.ndarray:
+    """Which of the shared places (row, at), in order, may lie in a similar part, where a missing place of x weighs ``loss``."""
+    out = np.zeros(len(at), dtype=bool)
+    if len(at):
+        total = np.append(0, np.cumsum(loss))
+        first, end = _stretches(row, at)
+        if len(first):
+            some = np.arange(int((end - first).sum())) + np.repeat(first - (np.cumsum(end - first) - (end - first)), end - first)
+            here = at[some]
+            lost = np.append(0, total[here[1:]] - total[np.minimum(here[:-1] + 1, here[1:])])
+            out[some] = _inside(np.cumsum(end - first), here, lost)[0]
+    return out
+
+
+def _inside(ends: np.ndarray, at: np.ndarray, lost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For stretches of shared places that end before ``ends``, at the places ``at``, each with the weight (0 or less) that is lost
+    before it: whether it lies between a start and an end, the least length apart, that outweigh what is lost between; and
+    whether it does so together with the next."""
+    size = np.diff(np.append(0, ends))
+    first = ends - size
+    part = np.repeat(np.arange(len(ends)), size)
+    lost = lost.copy()
+    lost[first] = 0
+    a = np.cumsum(lost + 1)
+    a -= (a[first] - 1)[part]
+    top, low = np.maximum.reduceat(a, first), np.minimum.reduceat(a - 1 - lost, first)
+    # each stretch below the one before, so that running extremes need no bounds
+    a += np.append(0, np.cumsum(low[:-1] - top[1:] - 1))[part]
+    b = a - 1 - lost  # before this place, without what is lost there
+    b += lost
+    n, place = len(a), np.arange(len(a))
+    key = part * (int(at.max()) + LEAST + 1) + at
+    best, least = np.maximum.accumulate(a[::-1])[::-1], np.minimum.accumulate(b)
+    far = np.searchsorted(key, key + LEAST - 1)  # the first place that makes the least length, in this stretch or the next
+    near = np.searchsorted(key, key - LEAST + 1, side="right") - 1
+    starts = (far < n) & (best[np.minimum(far, n - 1)] >= b)
+    stops = (near >= 0) & (least[near] <= a)
+    begin = np.maximum.accumulate(np.where(starts, place, -1))
+    stop = np.minimum.accumulate(np.where(stops, place, n)[::-1])[::-1]
+    begun, goes_on = begin >= first[part], stop < ends[part]
+    on = np.zeros(n, dtype=bool)
+    on[:-1] = (part[1:] == part[:-1]) & begun[:-1] & goes_on[1:] & (best[1:] >= least[:-1])
+    return begun & goes_on & (best >= least), on
+
+
+def may_give(x: np.ndarray, others: list, still: np.ndarray, sequence) -> np.ndarray:
+    """Which of ``others`` may give x a passage with an open place: by what either text lacks, or all in a row, or the whole stretch.
+    ``sequence`` gives the Sequence of one of others by its number."""
+    where, times = first_places(x, others)
+    weight = -round(SIMILARITY / (1 - SIMILARITY))
+    row, at = np.nonzero(where >= 0)
+    ok = np.zeros(len(others), dtype=bool)
+    ok[row[_in_parts(row, at, np.where(times == 1, weight, 0)) & still[at]]] = True
+    some = ok[row]
+    row, at = row[some], at[some]
+    out = np.zeros(len(others), dtype=bool)
+    if not len(at):
+        return out
+    first, end = _stretches(row, at)
+    opened = np.append(0, np.cumsum(still))
+    use = opened[at[end - 1] + 1] > opened[at[first]]
+    first, end = first[use], end[use]
+    if not len(first):
+        return out
+    size = end - first
+    ends = np.cumsum(size)
+    some = np.arange(int(ends[-1])) + np.repeat(first - (ends - size), size)
+    row, at, begins = row[some], at[some], ends - size
+    spot = where[row, at]
+    gap, step = at[1:] - at[:-1] - 1, spot[1:] - spot[:-1]
+    lost = np.append(0, weight * (gap + np.where((step > 0) & (step <= GAP + 1), step - 1, 0)))
+    after = np.append(at[1:], 0)
+    after[ends - 1] = at[ends - 1] + 1
+    inside, on = _inside(ends, at, lost)
+    mine = still[at]
+    hit = inside & mine | on & (opened[after] > opened[at + 1])  # the place itself is open, or one before the next
+    # in a row
+    new = np.append(True, gap != 0)
+    new[begins] = True
+    heads = np.flatnonzero(new)
+    long = np.diff(np.append(heads, len(at))) >= LEAST
+    hit |= np.repeat(long, np.diff(np.append(heads, len(at)))) & mine
+    out[row[hit]] = True
+    # the whole stretch: its different shingles, by where each was before
+    rest = np.flatnonzero(~out[row[begins]])
+    if len(rest):
+        before = _before(x)
+        for k in rest.tolist():
+            lo, hi = int(begins[k]), int(ends[k])
+            s, e = int(at[lo]), int(at[hi - 1])
+            kind = before[s : e + 1] < s
+            both, own = int(np.count_nonzero(kind[at[lo:hi] - s])), int(np.count_nonzero(kind))
+            if both >= SIMILARITY * own - 1e-9:
+                low, high = _counterpart(at[lo:hi], spot[lo:hi])
+                theirs = int(np.count_nonzero(sequence(int(row[lo])).before[low : high + 1] < low))
+                out[row[lo]] |= both / max(own + theirs - both, 1) >= SIMILARITY
+    return out
 
 
 def _everywhere(x: np.ndarray) -> np.ndarray:

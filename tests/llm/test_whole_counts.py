@@ -69,3 +69,36 @@ def test_may_hold_loses_no_similar_part():
                 for s, e, _, _ in passages.shared_passages(x, p, passages._everywhere(x), passages._everywhere(p)):
                     inside = np.isin(x, p) & (np.arange(n) >= s) & (np.arange(n) <= e - passages.WIDTH)
                     assert (h[inside]).all()
+
+
+def test_lists_of_near_copies_compare_few_pairs_and_find_what_loops_find(monkeypatch):
+    """In two lists at once, one of many near copies: the pairs of a plain loop over all rows, with few comparisons of texts."""
+    rng = np.random.default_rng(5)
+    base, rows = rng.integers(0, 1 << 32, 160, dtype=np.uint32), []
+    for doc in range(120):  # own shingles in eight places each; a few share a second passage
+        x = base.copy()
+        x[rng.choice(160, 8, replace=False)] = rng.integers(0, 1 << 32, 8, dtype=np.uint32)
+        rows.append((1, doc, x))
+    second = rng.integers(0, 1 << 32, 70, dtype=np.uint32)
+    for doc in range(40):
+        own = rng.integers(0, 1 << 32, 60, dtype=np.uint32)
+        rows.append((2, doc, np.concatenate([own, second if doc % 9 == 3 else second[:20], own[:5]])))
+    group, doc = (np.array([r[k] for r in rows]) for k in (0, 1))
+    kinds = [r[2] for r in rows]
+    free = [rng.random(len(k)) < 0.9 for k in kinds]
+    seeks, span = rng.random(len(rows)) < 0.8, np.arange(len(rows))
+    least = np.array([passages.stretch_kinds(k).min() for k in kinds], dtype=np.int64)
+    plain, whole, calls = [], passages.shared_passages, []
+    for i in np.flatnonzero(seeks).tolist():
+        still = free[i].copy()
+        for j in np.flatnonzero((group == group[i]) & (doc < doc[i])).tolist():
+            found = whole(kinds[i], kinds[j], None, None)
+            held = np.isin(kinds[i], kinds[j]) & still
+            if any(held[s : e - passages.WIDTH + 1].any() for s, e, _, _ in found):
+                plain.append((int(doc[i]), i, int(doc[j]), j))
+                for s, e, _, _ in found:
+                    still[s : e - passages.WIDTH + 1] = False
+    monkeypatch.setattr(passages, "shared_passages", lambda *a: calls.append(1) or whole(*a))
+    found = passages.similar_in(group, seeks, np.ones(len(rows), bool), doc, span, least, kinds, [f if s else None for f, s in zip(free, seeks, strict=True)])
+    assert plain and sorted(found) == sorted(plain)
+    assert len(calls) <= 3 * int(seeks.sum())
