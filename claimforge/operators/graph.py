@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from claimforge.streaming.streams import dropped, stored
+
 
 def hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, hop): least number of hops from any seed, by frontier joins against an anti-joined visited set."""
@@ -29,27 +31,27 @@ def weakest_link(edges: DataFrame, seeds: DataFrame, confidence: DataFrame, dept
     return seen
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): smallest node reachable, by min-label steps with pointer jumps; checkpointed where a folder is set."""
-    spark = edges.sparkSession
-    both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select(F.col("dst").alias("u"), F.col("src").alias("v"))).distinct()
-
-    def cut(df: DataFrame) -> DataFrame:
-        return df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
-
-    both = cut(both)
-    labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")))
+def components(edges: DataFrame, rounds: int = 50, within: tuple = ()) -> DataFrame:
+    """(node, component): smallest node reachable, by min-label steps with pointer jumps; ``within`` names columns that go with every node,
+    as where the same ids are other nodes in another scope. Each round is a table in the shared folder, the one before is deleted."""
+    key = list(within)
+    sides = lambda u, v: edges.select(*key, F.col(u).alias("u"), F.col(v).alias("v"))
+    both = stored(sides("src", "dst").union(sides("dst", "src")).distinct(), "component-edges")
+    table = stored(both.groupBy(*key, "u").agg(F.least(F.min("v"), F.first("u")).alias("label")), "component-labels")
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("low"))
-        step = labels.join(near, "u").select("u", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        up = labels.select(F.col("u").alias("label"), F.col("label").alias("up"))
-        new = cut(step.join(up, "label", "left").select("u", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
-        labels = new.select("u", "label")
+        labels = table.select(*key, "u", "label")
+        low = both.join(labels.withColumnRenamed("u", "v"), [*key, "v"]).groupBy(*key, "u").agg(F.min("label").alias("low"))
+        step = labels.join(low, [*key, "u"]).select(*key, "u", F.col("label").alias("old"), F.least("label", "low").alias("label"))
+        up = labels.select(*key, F.col("u").alias("label"), F.col("label").alias("up"))
+        new = stored(step.join(up, [*key, "label"], "left").select(*key, "u", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "component-labels")
+        dropped(table)
+        table = new
         if new.filter("old <> label").isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
+    dropped(both)
+    return table.select(*key, F.col("u").alias("node"), F.col("label").alias("component"))
 
 
 def shared_entity_edges(links: DataFrame, least: int, most: int) -> DataFrame:

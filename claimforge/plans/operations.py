@@ -93,9 +93,7 @@ def _supports(spark, d):
 
 @query("g9_bounded_observations", f"WITH RECURSIVE {SUPPORTS}, {GROUPS} SELECT scope, code, count(DISTINCT component) AS components, count(DISTINCT claim_id) AS claims, count(DISTINCT evidence) AS evidence, (SELECT count(*) FROM hub h WHERE h.scope = c.scope) AS hubs FROM coded c GROUP BY scope, code")
 def g9_bounded(spark, d):
-    s = _supports(spark, d)
-    x = O.discover(s).groupBy("scope", "code").agg(F.countDistinct("component").alias("components"), F.countDistinct("claim_id").alias("claims"), F.countDistinct("evidence").alias("evidence"))
-    return x.join(O.hubs(s).groupBy("scope").agg(F.count(F.lit(1)).alias("hubs")), "scope", "left").withColumn("hubs", F.coalesce("hubs", F.lit(0)))
+    return O.totals(_supports(spark, d))
 
 
 @query("e12_observation_corpus", f"""WITH RECURSIVE {SUPPORTS}, {GROUPS}, f AS (SELECT DISTINCT component AS f, claim_id FROM coded WHERE code = 'eligible'),
@@ -105,7 +103,7 @@ def g9_bounded(spark, d):
  SELECT *, CASE WHEN found > 0 THEN round(exact / found, 6) ELSE 1.0 END AS precision, CASE WHEN expected > 0 THEN round(exact / expected, 6) ELSE 1.0 END AS recall FROM c""")
 def e12(spark, d):
     s = _supports(spark, d)
-    found = O.discover(s).filter("code = 'eligible'").select(F.col("component").alias("group"), "claim_id")
+    found = O.groups(s, "eligible")
     four = F.floor(F.col("evidence") / 4)
     expected = s.filter(four % 9 != 0).select(F.when(four % 5 == 1, F.floor(F.col("evidence") / 2)).otherwise(1000000000 + four).alias("group"), "claim_id")
     return O.agreement(found, expected)
