@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from claimforge.streaming.streams import dropped, stored
 
@@ -63,6 +63,31 @@ def shared_entity_edges(links: DataFrame, least: int, most: int) -> DataFrame:
     return a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.claim_id") < F.col("b.claim_id"))).groupBy(F.col("a.claim_id").alias("src"), F.col("b.claim_id").alias("dst")).agg(F.count(F.lit(1)).alias("shared"))
 
 
+def suggestions(links: DataFrame, most: int) -> DataFrame:
+    """links(claim_id, part) -> (a, b, shared): for each claim the ``most`` others with the most parts in common, then with the least id.
+
+    Pairs that share two parts or more meet in a pair of parts: s common parts give s (s - 1) / 2 of them. Pairs that share
+    one part never have to be listed: behind those above, a claim takes the least ids, which the ``most`` + 1 least ids of
+    each of its parts hold (it may be one of them itself). So a part of n claims is n rows, a claim of n parts n * n.
+    """
+    l = stored(links.select("claim_id", "part").filter("claim_id IS NOT NULL AND part IS NOT NULL").distinct(), "suggestion-links")
+    a, b = l.alias("a"), l.alias("b")
+    two = a.join(b, (F.col("a.claim_id") == F.col("b.claim_id")) & (F.col("a.part") < F.col("b.part"))).select(F.col("a.claim_id").alias("c"), F.col("a.part").alias("p"), F.col("b.part").alias("q"))
+    x, y = two.alias("x"), two.alias("y")
+    met = x.join(y, (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q")) & (F.col("x.c") != F.col("y.c"))).groupBy(F.col("x.c").alias("a"), F.col("y.c").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    met = met.select("a", "b", ((1 + F.sqrt(1 + 8 * F.col("n"))) / 2).cast("long").alias("shared"))
+    met = met.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("shared"), "b"))).filter(F.col("r") <= most)
+    met = stored(met.groupBy("a").agg(F.collect_list(F.struct((-F.col("shared")).alias("s"), "b")).alias("m")), "suggestion-meetings")
+    heads = l.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy("claim_id"))).filter(F.col("r") <= most + 1)
+    heads = stored(heads.groupBy("part").agg(F.collect_list("claim_id").alias("least")), "suggestion-heads")
+    one = l.join(heads.filter(F.size("least") > 1), "part").groupBy(F.col("claim_id").alias("a")).agg(F.array_distinct(F.flatten(F.collect_list("least"))).alias("b"))
+    none = F.array().cast(met.schema["m"].dataType)
+    near = F.coalesce("m", none)
+    others = F.transform(F.filter("b", lambda v: (v != F.col("a")) & ~F.exists(near, lambda m: m.b == v)), lambda v: F.struct(F.lit(-1).cast("long").alias("s"), v.alias("b")))
+    best = one.join(met, "a", "left").select("a", F.explode(F.slice(F.array_sort(F.concat(near, others)), 1, most)).alias("t"))
+    return best.select("a", F.col("t.b").alias("b"), (-F.col("t.s")).alias("shared"))
+
+
 def hebbian(supports: DataFrame) -> DataFrame:
     """Edge weights: 1.0 for the first support and 0.1 for each further distinct one; endpoints in order."""
     s = supports.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "support")

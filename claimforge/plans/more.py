@@ -465,10 +465,7 @@ def g11(spark, d):
 
 @query("g13_link_suggestions", "WITH l AS (SELECT DISTINCT claim_id, part FROM citations), p AS (SELECT a.claim_id AS a, b.claim_id AS b, count(*) AS shared FROM l a JOIN l b ON a.part = b.part AND a.claim_id <> b.claim_id GROUP BY ALL) SELECT a, b, shared FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) <= 3", CITATIONS)
 def g13(spark, d):
-    l = A.citations(spark, d).select("claim_id", "part").distinct()
-    a, b = l.alias("a"), l.alias("b")
-    p = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.claim_id") != F.col("b.claim_id"))).groupBy(F.col("a.claim_id").alias("a"), F.col("b.claim_id").alias("b")).agg(one().alias("shared"))
-    return N.first_per(p, ["a"], [F.desc("shared"), "b"], 3)
+    return X.suggestions(A.citations(spark, d), 3)
 
 
 @query("g9_eligible_observations", """WITH RECURSIVE s AS (SELECT l_orderkey AS claim_id, l_suppkey AS evidence, l_partkey % 200 AS signature FROM lineitem), u AS (SELECT DISTINCT 1000000 + signature AS x, evidence AS y FROM s), b AS (SELECT x, y FROM u UNION SELECT y, x FROM u),

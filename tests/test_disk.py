@@ -29,3 +29,20 @@ def test_totals_are_those_of_the_members(spark):
     assert {(r.scope, r.code): (r.components, r.claims, r.evidence) for r in got} == want
     assert {r.scope: r.hubs for r in got} == {"a": 0, "b": 1}
     assert sorted((r["group"], r.claim_id) for r in O.groups(s, "eligible").collect()) == [("a|e|1", 1), ("a|e|1", 2), ("a|e|1", 3)]
+
+
+def test_suggestions_equal_all_pairs_without_listing_them(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(4)
+    links = {(c, rng.choice([0, rng.randrange(6), rng.randrange(40)])) for c in range(120) for _ in range(rng.randrange(1, 7))}
+    shared = Counter((a, b) for a, p in links for b, q in links if p == q and a != b)
+    want = {}
+    for (a, b), n in shared.items():
+        want.setdefault(a, []).append((-n, b))
+    want = {(a, b, -n) for a, x in want.items() for n, b in sorted(x)[:3]}
+    x = X.suggestions(spark.createDataFrame(sorted(links), "claim_id long, part long"), 3)
+    assert {(r.a, r.b, r.shared) for r in x.collect()} == want
+    one_part = spark.range(20000).select(F.col("id").alias("claim_id"), F.lit(1).cast("long").alias("part"))
+    assert X.suggestions(one_part, 3).count() == 60000  # 400 million pairs
