@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from claimforge.functions import text as T
 from claimforge.operators.governance import clamp
+from claimforge.operators.near import near_pairs
+from claimforge.streaming.streams import stored
 
 # Weights of the ranker.
 LEXICAL = (0.55, 0.15, 0.25, 0.05)
@@ -156,16 +158,13 @@ def similar_pairs(vectors: DataFrame, lo: float, hi: float | None = None, block:
 
 
 def jaccard_duplicates(rows: DataFrame, threshold: float, max_df: int) -> DataFrame:
-    """Best earlier near copy by token sets, in the same scope. Candidates share one of the rarest tokens: with
-    p = floor((1 - t) n) + 1 of each set in a fixed rarity order no qualified pair is missed."""
-    sets = rows.select("id", "scope", T.dedupe_tokens(F.col("text")).alias("s")).filter(F.size("s") > 0)
-    freq = sets.select(F.explode("s").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ranked = sets.select("id", "scope", F.size("s").alias("n"), F.explode("s").alias("t")).join(freq, "t")
-    w = W.partitionBy("id").orderBy("df", "t")
-    head = ranked.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1).select("id", "scope", "n", "t")
-    a, b = head.alias("a"), head.alias("b")
-    cand = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.scope") == F.col("b.scope")) & (F.col("a.id") > F.col("b.id")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))).select(F.col("a.id").alias("id"), F.col("b.id").alias("of")).distinct()
-    x = cand.join(sets.select("id", F.col("s").alias("s1")), "id").join(sets.select(F.col("id").alias("of"), F.col("s").alias("s2")), "of")
-    inter = F.size(F.array_intersect("s1", "s2"))
-    x = x.withColumn("jaccard", inter / (F.size("s1") + F.size("s2") - inter)).filter(F.col("jaccard") >= threshold)
-    return top(x, ["id"], [F.desc("jaccard"), "of"], 1).select("id", "of", F.round("jaccard", 6).alias("jaccard"))
+    """Best earlier near copy by token sets, in the same scope, exactly; the least id of equally near ones. Rows of the same
+    set are one class: its least id is the best copy of the others, and only least ids are compared with other sets."""
+    x = rows.select("id", "scope", F.array_sort(T.dedupe_tokens(F.col("text"))).alias("s")).filter((F.size("s") > 0) & F.col("scope").isNotNull())
+    x = stored(x.withColumn("key", F.sha2(F.concat_ws("\n", F.col("scope").cast("string"), F.array_join("s", " ")), 256)), "duplicate-sets")
+    least = stored(x.groupBy("key").agg(F.min("id").alias("of")), "duplicate-classes")
+    copies = x.select("id", "key").join(least, "key").filter("id <> of").select("id", "of", F.lit(1.0).alias("jaccard"))
+    near = near_pairs(x.join(least.select(F.col("of").alias("id")), "id", "left_semi"), threshold)
+    near = near.withColumn("jaccard", F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).filter(F.col("jaccard") >= threshold)
+    best = top(near.select(F.col("b").alias("id"), F.col("a").alias("of"), "jaccard"), ["id"], [F.desc("jaccard"), "of"], 1)
+    return copies.unionByName(best.select("id", "of", F.round("jaccard", 6).alias("jaccard")))
