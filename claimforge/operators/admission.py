@@ -10,53 +10,29 @@ budget never decide anything before it. Near copies meet on their rarest words (
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from claimforge.functions import text as T
-from claimforge.streaming.streams import folder
+from claimforge.operators import near as N
+from claimforge.streaming.streams import dropped, stored
 
 SIMILAR, LEAST_CONFIDENCE, ROUNDS = 0.8, 0.6, 200
 
 
-def near_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """sets(id, s) -> pairs (a < b) of sets with Jaccard of at least ``threshold``; a set of n words offers its
-    floor((1 - threshold) n) + 1 rarest, one of which any qualified partner offers too."""
-    freq = sets.select(F.explode("s").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ranked = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("t")).join(freq, "t")
-    order = F.sort_array(F.collect_list(F.struct("df", "t")))
-    head = ranked.groupBy("id", "n").agg(order.alias("o")).select("id", "n", F.explode(F.slice("o", F.lit(1), F.floor((1 - threshold) * F.col("n") + 1e-9).cast("int") + 1)).alias("h"))
-    head = head.select("id", "n", "h.t", "h.df").filter("df > 1")
-    a, b = head.alias("a"), head.alias("b")
-    near = (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9)
-    cand = a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    x = cand.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s2")), "b")
-    both = F.size(F.array_intersect("s1", "s2"))
-    return x.filter(both >= threshold * (F.size("s1") + F.size("s2") - both) - 1e-9).select("a", "b")
-
-
 def greedy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes(id, rank) and edges(a, b) -> the ids (with rank) that a loop in order of (rank, id) would keep, each without a kept neighbour
-    before it. A round's state is written to the shared folder."""
-    spark = nodes.sparkSession
-    at = folder(spark, "greedy")
-
-    def cut(df: DataFrame) -> DataFrame:
-        path = f"{at}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
+    before it. A round's state is a table in the shared folder."""
     r = nodes.select("id", F.struct("rank", "id").alias("r"))
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
     before = both.join(r.select(F.col("id").alias("a"), F.col("r").alias("ra")), "a").join(r.select(F.col("id").alias("b"), F.col("r").alias("rb")), "b")
-    before = cut(before.filter("rb < ra").select("a", "b"))  # b comes before a
-    state = cut(nodes.select("id", F.lit("open").alias("state")))
+    before = stored(before.filter("rb < ra").select("a", "b"), "greedy-before")  # b comes before a
+    state = stored(nodes.select("id", F.lit("open").alias("state")), "greedy-state")
     for _ in range(ROUNDS):
         told = before.join(state.select(F.col("id").alias("b"), F.col("state").alias("sb")), "b").groupBy("a").agg(F.max((F.col("sb") == "in").cast("int")).alias("some_in"), F.max((F.col("sb") == "open").cast("int")).alias("some_open"))
         x = state.join(told, state.id == told.a, "left")
         new = F.when(F.col("state") != "open", F.col("state")).when(F.col("some_in") == 1, "out").when(F.coalesce("some_open", F.lit(0)) == 1, "open").otherwise("in")
-        state = cut(x.select("id", new.alias("state")))
+        last, state = state, stored(x.select("id", new.alias("state")), "greedy-state")
+        dropped(last)
         if state.filter("state = 'open'").isEmpty():
             return nodes.join(state.filter("state = 'in'").select("id"), "id").select("id", "rank")
     raise RuntimeError(f"admission did not settle in {ROUNDS} rounds")
@@ -67,20 +43,26 @@ def admit(rows: DataFrame, budget: int) -> DataFrame:
     words = T.all_matches(F.lower(F.coalesce("text", F.lit(""))), "[a-z0-9_]+")
     x = rows.withColumn("w", words).withColumn("norm", F.xxhash64(F.array_join("w", " "))).withColumn("s", F.array_sort(F.array_distinct("w")))
     x = x.withColumn("set_id", F.xxhash64(F.array_join("s", " "))).withColumn("weak", (F.coalesce("evidence", F.lit(0)) <= 0) | (F.coalesce("confidence", F.lit(0.0)) < LEAST_CONFIDENCE))
-    strong = x.filter(~F.col("weak")).groupBy("set_id").agg(F.min(F.struct("rank", "id")).alias("first"), F.first("s").alias("s"))
-    edges = near_sets(strong.filter(F.size("s") > 0).select(F.col("set_id").alias("id"), "s"), SIMILAR)
-    kept = greedy(strong.select(F.col("set_id").alias("id"), F.col("first").alias("rank")), edges)
+    # Texts are read once and kept as their set, each set once: rows go on without words.
+    first = F.min(F.when(~F.col("weak"), F.struct("rank", "id")))
+    sets = stored(x.groupBy(F.col("set_id").alias("id")).agg(first.alias("first"), F.first("s").alias("s")).withColumn("scope", F.lit(0)), "admission-sets")
+    strong, worded = sets.filter("first IS NOT NULL"), sets.filter(F.size("s") > 0)
+    x = stored(x.select("id", "rank", "subject", "predicate", "value", "norm", "set_id", "weak", (F.size("s") > 0).alias("worded")), "admission-rows")
+    h = stored(N.heads(worded, SIMILAR, N.bucket_counts(worded)), "admission-heads")
+    tied = h.join(strong.select("id"), "id", "left_semi")
+    near = N.candidates(tied.alias("a"), tied.alias("b"), SIMILAR, F.col("a.id") < F.col("b.id"))
+    edges = stored(N.verified(near, sets, sets, SIMILAR).select("a", "b"), "admission-edges")
+    kept = greedy(strong.select("id", F.col("first").alias("rank")), edges)
     taken = kept.orderBy("rank").limit(budget).select(F.col("id").alias("set_id"), F.col("rank").alias("first"))  # the budget bounds it
-    chosen = taken.join(x.select("set_id", "id", "norm"), (F.col("first.id") == x.id) & (taken.set_id == x.set_id)).select(taken.set_id, "first", "norm")
+    chosen = stored(taken.join(x.select("set_id", "id", "norm"), (F.col("first.id") == x.id) & (taken.set_id == x.set_id)).select(taken.set_id, "first", "norm"), "admission-chosen")
     # The first admitted near copy of each word set, its own included; sets of weak rows meet the admitted ones too.
-    sets = x.filter(F.size("s") > 0).groupBy("set_id").agg(F.first("s").alias("s")).select(F.col("set_id").alias("id"), "s")
-    near = near_admitted(sets, chosen, SIMILAR)
+    near = near_admitted(worded, h, chosen, SIMILAR)
     own = chosen.select("set_id", F.col("first").alias("own"), "norm")
     y = x.join(near, "set_id", "left").join(own.withColumnRenamed("norm", "own_norm"), "set_id", "left")
     at = F.struct("rank", "id")
     admitted = F.coalesce(F.col("own") == at, F.lit(False))
     redundant = F.coalesce((F.col("own") < at) & (F.col("own_norm") == F.col("norm")), F.lit(False))
-    copy = F.coalesce(F.col("near") < at, F.lit(False)) | F.coalesce((F.col("own") < at) & (F.size("s") > 0), F.lit(False))
+    copy = F.coalesce(F.col("near") < at, F.lit(False)) | F.coalesce((F.col("own") < at) & F.col("worded"), F.lit(False))
     reason = F.when(redundant, "redundant").when(copy, "near_duplicate")
     y = y.select("id", "subject", "predicate", "value", admitted.alias("admitted"), F.array_compact(F.array(reason, F.when(F.col("weak"), F.lit("weak_support")))).alias("reasons"))
     y = y.withColumn("reasons", F.when(F.col("admitted"), F.array().cast("array<string>")).when(F.size("reasons") == 0, F.array(F.lit("budget_limit"))).otherwise(F.col("reasons")))
@@ -89,17 +71,11 @@ def admit(rows: DataFrame, budget: int) -> DataFrame:
     return z.select("id", "admitted", F.when(F.col("admitted") & F.coalesce("clash", F.lit(False)), F.array(F.lit("lifecycle_conflict"))).otherwise(F.col("reasons")).alias("reasons"))
 
 
-def near_admitted(sets: DataFrame, chosen: DataFrame, threshold: float) -> DataFrame:
-    """(set_id, near): the first admitted row whose word set is another, near one."""
-    a = chosen.join(sets.select(F.col("id").alias("set_id"), F.col("s").alias("s2")), "set_id").select(F.col("set_id").alias("other"), "first", "s2")
-    freq = sets.select(F.explode("s").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-
-    def head(x: DataFrame, key: str, s: str) -> DataFrame:
-        g = x.select(key, F.size(s).alias("n"), F.explode(s).alias("t")).join(freq, "t").groupBy(key, "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
-        return g.select(key, "n", F.explode(F.slice("o", F.lit(1), F.floor((1 - threshold) * F.col("n") + 1e-9).cast("int") + 1)).alias("h")).select(key, "n", "h.t")
-
-    left, right = head(sets, "id", "s"), head(a, "other", "s2").withColumnRenamed("n", "m")
-    cand = left.join(right, "t").filter((F.col("id") != F.col("other")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9)).select("id", "other").distinct()
-    y = cand.join(sets, "id").join(a, "other")
-    both = F.size(F.array_intersect("s", "s2"))
-    return y.filter(both >= threshold * (F.size("s") + F.size("s2") - both) - 1e-9).groupBy(F.col("id").alias("set_id")).agg(F.min("first").alias("near"))
+def near_admitted(sets: DataFrame, h: DataFrame, chosen: DataFrame, threshold: float) -> DataFrame:
+    """(set_id, near): the first admitted row whose word set is another, near one. ``h``: the heads of all sets; of the admitted
+    ones, no more than the budget, a copy is taken to each task."""
+    a = chosen.select(F.col("set_id").alias("id"), "first")
+    few = h.join(F.broadcast(a.select("id")), "id", "left_semi")
+    pairs = N.candidates(h.alias("a"), few.alias("b"), threshold, F.col("a.id") != F.col("b.id"))
+    x = N.verified(pairs, sets, sets, threshold).join(a.withColumnRenamed("id", "b"), "b")
+    return x.groupBy(F.col("a").alias("set_id")).agg(F.min("first").alias("near"))
