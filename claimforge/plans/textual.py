@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from claimforge.functions import secrets as K, text as T
-from claimforge.operators import claims as C, evaluate as E, search as S
+from claimforge.operators import claims as C, evaluate as E, ranks as R, search as S
 from claimforge.plans.base import NOTES, TURNS, query
 from claimforge.sources import adapters as A, text_sources as X
 
@@ -310,10 +310,7 @@ def e1(spark, d):
 @query("e2_mrr_hit", """WITH r AS (SELECT prompt_id, id, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, id) AS rank FROM bm), f AS (SELECT prompt_id, min(rank) FILTER (contains(lower(text), lower(substr((SELECT b.text FROM benchmark b WHERE b.item_id = prompt_id), 1, 60)))) AS first FROM r JOIN notes USING (id) GROUP BY prompt_id)
  SELECT count(*) AS prompts, round(avg(coalesce(1.0::DOUBLE / first, 0.0)), 6) AS mrr, round(avg((coalesce(first, 99) <= 1)::INT), 6) AS hit_at_1, round(avg((coalesce(first, 99) <= 5)::INT), 6) AS hit_at_5 FROM f""", NOTES, BM25)
 def e2(spark, d):
-    n, p = A.notes(spark, d), A.prompts(spark, d)
-    r = S.bm25(n, p).withColumn("rank", F.row_number().over(W.partitionBy("prompt_id").orderBy(F.desc("score"), "id")))
-    x = r.join(n.select("id", "text"), "id").join(p, "prompt_id")
-    return E.mrr(x.select("prompt_id", "rank", F.lower("text").contains(F.lower(F.substring("prompt", 1, 60))).alias("hit")))
+    return E.mrr(R.first_hits(A.notes(spark, d), A.prompts(spark, d), 60).select("prompt_id", F.col("first").alias("rank"), F.col("first").isNotNull().alias("hit")))
 
 
 @query("s6_transcript_turns", "SELECT id, session_id, role, content FROM turns WHERE role IN ('user', 'assistant') AND length(content) >= 20", TURNS)
